@@ -121,8 +121,8 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
     spark = vectors.sparkSession
     qs = queries if isinstance(queries, QuerySet) else stage_queries(queries, key, qvec)
     payload = payload or [c for c in vectors.columns if c != vec]
-    tie_break = tie_break or payload
-    src = vectors.select(*payload, vec).where(F.col(vec).isNotNull())
+    tie_break = tie_break or [c for c in payload if c != vec]
+    src = vectors.select(*payload, *([vec] if vec not in payload else [])).where(F.col(vec).isNotNull())
     out_schema = T.StructType(list(src.select(*payload).schema.fields) + [
         T.StructField("_q", qs.key_type, True), T.StructField("distance", T.DoubleType(), True)])
     path, kk, slack = qs.path, int(k), 1e-9

@@ -12,11 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entlink.functions import encoders as EN
 from entlink.functions import text as TX
 from entlink.functions import vectors as V
+from entlink.operators import counting as CT
 from entlink.operators import embed as EM
+from entlink.operators import linking as L
+from entlink.operators import metrics as M
 from entlink.operators import search as S
-from entlink.plans.fixtures import load, with_views
+from entlink.operators import stats as ST
+from entlink.operators import triples as TR
+from entlink.plans import link as LK
+from entlink.plans.fixtures import load, table, with_views
+from entlink.sources import rdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,14 +41,13 @@ def query(name: str, views: list[str] | None = None, sql: str | None = None):
     return deco
 
 
-def _long(df: DataFrame, keys: list[str], vec: str = "embedding") -> DataFrame:
-    return EM.explode_vector(df, keys, vec, 4, "v")
+def _r(c, places: int = 4):
+    """Rounded double with negative zero folded to zero (same in DuckDB: ``round(x, 4) + 0.0``)."""
+    return F.round(c, places) + F.lit(0.0)
 
 
-# DuckDB long form of a vector column: (keys, i, v), i from 0
-def _sql_long(keys: str, vec: str, src: str) -> str:
-    return (f"SELECT {keys}, i - 1 AS i, round(v, 4) AS v FROM (SELECT {keys}, "
-            f"generate_subscripts({vec}, 1) AS i, unnest({vec}) AS v FROM {src}) u")
+def _long(df: DataFrame, keys: list[str], vec: str = "embedding") -> DataFrame:
+    return EM.explode_vector(df, keys, vec, 4, "v")
 
 
 # ---------------------------------------------------------------- vectors --
@@ -52,7 +59,7 @@ def q_mean_embedding(spark, sf):
 
 
 ORACLE["mean_embedding"] = with_views(["emb_literals"], """
-SELECT s, n_rows, i, round(avg(x), 4) AS v
+SELECT s, n_rows, i, round(avg(x), 4) + 0.0 AS v
 FROM (SELECT s, count(*) OVER (PARTITION BY s) AS n_rows,
              generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding::DOUBLE[]) AS x
       FROM emb_literals) u
@@ -70,7 +77,7 @@ lab AS (
     FROM u WHERE p IN ('http://www.w3.org/2000/01/rdf-schema#label', 'http://xmlns.com/foaf/0.1/name')) t
   WHERE r = 1)
 SELECT m.s, m.s AS o, 'E' AS typeObject, m.n AS n_rows, m.i,
-       round(CASE WHEN lab.lx IS NOT NULL AND m.n > 1 THEN (m.mx + lab.lx) / 2.0 ELSE m.mx END, 4) AS v
+       round(CASE WHEN lab.lx IS NOT NULL AND m.n > 1 THEN (m.mx + lab.lx) / 2.0 ELSE m.mx END, 4) + 0.0 AS v
 FROM m LEFT JOIN lab ON lab.s = m.s AND lab.i = m.i
 """)
 def q_entity_embedding_blend(spark, sf):
@@ -79,7 +86,7 @@ def q_entity_embedding_blend(spark, sf):
 
 
 @query("cosine_topk", ["vectors", "mentions"], """
-SELECT idx, sub, pred, obj, type_obj, vec_id, round(distance, 4) AS distance FROM (
+SELECT idx, sub, pred, obj, type_obj, vec_id, round(distance, 4) + 0.0 AS distance FROM (
   SELECT m.idx, v.sub, v.pred, v.obj, v.type_obj, v.vec_id,
          list_cosine_distance(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[]) AS distance,
          row_number() OVER (PARTITION BY m.idx ORDER BY list_cosine_distance(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[]),
@@ -90,7 +97,7 @@ WHERE rn <= 100
 def q_cosine_topk(spark, sf):
     vectors, mentions = load(spark, sf, "vectors", "mentions")
     top = S.cosine_top_k(mentions, vectors, S.TOP_K, payload=VEC_PAYLOAD)
-    return top.withColumn("distance", F.round("distance", 4))
+    return top.withColumn("distance", _r("distance"))
 
 
 @query("candidate_expand", ["vectors", "mentions"], """
@@ -100,7 +107,7 @@ WITH top AS (
              list_cosine_distance(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[]), v.sub, v.pred, v.obj, v.type_obj, v.vec_id) AS rn
     FROM mentions m CROSS JOIN vectors v) t WHERE rn <= 100)
 SELECT DISTINCT t.idx, v.sub, v.pred, v.obj, v.type_obj, v.vec_id,
-       round(list_cosine_distance(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[]), 4) AS distance
+       round(list_cosine_distance(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[]), 4) + 0.0 AS distance
 FROM (SELECT DISTINCT idx, sub FROM top) t
 JOIN vectors v ON v.sub = t.sub
 JOIN mentions m ON m.idx = t.idx
@@ -108,5 +115,262 @@ JOIN mentions m ON m.idx = t.idx
 def q_candidate_expand(spark, sf):
     vectors, mentions = load(spark, sf, "vectors", "mentions")
     c = S.candidates(mentions, vectors, S.TOP_K, payload=VEC_PAYLOAD)
-    return c.select("idx", *VEC_PAYLOAD, F.round("distance", 4).alias("distance"))
-FLAGSHIP = "cosine_topk"
+    return c.select("idx", *VEC_PAYLOAD, _r("distance").alias("distance"))
+
+
+# ----------------------------------------------------------------- ingest --
+
+def _parsed(spark, sf):
+    return TR.distinct_triples(rdf.parse_ntriples(load(spark, sf, "kg_lines")))
+
+
+@query("parse_ntriples", ["triples"], "SELECT * FROM triples")
+def q_parse_ntriples(spark, sf):
+    return _parsed(spark, sf)
+
+
+@query("lang_gate_strict", ["kg_lines"], """
+SELECT regexp_extract(value, '^<[^>]*> <([^>]*)>', 1) AS p, count(*) AS n
+FROM kg_lines WHERE instr(value, '@') = 0 OR instr(value, '@en') > 0
+GROUP BY 1
+""")
+def q_lang_gate_strict(spark, sf):
+    lines = rdf.lang_gate_strict(load(spark, sf, "kg_lines"))
+    return rdf.parse_ntriples(lines).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("lang_gate", ["triples"], """
+SELECT p, lang, count(*) AS n FROM triples
+WHERE lang IS NULL OR lower(lang) = 'en' OR lower(lang) LIKE 'en-%'
+GROUP BY 1, 2
+""")
+def q_lang_gate(spark, sf):
+    return rdf.lang_gate(_parsed(spark, sf)).groupBy("p", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("literals_en", ["literals"], "SELECT * FROM literals")
+def q_literals_en(spark, sf):
+    return TR.literals(_parsed(spark, sf))
+
+
+@query("links_http", ["links"], "SELECT * FROM links")
+def q_links_http(spark, sf):
+    return TR.links(_parsed(spark, sf), cluster_by_subject=True)
+
+
+_SMALL_PARTS = "SELECT concat('http://kg.example/part/', p_partkey) AS s FROM part WHERE p_size <= 10"
+_HOP_PREDS = ["http://kg.example/suppliedBy", "http://kg.example/madeBy"]
+
+
+@query("one_hop_whitelist", ["links"], f"""
+SELECT l.* FROM links l
+WHERE l.s IN ({_SMALL_PARTS}) AND l.p IN ('http://kg.example/suppliedBy', 'http://kg.example/madeBy')
+""")
+def q_one_hop_whitelist(spark, sf):
+    links = load(spark, sf, "links")
+    return TR.one_hop(links, spark.sql(_SMALL_PARTS), _HOP_PREDS)
+
+
+@query("entity_literals", ["triples"], f"""
+SELECT s, p, o_lit AS o FROM triples
+WHERE s IN ({_SMALL_PARTS}) AND lower(lang) = 'en'
+""")
+def q_entity_literals(spark, sf):
+    triples = load(spark, sf, "triples")
+    return TR.entity_literals(triples, spark.sql(_SMALL_PARTS))
+
+
+# ------------------------------------------------------------------- text --
+
+def _sql_clean(col: str, cls: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace({col}, '\\r?@en .', '', 'g'), "
+            f"'{cls}', '', 'g'), '[\" ]')")
+
+
+_CLS_ENC = """[^a-zA-Z0-9()''".,:<>?!@$%&|\\s]+"""
+_CLS_EVAL = """[^a-zA-Z0-9()''"-.,:<>?!@$%&|\\s]+"""
+
+
+@query("clean_literal", [], f"""
+SELECT doc_id, length(c) AS n_chars, md5(c) AS md5 FROM (SELECT doc_id, {_sql_clean('text', _CLS_ENC)} AS c FROM documents) t
+""")
+def q_clean_literal(spark, sf):
+    c = TX.clean_literal("text")
+    return table(spark, sf, "documents").select("doc_id", F.length(c).alias("n_chars"), F.md5(c).alias("md5"))
+
+
+@query("clean_eval", [], f"""
+SELECT doc_id, length(c) AS n_chars, md5(c) AS md5 FROM (SELECT doc_id, lower({_sql_clean('text', _CLS_EVAL)}) AS c FROM documents) t
+""")
+def q_clean_eval(spark, sf):
+    c = F.lower(TX.clean_eval("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(c).alias("n_chars"), F.md5(c).alias("md5"))
+
+
+@query("clean_suffix", ["literals"], """
+SELECT s, p, regexp_replace(o || '@en .', '\\r?@en .', '', 'g') AS o FROM literals
+""")
+def q_clean_suffix(spark, sf):
+    lits = load(spark, sf, "literals")
+    return lits.select("s", "p", TX.strip_lang_suffix(F.concat("o", F.lit("@en ."))).alias("o"))
+
+
+@query("camel_split", [], """
+SELECT doc_id, md5(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) AS md5 FROM documents
+""")
+def q_camel_split(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(TX.camel_split("text")).alias("md5"))
+
+
+@query("uri_normalise", [], """
+SELECT page_id, replace(CASE WHEN instr(url, 'http://') = 0 THEN 'http://' || url ELSE url END,
+                        'en.wikipedia.org/wiki', 'dbpedia.org/resource') AS uri FROM pages
+""")
+def q_uri_normalise(spark, sf):
+    return table(spark, sf, "pages").select("page_id", TX.normalise_uri("url").alias("uri"))
+
+
+@query("mention_window", [], """
+WITH t AS (
+  SELECT conv_id, turn, string_split(text, ' ') AS tk FROM conversations),
+m AS (
+  SELECT conv_id, turn, tk, [tk[(len(tk) + 1) // 2], tk[len(tk)]] AS mt FROM t),
+h AS (
+  SELECT *, list_concat(list_filter(range(1, len(tk) + 1), lambda i: tk[i] = mt[1]),
+                        list_filter(range(1, len(tk) + 1), lambda i: tk[i] = mt[2])) AS hits FROM m),
+b AS (
+  SELECT *, hits[1] AS l, hits[len(hits)] AS r FROM h)
+SELECT conv_id, turn,
+       array_to_string(list_concat(tk[greatest(l - 3, 1):l - 1], mt, tk[r + 1:least(r + 3, len(tk))]), ' ') AS window
+FROM b
+""")
+def q_mention_window(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("tk"))
+    mt = F.array(F.element_at("tk", ((F.size("tk") + 1) / 2).cast("int")), F.element_at("tk", -1))
+    return c.select("conv_id", "turn", TX.mention_window(F.col("tk"), mt, 3).alias("window"))
+
+
+@query("chunk_literals")
+def q_chunk_literals(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", TX.clean_literal("text").alias("lit")) \
+        .where(F.col("lit") != "")
+    return d.select("doc_id", F.posexplode(TX.chunk_text("lit", 384)).alias("chunk_no", "chunk")) \
+        .select("doc_id", "chunk_no", F.length("chunk").alias("chunk_len"), F.md5("chunk").alias("md5"))
+
+
+@query("hash_embed", [], """
+WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS tok FROM documents),
+b AS (SELECT doc_id, ('0x' || substring(md5(tok), 1, 4))::INT % 64 AS bucket, count(*) AS cnt
+      FROM t WHERE tok <> '' GROUP BY 1, 2)
+SELECT doc_id, bucket, cnt, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)), 4) AS weight FROM b
+""")
+def q_hash_embed(spark, sf):
+    d = table(spark, sf, "documents")
+    return EN.hash_bucket_counts(d, ["doc_id"], "text").withColumn("weight", F.round("weight", 4))
+
+
+@query("doc_text", [], """
+SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS doc FROM conversations GROUP BY conv_id
+""")
+def q_doc_text(spark, sf):
+    c = table(spark, sf, "conversations")
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_t"))
+    return g.select("conv_id", F.array_join(F.transform("_t", lambda x: x["text"]), " ").alias("doc"))
+
+
+# --------------------------------------------------------------- counting --
+
+@query("literal_count_ci", ["literals"],
+       "SELECT s, p, o, count(*) OVER (PARTITION BY lower(o)) AS count FROM literals WHERE o IS NOT NULL")
+def q_literal_count_ci(spark, sf):
+    return CT.with_literal_count(load(spark, sf, "literals"))
+
+
+@query("literal_count_exact", ["literals"],
+       "SELECT s, p, o, count(*) OVER (PARTITION BY o) AS count FROM literals WHERE o IS NOT NULL")
+def q_literal_count_exact(spark, sf):
+    return CT.with_literal_count(load(spark, sf, "literals"), exact=True)
+
+
+_LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
+
+
+@query("pending_literals", ["emb_literals"], f"""
+SELECT s, p, o, vec_id FROM emb_literals e
+WHERE NOT EXISTS (SELECT 1 FROM emb_literals d WHERE d.p = '{_LABEL}' AND d.s = e.s AND d.p = e.p AND d.o = e.o)
+""")
+def q_pending_literals(spark, sf):
+    e = load(spark, sf, "emb_literals")
+    done = e.where(F.col("p") == _LABEL)
+    return CT.pending_literals(e.select("s", "p", "o", "vec_id"), done)
+
+
+@query("pending_entities", ["emb_literals"], f"""
+SELECT s, p, o, vec_id FROM emb_literals
+WHERE s NOT IN (SELECT s FROM emb_literals WHERE p = '{_LABEL}' AND o LIKE 'Lit%')
+""")
+def q_pending_entities(spark, sf):
+    e = load(spark, sf, "emb_literals")
+    done = e.where((F.col("p") == _LABEL) & F.col("o").startswith("Lit"))
+    return CT.pending_entities(e.select("s", "p", "o", "vec_id"), done)
+
+
+_EMB_COUNT = "(SELECT s, p, o, vec_id, embedding, count(*) OVER (PARTITION BY lower(o)) AS count FROM emb_literals)"
+
+
+@query("topn_simple", ["emb_literals"], f"""
+SELECT s, p, o, vec_id, count, top_n FROM (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY count, p, o, vec_id) AS top_n FROM {_EMB_COUNT} c) t
+WHERE top_n <= 2
+""")
+def q_topn_simple(spark, sf):
+    e = CT.with_literal_count(load(spark, sf, "emb_literals").select("s", "p", "o", "vec_id"))
+    return CT.top_n(e, 2, "SIMPLE", tie_break=["vec_id"])
+
+
+@query("topn_grouped", ["emb_literals"], f"""
+SELECT s, p, o, vec_id, count, top_n FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY s ORDER BY count) AS top_n FROM {_EMB_COUNT} c) t
+WHERE top_n <= 2
+""")
+def q_topn_grouped(spark, sf):
+    e = CT.with_literal_count(load(spark, sf, "emb_literals").select("s", "p", "o", "vec_id"))
+    return CT.top_n(e, 2, "GROUPED")
+
+
+@query("weighted_embedding", ["emb_literals"], f"""
+SELECT vec_id, i - 1 AS i, round(x / count, 4) + 0.0 AS v FROM (
+  SELECT vec_id, count, generate_subscripts(embedding, 1) AS i, unnest(embedding::DOUBLE[]) AS x FROM {_EMB_COUNT} c) t
+""")
+def q_weighted_embedding(spark, sf):
+    e = CT.with_literal_count(load(spark, sf, "emb_literals").select("vec_id", "o", "embedding"))
+    return _long(EM.weight_by_count(e), ["vec_id"])
+
+
+@query("concat_text", ["literals"], """
+WITH r AS (SELECT s, p, o, row_number() OVER (PARTITION BY s ORDER BY p, o) AS pos FROM literals),
+lab AS (SELECT s, min(pos) AS lpos FROM r
+        WHERE p IN ('http://www.w3.org/2000/01/rdf-schema#label', 'http://xmlns.com/foaf/0.1/name') GROUP BY s)
+SELECT r.s, string_agg(CASE WHEN r.pos = lab.lpos THEN regexp_replace(o, '\\r?@en .', '', 'g')
+                            ELSE regexp_replace(o, '\\r?@en .', '', 'g') || '. ' END, '' ORDER BY r.pos) AS text,
+       max(CASE WHEN r.pos = lab.lpos THEN regexp_replace(o, '\\r?@en .', '', 'g') END) AS label
+FROM r LEFT JOIN lab ON lab.s = r.s GROUP BY r.s
+""")
+def q_concat_text(spark, sf):
+    return EM.concat_literals(load(spark, sf, "literals"))
+
+
+@query("neighbour_mean", ["emb_literals", "ent_links"], """
+WITH r AS (
+  SELECT s, embedding FROM emb_literals
+  UNION ALL
+  SELECT l.s, m.embedding FROM ent_links l JOIN emb_literals m ON m.s = l.o
+  WHERE l.s IN (SELECT s FROM emb_literals))
+SELECT s, s AS o, 'E' AS typeObject, n_rows, i, round(avg(x), 4) + 0.0 AS v FROM (
+  SELECT s, count(*) OVER (PARTITION BY s) AS n_rows, generate_subscripts(embedding, 1) - 1 AS i,
+         unnest(embedding::DOUBLE[]) AS x FROM r) u
+GROUP BY s, n_rows, i
+""")
+def q_neighbour_mean(spark, sf):
+    e, links = load(spark, sf, "emb_literals", "ent_links")
+    return _long(EM.neighbourhood_embedding(e.select("s", "embedding"), links), ["s", "o", "typeObject", "n_rows"])
