@@ -374,3 +374,353 @@ GROUP BY s, n_rows, i
 def q_neighbour_mean(spark, sf):
     e, links = load(spark, sf, "emb_literals", "ent_links")
     return _long(EM.neighbourhood_embedding(e.select("s", "embedding"), links), ["s", "o", "typeObject", "n_rows"])
+
+
+# ----------------------------------------------------------------- search --
+
+def _sql_topk(dist: str, k: int = 100, where: str = "") -> str:
+    return f"""
+SELECT idx, sub, pred, obj, type_obj, vec_id, round(distance, 4) + 0.0 AS distance FROM (
+  SELECT m.idx, v.sub, v.pred, v.obj, v.type_obj, v.vec_id, {dist} AS distance,
+         row_number() OVER (PARTITION BY m.idx ORDER BY {dist}, v.sub, v.pred, v.obj, v.type_obj, v.vec_id) AS rn
+  FROM mentions m CROSS JOIN vectors v {where}) t
+WHERE rn <= {k}
+"""
+
+
+_COS = "list_cosine_distance(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[])"
+_L2 = "list_distance(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[])"
+_DOT = "(- list_dot_product(v.embedding::DOUBLE[], m.mention_vec::DOUBLE[]))"
+
+
+@query("l2_topk", ["vectors", "mentions"], _sql_topk(_L2))
+def q_l2_topk(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    return S.knn_join(mentions, vectors, S.TOP_K, "l2", payload=VEC_PAYLOAD).withColumn("distance", _r("distance"))
+
+
+@query("dot_topk", ["vectors", "mentions"], _sql_topk(_DOT))
+def q_dot_topk(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    return S.knn_join(mentions, vectors, S.TOP_K, "dot", payload=VEC_PAYLOAD).withColumn("distance", _r("distance"))
+
+
+@query("range_search", ["vectors", "mentions"], _sql_topk(_COS, 10000, f"WHERE {_COS} < 1.0"))
+def q_range_search(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    return S.range_search(mentions, vectors, payload=VEC_PAYLOAD).withColumn("distance", _r("distance"))
+
+
+@query("vector_from_text", ["vectors"], """
+SELECT vec_id, len(e) AS dims, round(list_sum(e), 4) + 0.0 AS total
+FROM (SELECT vec_id, CAST(CAST(embedding::DOUBLE[] AS VARCHAR) AS DOUBLE[]) AS e FROM vectors) t
+""")
+def q_vector_from_text(spark, sf):
+    v = load(spark, sf, "vectors")
+    e = V.parse_vector(V.vector_to_text(F.col("embedding").cast("array<double>")))
+    return v.select("vec_id", F.size(e).alias("dims"),
+                    _r(F.aggregate(e, F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+# ---------------------------------------------------------------- linking --
+
+_LINK_CTE = """
+WITH present AS (SELECT * FROM mentions WHERE lower(y_true) IN (SELECT lower(sub) FROM vectors)),
+scored AS (
+  SELECT p.idx, v.sub, v.pred, v.obj, v.type_obj, v.vec_id, v.embedding,
+         list_cosine_distance(v.embedding::DOUBLE[], p.mention_vec::DOUBLE[]) AS distance
+  FROM present p CROSS JOIN vectors v),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY distance, sub, pred, obj, type_obj, vec_id) AS rn FROM scored),
+hitsub AS (SELECT DISTINCT idx, sub FROM ranked WHERE rn <= 100),
+cand AS (SELECT s.idx, s.vec_id FROM scored s JOIN hitsub h ON h.idx = s.idx AND h.sub = s.sub),
+need AS (SELECT p.idx FROM present p WHERE NOT EXISTS (SELECT 1 FROM hitsub h WHERE h.idx = p.idx AND h.sub = p.y_true)),
+rng AS (SELECT idx, vec_id FROM ranked WHERE distance < 1.0 AND idx IN (SELECT idx FROM need)),
+allk AS (SELECT idx, vec_id FROM cand UNION SELECT idx, vec_id FROM rng),
+ctx AS (SELECT idx, list_transform(range(1, len(mention_vec) + 1),
+               lambda i: (mention_vec[i]::DOUBLE + ctx_vec[i]::DOUBLE) / 2.0) AS cv FROM present),
+dc AS (SELECT s.*, list_distance(s.embedding::DOUBLE[], c.cv) AS d_ctx
+       FROM scored s JOIN allk a ON a.idx = s.idx AND a.vec_id = s.vec_id JOIN ctx c ON c.idx = s.idx),
+pr AS (SELECT idx, sub AS y_pred, d_ctx FROM (
+         SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d_ctx, distance, sub, pred NULLS FIRST, obj, vec_id) AS r
+         FROM dc) t WHERE r = 1),
+lg AS (SELECT p.idx, p.y_true, pr.y_pred FROM present p JOIN pr ON pr.idx = p.idx),
+eg AS (SELECT DISTINCT y_true FROM lg WHERE lower(y_pred) <> lower(y_true)),
+dd AS (SELECT eg.y_true, g.o AS e FROM eg JOIN disambig g ON g.s = eg.y_true
+       UNION SELECT eg.y_true, g.s FROM eg JOIN disambig g ON g.o = eg.y_true),
+nbr AS (SELECT y_true, e FROM dd
+        UNION SELECT dd.y_true, g.o FROM dd JOIN disambig g ON lower(g.s) = lower(dd.e)
+        UNION SELECT dd.y_true, g.s FROM dd JOIN disambig g ON lower(g.o) = lower(dd.e)),
+st AS (SELECT lg.idx, lg.y_true, lg.y_pred,
+              CASE WHEN lower(lg.y_pred) = lower(lg.y_true) THEN 'Correct'
+                   WHEN n.y_true IS NOT NULL THEN 'Disambiguated' ELSE 'Error' END AS status
+       FROM lg LEFT JOIN (SELECT DISTINCT y_true, lower(e) AS e FROM nbr) n
+         ON n.y_true = lg.y_true AND n.e = lower(lg.y_pred)),
+log AS (SELECT idx, y_true, y_pred, CASE WHEN status = 'Disambiguated' THEN y_true ELSE y_pred END AS y_pred_dis, status
+        FROM st
+        UNION ALL
+        SELECT idx, y_true, NULL, NULL, 'Not present' FROM mentions
+        WHERE lower(y_true) NOT IN (SELECT lower(sub) FROM vectors))
+"""
+_LINK_VIEWS = ["vectors", "mentions", "disambig"]
+
+
+def _link_parts(spark, sf):
+    vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
+    present = L.present_mentions(mentions, vectors)
+    cands = LK.candidates_with_fallback(present, vectors)
+    ctx = L.context_vector(present).select("idx", "context_vec")
+    scored = L.with_context_distance(cands, ctx)
+    return vectors, mentions, disambig, present, scored
+
+
+@query("candidates_fallback", _LINK_VIEWS, _LINK_CTE + """
+SELECT s.idx, s.sub, s.pred, s.obj, s.type_obj, s.vec_id, round(s.distance, 4) + 0.0 AS distance
+FROM scored s JOIN allk a ON a.idx = s.idx AND a.vec_id = s.vec_id
+""")
+def q_candidates_fallback(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    present = L.present_mentions(mentions, vectors)
+    c = LK.candidates_with_fallback(present, vectors)
+    return c.select("idx", *VEC_PAYLOAD, _r("distance").alias("distance"))
+
+
+@query("context_vector", ["mentions"], """
+SELECT idx, i - 1 AS i, round((a + b) / 2.0, 4) + 0.0 AS v FROM (
+  SELECT idx, generate_subscripts(mention_vec, 1) AS i, unnest(mention_vec::DOUBLE[]) AS a,
+         unnest(ctx_vec::DOUBLE[]) AS b FROM mentions) t
+""")
+def q_context_vector(spark, sf):
+    m = load(spark, sf, "mentions")
+    return _long(L.context_vector(m), ["idx"], "context_vec")
+
+
+@query("rerank_predict", _LINK_VIEWS, _LINK_CTE + "SELECT idx, y_pred, round(d_ctx, 4) + 0.0 AS d_ctx FROM pr")
+def q_rerank_predict(spark, sf):
+    *_, scored = _link_parts(spark, sf)
+    return L.rerank(scored).withColumn("d_ctx", _r("d_ctx"))
+
+
+@query("tied_candidates", _LINK_VIEWS, _LINK_CTE + """
+SELECT idx, count(*) AS n_tied, count(*) FILTER (WHERE type_obj = 'E') AS n_tied_entities FROM (
+  SELECT *, rank() OVER (PARTITION BY idx ORDER BY d_ctx) AS rk FROM dc) t
+WHERE rk = 1 GROUP BY idx
+""")
+def q_tied_candidates(spark, sf):
+    *_, scored = _link_parts(spark, sf)
+    return L.tied_candidates(scored)
+
+
+@query("error_report", _LINK_VIEWS, _LINK_CTE + """
+SELECT idx, rank, sub, obj, round(d_ctx, 4) + 0.0 AS d_ctx FROM (
+  SELECT dc.*, row_number() OVER (PARTITION BY dc.idx ORDER BY d_ctx, distance, sub, pred NULLS FIRST, obj, vec_id) AS rank
+  FROM dc WHERE dc.idx IN (SELECT idx FROM log WHERE status = 'Error')) t
+WHERE rank <= 25
+""")
+def q_error_report(spark, sf):
+    vectors, mentions, disambig, present, scored = _link_parts(spark, sf)
+    log = LK.link_mentions(mentions, vectors, disambig)
+    return L.error_report(scored, log.where(F.col("status") == L.STATUS_ERROR)).withColumn("d_ctx", _r("d_ctx"))
+
+
+@query("link_status", _LINK_VIEWS, _LINK_CTE + "SELECT * FROM log")
+def q_link_status(spark, sf):
+    vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
+    return LK.link_mentions(mentions, vectors, disambig)
+
+
+@query("status_counts", _LINK_VIEWS, _LINK_CTE + "SELECT status, count(*) AS n FROM log GROUP BY status")
+def q_status_counts(spark, sf):
+    vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
+    return M.status_counts(LK.link_mentions(mentions, vectors, disambig))
+
+
+@query("missing_entities", ["mentions", "vectors"],
+       "SELECT idx, y_true FROM mentions WHERE lower(y_true) NOT IN (SELECT lower(sub) FROM vectors)")
+def q_missing_entities(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    return L.missing_entities(mentions, vectors).select("idx", "y_true")
+
+
+@query("present_mentions", ["mentions", "vectors"],
+       "SELECT idx, y_true FROM mentions WHERE lower(y_true) IN (SELECT lower(sub) FROM vectors)")
+def q_present_mentions(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    return L.present_mentions(mentions, vectors).select("idx", "y_true")
+
+
+_NBR_CTE = """
+WITH d AS (
+  SELECT y.y_true, g.o AS e FROM (SELECT DISTINCT y_true FROM preds) y JOIN disambig g ON g.s = y.y_true
+  UNION SELECT y.y_true, g.s FROM (SELECT DISTINCT y_true FROM preds) y JOIN disambig g ON g.o = y.y_true),
+nbr AS (
+  SELECT * FROM d
+  UNION SELECT d.y_true, g.o FROM d JOIN disambig g ON lower(g.s) = lower(d.e)
+  UNION SELECT d.y_true, g.s FROM d JOIN disambig g ON lower(g.o) = lower(d.e))
+"""
+
+
+@query("disambig_neighbourhood", ["preds", "disambig"], _NBR_CTE + "SELECT DISTINCT y_true, lower(e) AS e FROM nbr")
+def q_disambig_neighbourhood(spark, sf):
+    preds, disambig = load(spark, sf, "preds", "disambig")
+    return L.disambig_neighbourhood(preds, disambig)
+
+
+@query("disambig_forgive", ["preds", "disambig"], _NBR_CTE + """
+SELECT CASE WHEN lower(p.y_pred) = lower(p.y_true) THEN 'Correct'
+            WHEN n.y_true IS NOT NULL THEN 'Disambiguated' ELSE 'Error' END AS status, count(*) AS n
+FROM preds p
+LEFT JOIN (SELECT DISTINCT y_true, lower(e) AS e FROM nbr) n
+  ON n.y_true = p.y_true AND n.e = lower(p.y_pred)
+GROUP BY 1
+""")
+def q_disambig_forgive(spark, sf):
+    preds, disambig = load(spark, sf, "preds", "disambig")
+    nbr = L.disambig_neighbourhood(preds, disambig)
+    return M.status_counts(L.apply_disambiguation(preds, nbr))
+
+
+@query("rank_vote", _LINK_VIEWS, _LINK_CTE + """
+, rk AS (SELECT s.idx, s.sub, s.obj, s.vec_id, s.distance,
+                dense_rank() OVER (PARTITION BY s.idx ORDER BY s.distance) - 1 AS r,
+                row_number() OVER (PARTITION BY s.idx ORDER BY s.distance, s.sub, s.obj, s.vec_id) AS pos
+         FROM scored s JOIN allk a ON a.idx = s.idx AND a.vec_id = s.vec_id),
+sc AS (SELECT idx, lower(sub) AS entity, sum(1.0 / (r + 1)) AS score, min(pos) AS first FROM rk GROUP BY 1, 2)
+SELECT idx, entity AS y_pred, round(score, 4) + 0.0 AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY idx ORDER BY score DESC, first) AS w FROM sc) t WHERE w = 1
+""")
+def q_rank_vote(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    present = L.present_mentions(mentions, vectors)
+    cands = LK.candidates_with_fallback(present, vectors)
+    return L.rank_vote(cands).withColumn("score", _r("score"))
+
+
+# ---------------------------------------------------------------- metrics --
+
+def _sql_classes(src: str, yt: str = "y_true", yp: str = "y_pred") -> str:
+    hit = f"CASE WHEN lower({yt}) = lower({yp}) THEN 1 ELSE 0 END"
+    return f"""cls AS (
+  SELECT c, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+    SELECT lower({yt}) AS c, {hit} AS tp, 0 AS fp, 1 - {hit} AS fn FROM {src}
+    UNION ALL SELECT lower({yp}), 0, 1 - {hit}, 0 FROM {src}) t
+  GROUP BY c),
+tot AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cls),
+mac AS (SELECT avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END) AS macro_precision,
+               avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END) AS macro_recall,
+               avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END) AS macro_f1 FROM cls)"""
+
+
+@query("accuracy", ["class_preds"], """
+SELECT count(*) AS n, round(avg(CASE WHEN lower(y_true) = lower(y_pred) THEN 1.0 ELSE 0.0 END), 4) AS accuracy
+FROM class_preds
+""")
+def q_accuracy(spark, sf):
+    return M.accuracy(load(spark, sf, "class_preds")).select("n", _r("accuracy").alias("accuracy"))
+
+
+@query("macro_prf", ["class_preds"], "WITH " + _sql_classes("class_preds") + """
+SELECT round(macro_precision, 4) AS macro_precision, round(macro_recall, 4) AS macro_recall,
+       round(macro_f1, 4) AS macro_f1 FROM mac
+""")
+def q_macro_prf(spark, sf):
+    m = M.metrics(load(spark, sf, "class_preds"))
+    return m.select(*[_r(c).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1")])
+
+
+@query("micro_prf", ["class_preds"], "WITH " + _sql_classes("class_preds") + """
+SELECT round(tp / (tp + fp), 4) AS micro_precision, round(tp / (tp + fn), 4) AS micro_recall,
+       round(2 * tp / (2 * tp + fp + fn), 4) AS micro_f1 FROM tot
+""")
+def q_micro_prf(spark, sf):
+    m = M.metrics(load(spark, sf, "class_preds"))
+    return m.select(*[_r(c).alias(c) for c in ("micro_precision", "micro_recall", "micro_f1")])
+
+
+@query("link_metrics", _LINK_VIEWS, _LINK_CTE + ", ev AS (SELECT * FROM log WHERE status <> 'Not present'), "
+       + _sql_classes("ev") + ", " + _sql_classes("ev", yp="y_pred_dis").replace("cls AS", "cls2 AS")
+       .replace("FROM cls)", "FROM cls2)").replace("tot AS", "tot2 AS").replace("mac AS", "mac2 AS") + """
+SELECT 'plain' AS series, round(tot.tp / (tot.tp + tot.fn), 4) AS accuracy, round(macro_f1, 4) AS macro_f1,
+       round(2 * tot.tp / (2 * tot.tp + tot.fp + tot.fn), 4) AS micro_f1 FROM tot, mac
+UNION ALL
+SELECT 'disambiguated', round(tot2.tp / (tot2.tp + tot2.fn), 4), round(mac2.macro_f1, 4),
+       round(2 * tot2.tp / (2 * tot2.tp + tot2.fp + tot2.fn), 4) FROM tot2, mac2
+""")
+def q_link_metrics(spark, sf):
+    vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
+    log = LK.link_mentions(mentions, vectors, disambig).where(F.col("status") != L.STATUS_NOT_PRESENT)
+    plain = M.metrics(log).withColumn("series", F.lit("plain"))
+    dis = M.metrics(log, y_pred="y_pred_dis").withColumn("series", F.lit("disambiguated"))
+    return plain.unionByName(dis).select("series", *[_r(c).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")])
+
+
+# ------------------------------------------------------------------ stats --
+
+@query("literals_per_entity", ["literals"], "SELECT s, count(*) AS n_literals FROM literals GROUP BY s")
+def q_literals_per_entity(spark, sf):
+    return ST.literals_per_entity(load(spark, sf, "literals"))
+
+
+@query("mean_literals", ["literals"], """
+SELECT round(avg(n), 4) AS mean_literals FROM (SELECT s, count(*) AS n FROM literals GROUP BY s) t
+""")
+def q_mean_literals(spark, sf):
+    return ST.mean_literals(ST.literals_per_entity(load(spark, sf, "literals"))) \
+        .select(_r("mean_literals").alias("mean_literals"))
+
+
+@query("literal_stats", ["literals", "preds"], """
+WITH c AS (SELECT s, count(*) AS n FROM literals GROUP BY s),
+g AS (SELECT 'all' AS grp, n FROM c
+      UNION ALL SELECT 'errors', n FROM c WHERE s IN (SELECT y_true FROM preds WHERE lower(y_pred) <> lower(y_true)))
+SELECT grp, count(n) AS count, round(avg(n), 4) AS mean, round(stddev_samp(n), 4) AS stddev,
+       min(n) AS min, max(n) AS max FROM g GROUP BY grp
+""")
+def q_literal_stats(spark, sf):
+    lits, preds = load(spark, sf, "literals", "preds")
+    c = ST.literals_per_entity(lits)
+    errs = preds.where(F.lower("y_pred") != F.lower("y_true")).select(F.col("y_true").alias("s"))
+    g = c.withColumn("grp", F.lit("all")).unionByName(
+        TR.restrict_to(c, errs).withColumn("grp", F.lit("errors")))
+    d = ST.describe_literals(g, group="grp")
+    return d.select("grp", "count", _r("mean").alias("mean"), _r("stddev").alias("stddev"), "min", "max")
+
+
+_BUCKETS = """
+WITH c AS (SELECT s, count(*) AS n FROM literals GROUP BY s),
+r AS (SELECT y_true AS e, CASE WHEN lower(y_pred) <> lower(y_true) THEN 1 ELSE 0 END AS err FROM preds)
+"""
+
+
+@query("accuracy_by_literal_count", ["literals", "preds"], _BUCKETS + """
+SELECT least(c.n, 8) AS bucket, count(*) AS total, sum(err) AS errors,
+       round((count(*) - sum(err)) / count(*), 4) AS accuracy
+FROM (SELECT e, max(err) AS err FROM r GROUP BY e) x JOIN c ON c.s = x.e GROUP BY 1
+""")
+def q_accuracy_by_literal_count(spark, sf):
+    lits, preds = load(spark, sf, "literals", "preds")
+    return ST.accuracy_by_literal_count(preds, lits).withColumn("accuracy", _r("accuracy"))
+
+
+@query("accuracy_by_literal_count_weighted", ["literals", "preds"], _BUCKETS + """
+SELECT least(c.n, 8) AS bucket, count(*) AS total, sum(err) AS errors,
+       round((count(*) - sum(err)) / count(*), 4) AS accuracy
+FROM r JOIN c ON c.s = r.e GROUP BY 1
+""")
+def q_accuracy_by_literal_count_weighted(spark, sf):
+    lits, preds = load(spark, sf, "literals", "preds")
+    return ST.accuracy_by_literal_count(preds, lits, weighted=True).withColumn("accuracy", _r("accuracy"))
+
+
+@query("literal_count_confusion", ["literals", "preds"], """
+WITH c AS (SELECT s, count(*) AS n FROM literals GROUP BY s)
+SELECT t.n AS true_count, p.n AS pred_count, count(*) AS n
+FROM preds x JOIN c t ON t.s = x.y_true JOIN c p ON p.s = x.y_pred
+WHERE lower(x.y_pred) <> lower(x.y_true)
+GROUP BY 1, 2
+""")
+def q_literal_count_confusion(spark, sf):
+    lits, preds = load(spark, sf, "literals", "preds")
+    return ST.literal_count_confusion(preds, lits)
+
+
+FLAGSHIP = "link_status"
