@@ -107,8 +107,7 @@ def disambig_neighbourhood(golds: DataFrame, disambig: DataFrame, gold: str = "y
     """G1 + J10: ``(y_true, e)`` with ``e`` lower-cased, for
     D = {o : (y,o)} U {s : (s,y)} (exact case) and every neighbour of D
     (case-insensitive) one hop further."""
-    edges = disambig.select(F.col("s").alias("a"), F.col("o").alias("b")) \
-        .unionByName(disambig.select(F.col("o").alias("a"), F.col("s").alias("b")))
+    edges = _edges(disambig)
     g = golds.select(F.col(gold).alias("y_true")).distinct()
     d = edges.join(g, F.col("a") == F.col("y_true")).select("y_true", F.col("b").alias("e"))
     d_low = d.select("y_true", F.lower("e").alias("_le")).distinct()
@@ -117,18 +116,43 @@ def disambig_neighbourhood(golds: DataFrame, disambig: DataFrame, gold: str = "y
     return d.unionByName(hop).select("y_true", F.lower("e").alias("e")).distinct()
 
 
-def apply_disambiguation(preds: DataFrame, nbr: DataFrame, key: str = "idx") -> DataFrame:
+def _edges(disambig: DataFrame) -> DataFrame:
+    return disambig.select(F.col("s").alias("a"), F.col("o").alias("b")) \
+        .unionByName(disambig.select(F.col("o").alias("a"), F.col("s").alias("b")))
+
+
+def disambiguated_hits(preds: DataFrame, disambig: DataFrame, key: str = "idx") -> DataFrame:
+    """G2 core: keys of wrong predictions that lie in the gold URI's
+    disambiguation neighbourhood (G1), found without building it.
+
+    ``y_pred`` is in nbr(y) iff some direct neighbour ``e`` of ``y`` (exact
+    case) satisfies ``lower(e) = lower(y_pred)``, or ``lower(e) = lower(a)``
+    for an edge ``(a, b)`` with ``lower(b) = lower(y_pred)``. So the gold side
+    contributes its direct neighbours and the prediction side its own
+    neighbours plus itself, and the two meet on ``(key, lower-cased URI)``:
+    rows per mention stay at the two degrees instead of the product.
+    """
+    e = _edges(disambig)
+    p = preds.where(F.lower("y_pred") != F.lower("y_true")).select(key, "y_true", "y_pred")
+    gold_side = p.join(e, F.col("y_true") == F.col("a")).select(key, F.lower("b").alias("_k"))
+    el = e.select(F.lower("a").alias("_la"), F.lower("b").alias("_lb"))
+    pred_side = p.join(el, F.lower(F.col("y_pred")) == F.col("_lb")).select(key, F.col("_la").alias("_k")) \
+        .unionByName(p.select(key, F.lower("y_pred").alias("_k")))
+    return gold_side.join(pred_side, [key, "_k"], "left_semi").select(key).distinct()
+
+
+def apply_disambiguation(preds: DataFrame, disambig: DataFrame, key: str = "idx") -> DataFrame:
     """Status Correct / Disambiguated / Error and the forgiven prediction
     ``y_pred_dis`` (= ``y_true`` when Disambiguated)."""
-    n = nbr.select(F.col("y_true").alias("_yt"), F.col("e").alias("_e"), F.lit(True).alias("_hit"))
-    j = preds.join(n, (F.col("y_true") == F.col("_yt")) & (F.lower("y_pred") == F.col("_e")), "left")
+    hits = disambiguated_hits(preds, disambig, key).withColumn("_hit", F.lit(True))
+    j = preds.join(hits, key, "left")
     correct = F.lower("y_pred") == F.lower("y_true")
     status = F.when(correct, F.lit(STATUS_CORRECT)) \
         .when(F.col("_hit"), F.lit(STATUS_DISAMBIGUATED)).otherwise(F.lit(STATUS_ERROR))
     out = j.withColumn("status", status)
     out = out.withColumn("y_pred_dis", F.when(F.col("status") == STATUS_DISAMBIGUATED, F.col("y_true"))
                          .otherwise(F.col("y_pred")))
-    return out.drop("_yt", "_e", "_hit")
+    return out.drop("_hit")
 
 
 def rank_vote(cands: DataFrame, key: str = "idx", by: str = "distance", sub: str = "sub") -> DataFrame:

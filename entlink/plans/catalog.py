@@ -575,8 +575,7 @@ GROUP BY 1
 """)
 def q_disambig_forgive(spark, sf):
     preds, disambig = load(spark, sf, "preds", "disambig")
-    nbr = L.disambig_neighbourhood(preds, disambig)
-    return M.status_counts(L.apply_disambiguation(preds, nbr))
+    return M.status_counts(L.apply_disambiguation(preds, disambig))
 
 
 @query("rank_vote", _LINK_VIEWS, _LINK_CTE + """

@@ -58,8 +58,7 @@ def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame,
     ctx = L.context_vector(present, with_mention=with_mention).select(key, "context_vec")
     scored = L.with_context_distance(cands, ctx, key)
     preds = L.rerank(scored, key).join(present.select(key, "y_true"), key)
-    nbr = L.disambig_neighbourhood(preds.where(F.lower("y_pred") != F.lower("y_true")), disambig)
-    linked = L.apply_disambiguation(preds, nbr, key).select(key, "y_true", "y_pred", "y_pred_dis", "status")
+    linked = L.apply_disambiguation(preds, disambig, key).select(key, "y_true", "y_pred", "y_pred_dis", "status")
     missing = absent.select(key, "y_true", F.lit(None).cast("string").alias("y_pred"),
                             F.lit(None).cast("string").alias("y_pred_dis"),
                             F.lit(L.STATUS_NOT_PRESENT).alias("status"))
