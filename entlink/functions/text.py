@@ -28,24 +28,28 @@ WIKI_PREFIX = "en.wikipedia.org/wiki"
 KG_PREFIX = "dbpedia.org/resource"
 # ---------------------------------------------------------------------------
 
+# Java's '.' also stops at \r, \u0085, \u2028, \u2029; UNIX_LINES mode makes
+# it stop at '\n' only, like the reference's regex engine and RE2.
+_SUFFIX = "(?d)" + LANG_SUFFIX_PATTERN
+
 
 def clean_literal(c) -> Column:
     """Drop the '@en' suffix, delete chars outside the kept class, strip ends."""
-    x = F.regexp_replace(_c(c), LANG_SUFFIX_PATTERN, "")
+    x = F.regexp_replace(_c(c), _SUFFIX, "")
     x = F.regexp_replace(x, KEEP_CLASS_ENCODE, "")
     return F.btrim(x, F.lit(STRIP_CHARS))
 
 
 def clean_eval(c) -> Column:
     """Evaluation-side cleaner (wider kept class)."""
-    x = F.regexp_replace(_c(c), LANG_SUFFIX_PATTERN, "")
+    x = F.regexp_replace(_c(c), _SUFFIX, "")
     x = F.regexp_replace(x, KEEP_CLASS_EVAL, "")
     return F.btrim(x, F.lit(STRIP_CHARS))
 
 
 def strip_lang_suffix(c) -> Column:
     """Only remove the language suffix."""
-    return F.regexp_replace(_c(c), LANG_SUFFIX_PATTERN, "")
+    return F.regexp_replace(_c(c), _SUFFIX, "")
 
 
 def fold(c) -> Column:
@@ -137,4 +141,5 @@ def setting_name(model, weighted, strategy, top_n, top_n_way, context=None, data
 
 def log_index(c) -> Column:
     """First integer after 'Index:' or 'i:' in a log line."""
-    return F.regexp_extract(_c(c), r"(?:Index|i):\s*(\d+)", 1).cast("int")
+    x = F.regexp_extract(_c(c), r"(?:Index|i):\s*(\d+)", 1)
+    return F.when(x != "", x.cast("int"))

@@ -32,8 +32,8 @@ def norm(a) -> Column:
 
 
 def cosine_distance(a, b) -> Column:
-    """1 - a.b / (|a| |b|)."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """1 - a.b / (|a| |b|); NULL when a vector has zero length."""
+    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def l2_distance(a, b) -> Column:
