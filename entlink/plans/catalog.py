@@ -723,3 +723,74 @@ def q_literal_count_confusion(spark, sf):
 
 
 FLAGSHIP = "link_status"
+
+
+# --------------------------------------------------------------- datasets --
+
+def _scratch(spark, name):
+    from entlink.session import scratch_path
+    return scratch_path(spark, name)
+
+
+_CAP = "^[A-Z][a-z]+$"
+
+
+def conll_from_conversations(spark, sf) -> str:
+    """Write CoNLL entity-disambiguation files derived from ``conversations``:
+    one document per conversation, one sentence per turn, capitalised words
+    as mention tokens. Returns the directory."""
+    from entlink.sources.datasets import DOC_MARKER
+    c = table(spark, sf, "conversations")
+    toks = F.filter(F.split("text", r"\s+"), lambda t: t != "")
+    line = lambda t: F.when(t.rlike(_CAP), F.concat_ws(
+        "\t", t, F.lit("B"), t, t, F.concat(F.lit("en.wikipedia.org/wiki/"), t), F.lit("000"), F.lit("000"))
+    ).otherwise(t)
+    block = F.concat(F.array_join(F.transform(toks, lambda t: F.concat(line(t), F.lit("\n"))), ""), F.lit("\n"))
+    per_turn = c.select("conv_id", "turn", block.alias("blk"))
+    docs = per_turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "blk"))).alias("_b"))
+    body = F.array_join(F.transform("_b", lambda x: x["blk"]), "")
+    # the writer ends each record with a newline: drop ours so a document ends
+    # like in the published files (last sentence, blank line, next marker)
+    text = F.concat(F.lit(DOC_MARKER + " (conv_"), F.col("conv_id").cast("string"), F.lit("\n"),
+                    F.expr("substring(_body, 1, length(_body) - 1)"))
+    path = _scratch(spark, "conll")
+    docs.select("conv_id", body.alias("_body")).select(text.alias("value")).write.text(path)
+    return path
+
+
+_CONLL_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sid,
+         list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS tk FROM conversations)
+"""
+
+
+@query("conll_documents", [], _CONLL_SQL + """
+SELECT ' (conv_' || conv_id AS doc_key,
+       string_agg(array_to_string(list_transform(tk, lambda x: x || ' '), ''), '' ORDER BY turn) AS text
+FROM t GROUP BY conv_id
+""")
+def q_conll_documents(spark, sf):
+    from entlink.sources.datasets import read_conll
+    return read_conll(spark, conll_from_conversations(spark, sf))[2]
+
+
+@query("conll_sentences", [], _CONLL_SQL + """
+SELECT ' (conv_' || conv_id AS doc_key, sid, array_to_string(list_transform(tk, lambda x: x || ' '), '') AS text FROM t
+UNION ALL
+SELECT ' (conv_' || conv_id, count(*), '' FROM t GROUP BY conv_id
+""")
+def q_conll_sentences(spark, sf):
+    from entlink.sources.datasets import read_conll
+    return read_conll(spark, conll_from_conversations(spark, sf))[0]
+
+
+@query("conll_mentions", [], _CONLL_SQL + """
+SELECT ' (conv_' || conv_id AS doc_key, sid, label, 'http://dbpedia.org/resource/' || label AS uri, min(p) AS m_pos
+FROM (SELECT conv_id, sid, unnest(tk) AS label, generate_subscripts(tk, 1) - 1 AS p FROM t) u
+WHERE regexp_matches(label, '^[A-Z][a-z]+$')
+GROUP BY 1, 2, 3, 4
+""")
+def q_conll_mentions(spark, sf):
+    from entlink.sources.datasets import read_conll
+    return read_conll(spark, conll_from_conversations(spark, sf))[1]
