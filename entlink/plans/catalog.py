@@ -794,3 +794,143 @@ GROUP BY 1, 2, 3, 4
 def q_conll_mentions(spark, sf):
     from entlink.sources.datasets import read_conll
     return read_conll(spark, conll_from_conversations(spark, sf))[1]
+
+
+_QALD_PREFIXES = ("PREFIX kg: <http://kg.example/> "
+                  "PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> ")
+
+
+def qald_from_parts(spark, sf) -> str:
+    """Raw QALD files derived from ``part``: one multilingual question per
+    part, grouped into a few JSON documents ``{"questions": [...]}``."""
+    p = table(spark, sf, "part")
+    sparql = F.concat(F.lit(_QALD_PREFIXES + 'SELECT ?x WHERE { ?x rdfs:label "'), F.col("p_name"),
+                      F.lit('" . ?x kg:brand "'), F.col("p_brand"), F.lit('" }'))
+    q = F.struct(F.col("p_partkey").cast("string").alias("id"),
+                 F.array(F.struct(F.lit("fr").alias("language"), F.col("p_type").alias("string")),
+                         F.struct(F.lit("en").alias("language"),
+                                  F.concat(F.lit("Which parts are named "), F.col("p_name"), F.lit("?"))
+                                  .alias("string"))).alias("question"),
+                 F.struct(sparql.alias("sparql")).alias("query"))
+    g = p.select((F.col("p_partkey") % 8).alias("bucket"), q.alias("q")).groupBy("bucket") \
+        .agg(F.to_json(F.struct(F.collect_list("q").alias("questions"))).alias("value"))
+    path = _scratch(spark, "qald")
+    g.write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("qald_ingest", [], r"""
+SELECT 'Which parts are named ' || p_name || '?' AS question, CAST(p_partkey AS VARCHAR) AS id,
+       regexp_replace(
+         replace(replace(regexp_replace(sq, 'PREFIX\s+\w+:\s+<[^>]+> ', '', 'g'),
+                         'kg:', 'http://kg.example/'), 'rdfs:', 'http://www.w3.org/2000/01/rdf-schema#'),
+         '((?:(?:https?|ftp):\/\/)?[\w/\-?=%.]+\.[\w/\-&?=%:#]+)', '<\1>', 'g') AS sparql_query
+FROM (SELECT *, 'PREFIX kg: <http://kg.example/> PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> '
+                || 'SELECT ?x WHERE { ?x rdfs:label "' || p_name || '" . ?x kg:brand "' || p_brand || '" }' AS sq
+      FROM part) t
+""")
+def q_qald_ingest(spark, sf):
+    from entlink.sources.datasets import ingest_qald
+    return ingest_qald(spark, qald_from_parts(spark, sf)).select("question", "id", "sparql_query")
+
+
+def qa_from_documents(spark, sf) -> str:
+    """Annotated question files (JSON arrays) derived from ``documents``:
+    question = the whole text, entity mapping = its capitalised words."""
+    d = table(spark, sf, "documents")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w.rlike(_CAP))
+    item = F.struct(F.col("text").alias("question"), F.col("doc_id").cast("string").alias("id"),
+                    F.lit("").alias("sparql_query"),
+                    F.transform(words, lambda w: F.struct(w.alias("label"), F.concat(
+                        F.lit("http://dbpedia.org/resource/"), w).alias("uri"))).alias("entity mapping"),
+                    F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("uri"))).alias("predicate mapping"))
+    g = d.select((F.col("doc_id") % 8).alias("bucket"), item.alias("it")).groupBy("bucket") \
+        .agg(F.to_json(F.collect_list("it")).alias("value"))
+    path = _scratch(spark, "qa")
+    g.write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("qa_mentions", [], r"""
+SELECT CAST(doc_id AS VARCHAR) AS id, m_pos, label, 'http://dbpedia.org/resource/' || label AS uri FROM (
+  SELECT doc_id, unnest(w) AS label, generate_subscripts(w, 1) - 1 AS m_pos FROM (
+    SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '^[A-Z][a-z]+$')) AS w
+    FROM documents) t) u
+""")
+def q_qa_mentions(spark, sf):
+    from entlink.sources.datasets import read_qa
+    return read_qa(spark, qa_from_documents(spark, sf))[1]
+
+
+@query("eval_log_parse", ["preds", "disambig"], _NBR_CTE + """
+SELECT p.idx, p.y_true, p.y_pred,
+       CASE WHEN lower(p.y_pred) = lower(p.y_true) THEN 'Correct'
+            WHEN n.y_true IS NOT NULL THEN 'Disambiguated' ELSE 'Error' END AS status
+FROM preds p
+LEFT JOIN (SELECT DISTINCT y_true, lower(e) AS e FROM nbr) n ON n.y_true = p.y_true AND n.e = lower(p.y_pred)
+""")
+def q_eval_log_parse(spark, sf):
+    from entlink.sources.datasets import eval_log_lines, read_eval_log
+    preds, disambig = load(spark, sf, "preds", "disambig")
+    log = L.apply_disambiguation(preds, disambig)
+    path = _scratch(spark, "evallog")
+    eval_log_lines(log, "fixture_setting").orderBy("_h", "_order").select("value").write.text(path)
+    return read_eval_log(spark, path).select("idx", "y_true", "y_pred", "status")
+
+
+# ------------------------------------------------------------ sinks, i/o --
+
+@query("triples_csv_roundtrip", ["literals"], "SELECT * FROM literals")
+def q_triples_csv_roundtrip(spark, sf):
+    from entlink.sinks.stage import write_triples_csv
+    path = _scratch(spark, "triples-csv")
+    write_triples_csv(TR.literals(_parsed(spark, sf)), path)
+    return rdf.read_triples_csv(spark, path)
+
+
+@query("embeddings_json_roundtrip", ["emb_literals"], """
+SELECT s, p, o, typeObject, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total
+FROM emb_literals
+""")
+def q_embeddings_json_roundtrip(spark, sf):
+    from entlink.sinks.stage import write_embeddings
+    path = _scratch(spark, "emb-json")
+    write_embeddings(load(spark, sf, "emb_literals").select("s", "p", "o", "typeObject", "embedding"), path, "json")
+    e = rdf.read_embeddings(spark, path, "json")
+    return e.select("s", "p", "o", "typeObject", F.size("embedding").alias("dims"),
+                    _r(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x))
+                    .alias("total"))
+
+
+@query("stage_once", ["literals"], "SELECT s, p, o, 1 AS writes FROM literals")
+def q_stage_once(spark, sf):
+    from entlink.sinks.stage import materialize
+    path = _scratch(spark, "stage")
+    lits = load(spark, sf, "literals")
+    first, w1 = materialize(spark, lambda: lits, path)
+    second, w2 = materialize(spark, lambda: lits, path)   # already complete: no write
+    return second.withColumn("writes", F.lit(int(w1) + int(w2)))
+
+
+def dump_files(spark, sf) -> list[str]:
+    """N-Triples dump files derived from the driver tables: the KG lines, and
+    a disambiguation dump whose path names it as such."""
+    kg, dis = load(spark, sf, "kg_lines", "disambig")
+    base = _scratch(spark, "dump")
+    kg.write.option("compression", "bzip2").text(base + "/kg_en")
+    dis.select(F.concat(F.lit("<"), "s", F.lit("> <http://kg.example/disambiguates> <"), "o", F.lit("> ."))
+               .alias("value")).write.text(base + "/disambiguations_en")
+    return [base + "/kg_en", base + "/disambiguations_en"]
+
+
+@query("ingest_dump", ["literals", "links", "disambig"], """
+SELECT 'literal' AS kind, count(*) AS n FROM literals
+UNION ALL SELECT 'link', (SELECT count(*) FROM links) + (SELECT count(*) FROM (SELECT DISTINCT * FROM disambig) d)
+UNION ALL SELECT 'disambiguation', count(*) FROM (SELECT DISTINCT * FROM disambig) d
+""")
+def q_ingest_dump(spark, sf):
+    t = rdf.read_ntriples(spark, dump_files(spark, sf)).distinct()
+    lits = TR.literals(t).select(F.lit("literal").alias("kind"))
+    links = TR.links(t).select(F.lit("link").alias("kind"))
+    dis = rdf.read_disambiguation(t).select(F.lit("disambiguation").alias("kind"))
+    return lits.unionByName(links).unionByName(dis).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

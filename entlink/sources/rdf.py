@@ -65,7 +65,7 @@ def parse_ntriples(lines: DataFrame, value: str = "value", keep: list[str] | Non
 def read_lines(spark: SparkSession, paths: str | list[str], latin1_fallback: bool = True) -> DataFrame:
     """One splittable scan over many line files (``.bz2`` allowed).
 
-    Returns ``(value, file_name)``. With ``latin1_fallback`` each line is read
+    Returns ``(value, file_path)``. With ``latin1_fallback`` each line is read
     as ISO-8859-1 (byte-preserving) and re-decoded as UTF-8 when valid.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -79,7 +79,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], latin1_fallback: boo
     else:
         raw = spark.read.text(paths)
         value = F.col("value")
-    return raw.select(value.alias("value"), F.col("_metadata.file_name").alias("file_name"))
+    return raw.select(value.alias("value"), F.col("_metadata.file_path").alias("file_path"))
 
 
 def lang_gate(triples: DataFrame, lang: str = "en") -> DataFrame:
@@ -96,19 +96,19 @@ def lang_gate_strict(lines: DataFrame, lang: str = "en", value: str = "value") -
 
 def read_ntriples(spark: SparkSession, paths: str | list[str], latin1_fallback: bool = True,
                   lang: str | None = "en", strict: bool = False) -> DataFrame:
-    """Dump files -> triples (+ ``file_name``), language-gated at ingest."""
+    """Dump files -> triples (+ ``file_path``), language-gated at ingest."""
     lines = read_lines(spark, paths, latin1_fallback)
     if lang and strict:
         lines = lang_gate_strict(lines, lang)
-    t = parse_ntriples(lines, keep=["file_name"])
+    t = parse_ntriples(lines, keep=["file_path"])
     if lang and not strict:
         t = lang_gate(t, lang)
     return t
 
 
 def read_disambiguation(triples_with_file: DataFrame, marker: str = "disambiguation") -> DataFrame:
-    """Disambiguation links = link triples read from files named like ``marker``."""
-    return triples_with_file.where(F.col("file_name").contains(marker) & F.col("o_iri").isNotNull()) \
+    """Disambiguation links = link triples read from files whose path holds ``marker``."""
+    return triples_with_file.where(F.col("file_path").contains(marker) & F.col("o_iri").isNotNull()) \
         .select("s", "p", F.col("o_iri").alias("o"))
 
 
