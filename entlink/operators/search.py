@@ -205,3 +205,39 @@ def subjects_present(keys: DataFrame, vectors: DataFrame, key_col: str, sub: str
         k = small(k, n_rows)
     found = vectors.select(F.lower(sub).alias("_k")).join(k, "_k", "left_semi").distinct()
     return keys.join(found, F.lower(F.col(key_col)) == F.col("_k"), "left_semi")
+
+
+def ivf_index(vectors: DataFrame, n_cells: int = 250, vec: str = "embedding", seed: int = 1,
+              max_iter: int = 10):
+    """G3 (build): MLlib k-means cells over L2-normalised vectors. Returns
+    ``(assigned vectors with column 'cell', centroids DataFrame (cell, centroid))``.
+    Only the ``n_cells`` centroids are small; the vectors stay distributed."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    nv = vectors.withColumn("_nv", array_to_vector(F.transform(
+        F.col(vec).cast("array<double>"), lambda x: x / V.norm(vec))))
+    km = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_nv", predictionCol="cell")
+    model = km.fit(nv)
+    assigned = model.transform(nv).drop("_nv")
+    spark = vectors.sparkSession
+    cents = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())],
+                                  "cell int, centroid array<double>")
+    return assigned, cents
+
+
+def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int = TOP_K,
+               probes: int = 10, key: str = "idx", qvec: str = "mention_vec", vec: str = "embedding",
+               payload: list[str] | None = None) -> DataFrame:
+    """G3 (search): probe the ``probes`` nearest cells of each query, then rank
+    the vectors of those cells exactly. Returns ``(key, payload..., distance)``."""
+    spark = assigned.sparkSession
+    payload = payload or [c for c in assigned.columns if c not in (vec, "cell")]
+    qs = stage_queries(queries, key, qvec)
+    cells = knn_join(qs, centroids, probes, "cosine", key=key, vec="centroid", payload=["cell"]) \
+        .select(key, "cell")
+    cand = assigned.join(small(cells, qs.n * probes), "cell")
+    qdf = qs.df(spark).withColumnRenamed("_q", key)
+    cand = cand.join(small(qdf, qs.n), key).withColumn("distance", V.cosine_distance(vec, "_qv"))
+    w = Window.partitionBy(key).orderBy(F.col("distance").asc(), *[F.col(c).asc_nulls_first() for c in payload])
+    return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k) \
+        .select(key, *payload, "distance")

@@ -934,3 +934,101 @@ def q_ingest_dump(spark, sf):
     links = TR.links(t).select(F.lit("link").alias("kind"))
     dis = rdf.read_disambiguation(t).select(F.lit("disambiguation").alias("kind"))
     return lits.unionByName(links).unionByName(dis).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ----------------------------------------------------------------- encode --
+
+@query("encode_literals", ["literals"], f"""
+WITH l AS (SELECT s, p, o, count(*) OVER (PARTITION BY lower(o)) AS count, {_sql_clean('o', _CLS_ENC)} AS c
+           FROM literals WHERE o IS NOT NULL),
+l2 AS (SELECT * FROM l WHERE c <> ''),
+t AS (SELECT s, p, o, unnest(string_split_regex(lower(c), '[^a-z0-9]+')) AS tok FROM l2),
+b AS (SELECT s, p, o, ('0x' || substring(md5(tok), 1, 4))::INT % 64 AS bucket FROM t WHERE tok <> '' GROUP BY ALL)
+SELECT l2.s, l2.p, l2.c AS o, l2.count, 64 AS dims, coalesce(nb, 0) AS n_buckets,
+       round(CASE WHEN nb > 0 THEN 1.0 ELSE 0.0 END, 4) AS norm
+FROM l2 LEFT JOIN (SELECT s, p, o, count(*) AS nb FROM b GROUP BY ALL) v
+  ON v.s = l2.s AND v.p = l2.p AND v.o = l2.o
+""")
+def q_encode_literals(spark, sf):
+    from entlink.plans.encode import encode_literals
+    e = encode_literals(load(spark, sf, "literals"))
+    return e.select("s", "p", "o", "count", F.size("embedding").alias("dims"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("n_buckets"),
+                    _r(V.norm("embedding")).alias("norm"))
+
+
+@query("encode_entities", ["literals"], f"""
+SELECT s, count(*) AS n_rows FROM literals WHERE {_sql_clean('o', _CLS_ENC)} <> '' GROUP BY s
+""")
+def q_encode_entities(spark, sf):
+    from entlink.plans.encode import encode_entities, encode_literals
+    ents = encode_entities(encode_literals(load(spark, sf, "literals")))
+    return ents.select("s", "n_rows")
+
+
+@query("vector_table", ["emb_literals"], """
+WITH u AS (
+  SELECT s, p, o, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding::DOUBLE[]) AS x FROM emb_literals),
+m AS (SELECT s, i, avg(x) AS mx, count(*) AS n FROM u GROUP BY s, i),
+lab AS (SELECT s, i, x AS lx FROM (
+          SELECT u.*, dense_rank() OVER (PARTITION BY s ORDER BY p, o) AS r FROM u
+          WHERE p IN ('http://www.w3.org/2000/01/rdf-schema#label', 'http://xmlns.com/foaf/0.1/name')) t WHERE r = 1),
+e AS (SELECT m.s, sum(CASE WHEN lab.lx IS NOT NULL AND m.n > 1 THEN (m.mx + lab.lx) / 2.0 ELSE m.mx END) AS total,
+             count(*) AS dims
+      FROM m LEFT JOIN lab ON lab.s = m.s AND lab.i = m.i GROUP BY m.s)
+SELECT substring(s, 1, 255) AS sub, substring(p, 1, 255) AS pred, substring(o, 1, 384) AS obj, 'L' AS type_obj,
+       len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM emb_literals
+UNION ALL
+SELECT substring(s, 1, 255), NULL, substring(s, 1, 384), 'E', dims, round(total, 4) + 0.0 FROM e
+""")
+def q_vector_table(spark, sf):
+    from entlink.sinks.stage import build_vector_table, shape_vector_rows
+    lits = load(spark, sf, "emb_literals").select("s", "p", "o", "typeObject", "embedding")
+    ents = EM.entity_embeddings(lits)
+    vt = shape_vector_rows(build_vector_table(lits, ents), as_float=False)
+    return vt.select("sub", "pred", "obj", "type_obj", F.size("embedding").alias("dims"),
+                     _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+# --------------------------------------------------------- sample, ivf, ctx --
+
+@query("sample_mentions")
+def q_sample_mentions(spark, sf):
+    preds, lits = load(spark, sf, "preds", "literals")
+    present = preds.join(lits.select(F.col("s").alias("y_true")).distinct(), "y_true", "left_semi")
+    s = L.sample_mentions(preds, present)
+    return L.with_index(s.select("idx", "y_true", "y_pred"), ["idx"], "position")
+
+
+@query("ivf_search")
+def q_ivf_search(spark, sf):
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    n_cells = 250 if vectors.count() >= 2500 else 16
+    assigned, cents = S.ivf_index(vectors, n_cells)
+    return S.ivf_search(mentions, assigned, cents, S.TOP_K, probes=10, payload=VEC_PAYLOAD) \
+        .withColumn("distance", _r("distance"))
+
+
+@query("context_sentences", [], _CONLL_SQL + f"""
+, docs AS (
+  SELECT ' (conv_' || conv_id AS doc_key,
+         string_agg(array_to_string(list_transform(tk, lambda x: x || ' '), ''), '' ORDER BY turn) AS text
+  FROM t GROUP BY conv_id),
+m AS (
+  SELECT DISTINCT ' (conv_' || conv_id AS doc_key, sid, label FROM (
+    SELECT conv_id, sid, unnest(tk) AS label FROM t) u WHERE regexp_matches(label, '^[A-Z][a-z]+$')),
+d AS (SELECT doc_key, {_sql_clean('text', _CLS_EVAL)} AS doc FROM docs)
+SELECT m.doc_key, m.sid, m.label, unnest(
+  CASE WHEN length(d.doc) > 384 THEN
+    list_filter(list_filter(list_transform(regexp_extract_all(d.doc, '[^.!?]+[.!?]*'), lambda x: trim(x)),
+                            lambda x: x <> ''),
+                lambda x: length(x) >= 3 AND instr(lower(x), lower(m.label)) > 0)
+  ELSE [d.doc] END) AS context
+FROM m JOIN d ON d.doc_key = m.doc_key
+""")
+def q_context_sentences(spark, sf):
+    from entlink.sources.datasets import read_conll
+    _, mentions, docs = read_conll(spark, conll_from_conversations(spark, sf))
+    m = mentions.select("doc_key", "sid", F.col("label").alias("mention"))
+    ctx = L.context_sentences(m, docs, 384, key="doc_key", mention="mention")
+    return ctx.select("doc_key", "sid", F.col("mention").alias("label"), "context")
