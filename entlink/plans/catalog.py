@@ -1032,3 +1032,11 @@ def q_context_sentences(spark, sf):
     m = mentions.select("doc_key", "sid", F.col("label").alias("mention"))
     ctx = L.context_sentences(m, docs, 384, key="doc_key", mention="mention")
     return ctx.select("doc_key", "sid", F.col("mention").alias("label"), "context")
+
+
+@query("settings_grid")
+def q_settings_grid(spark, sf):
+    from entlink.plans.grid import link_grid
+    emb, mentions, disambig = load(spark, sf, "emb_literals", "mentions", "disambig")
+    g = link_grid(emb, mentions, disambig)
+    return g.select("setting", "series", "n", *[_r(c).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")])

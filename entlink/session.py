@@ -66,3 +66,13 @@ def local_path(path: str) -> str:
             p = p[1:]
         return p
     return path
+
+
+def persist_table(df, name: str):
+    """Cut lineage by writing ``df`` as parquet below the shared checkpoint
+    directory and reading it back (survives executor loss; the re-read plan
+    is a plain file scan)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
