@@ -56,16 +56,30 @@ def context_sentences(mentions: DataFrame, docs: DataFrame, max_len: int, key: s
     return j.select(*mentions.columns, F.explode(ctx).alias("context"))
 
 
-def present_mentions(mentions: DataFrame, vectors: DataFrame, gold: str = "y_true", sub: str = "sub") -> DataFrame:
+def _found_keys(mentions: DataFrame, vectors: DataFrame, gold: str, sub: str,
+                n_rows: int | None) -> DataFrame:
+    """Lower-cased gold URIs that occur as ``lower(sub)``. The vector table is
+    only filtered by the mention keys (broadcast when their count ``n_rows`` is
+    known and small), so it is never shuffled or de-duplicated whole."""
+    from entlink.operators.search import small
+    keys = mentions.select(F.lower(F.col(gold)).alias("_k")).distinct()
+    if n_rows is not None:
+        keys = small(keys, n_rows)
+    return vectors.select(F.lower(sub).alias("_k")).join(keys, "_k", "left_semi").distinct()
+
+
+def present_mentions(mentions: DataFrame, vectors: DataFrame, gold: str = "y_true", sub: str = "sub",
+                     n_rows: int | None = None) -> DataFrame:
     """mentions whose gold URI (case-insensitive) has rows in the vector table."""
-    keys = vectors.select(F.lower(sub).alias("_k")).distinct()
-    return mentions.join(keys, F.lower(F.col(gold)) == F.col("_k"), "left_semi")
+    found = _found_keys(mentions, vectors, gold, sub, n_rows)
+    return mentions.join(found, F.lower(F.col(gold)) == F.col("_k"), "left_semi")
 
 
-def missing_entities(mentions: DataFrame, vectors: DataFrame, gold: str = "y_true", sub: str = "sub") -> DataFrame:
+def missing_entities(mentions: DataFrame, vectors: DataFrame, gold: str = "y_true", sub: str = "sub",
+                     n_rows: int | None = None) -> DataFrame:
     """Mentions whose gold URI is absent from the vector table."""
-    keys = vectors.select(F.lower(sub).alias("_k")).distinct()
-    return mentions.join(keys, F.lower(F.col(gold)) == F.col("_k"), "left_anti")
+    found = _found_keys(mentions, vectors, gold, sub, n_rows)
+    return mentions.join(found, F.lower(F.col(gold)) == F.col("_k"), "left_anti")
 
 
 def with_context_distance(cands: DataFrame, ctx: DataFrame, key: str = "idx", vec: str = "embedding") -> DataFrame:
@@ -121,7 +135,8 @@ def _edges(disambig: DataFrame) -> DataFrame:
         .unionByName(disambig.select(F.col("o").alias("a"), F.col("s").alias("b")))
 
 
-def disambiguated_hits(preds: DataFrame, disambig: DataFrame, key: str = "idx") -> DataFrame:
+def disambiguated_hits(preds: DataFrame, disambig: DataFrame, key: str = "idx",
+                       n_rows: int | None = None) -> DataFrame:
     """G2 core: keys of wrong predictions that lie in the gold URI's
     disambiguation neighbourhood (G1), found without building it.
 
@@ -132,8 +147,11 @@ def disambiguated_hits(preds: DataFrame, disambig: DataFrame, key: str = "idx")
     neighbours plus itself, and the two meet on ``(key, lower-cased URI)``:
     rows per mention stay at the two degrees instead of the product.
     """
+    from entlink.operators.search import small
     e = _edges(disambig)
     p = preds.where(F.lower("y_pred") != F.lower("y_true")).select(key, "y_true", "y_pred")
+    if n_rows is not None:
+        p = small(p, n_rows)
     gold_side = p.join(e, F.col("y_true") == F.col("a")).select(key, F.lower("b").alias("_k"))
     el = e.select(F.lower("a").alias("_la"), F.lower("b").alias("_lb"))
     pred_side = p.join(el, F.lower(F.col("y_pred")) == F.col("_lb")).select(key, F.col("_la").alias("_k")) \
@@ -141,10 +159,11 @@ def disambiguated_hits(preds: DataFrame, disambig: DataFrame, key: str = "idx")
     return gold_side.join(pred_side, [key, "_k"], "left_semi").select(key).distinct()
 
 
-def apply_disambiguation(preds: DataFrame, disambig: DataFrame, key: str = "idx") -> DataFrame:
+def apply_disambiguation(preds: DataFrame, disambig: DataFrame, key: str = "idx",
+                         n_rows: int | None = None) -> DataFrame:
     """Status Correct / Disambiguated / Error and the forgiven prediction
     ``y_pred_dis`` (= ``y_true`` when Disambiguated)."""
-    hits = disambiguated_hits(preds, disambig, key).withColumn("_hit", F.lit(True))
+    hits = disambiguated_hits(preds, disambig, key, n_rows).withColumn("_hit", F.lit(True))
     j = preds.join(hits, key, "left")
     correct = F.lower("y_pred") == F.lower("y_true")
     status = F.when(correct, F.lit(STATUS_CORRECT)) \

@@ -71,17 +71,18 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
     from entlink.session import persist_table
     settings = settings or default_settings()
     logs = []
+    n = mentions.count()   # bounds the broadcasts of mention-sized data
     variants = sorted({(s.weighted, s.top_n, s.top_n_way) for s in settings}, key=repr)
     for weighted, top_n, way in variants:
         vt = vector_variant(emb_lits, weighted, top_n, way)
-        present = L.present_mentions(mentions, vt)
-        absent = L.missing_entities(mentions, vt)
+        present = L.present_mentions(mentions, vt, n_rows=n)
+        absent = L.missing_entities(mentions, vt, n_rows=n)
         cands = persist_table(LK.candidates_with_fallback(present, vt, key=key), "grid-candidates")
         for st in [s for s in settings if (s.weighted, s.top_n, s.top_n_way) == (weighted, top_n, way)]:
             name = setting_name(F.lit(model), F.lit(st.weighted), F.lit(strategy),
                                 F.lit(st.top_n).cast("int"), F.lit(st.top_n_way).cast("string"),
                                 F.lit(st.context_with_mention), F.lit(dataset))
-            log = LK._finish(present, absent, cands, disambig, st.context_with_mention, key) \
+            log = LK._finish(present, absent, cands, disambig, st.context_with_mention, key, n) \
                 .where(F.col("status") != L.STATUS_NOT_PRESENT)
             logs.append(persist_table(log.select(name.alias("setting"), "y_true", "y_pred", "y_pred_dis"),
                                       "grid-log"))

@@ -55,19 +55,24 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
 
 def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame, k: int = S.TOP_K,
                   with_mention: bool = True, gold_fallback: bool = True, key: str = "idx") -> DataFrame:
-    """U4: eval log for every mention; absent gold URIs get status 'Not present'."""
-    present = L.present_mentions(mentions, vectors)
-    absent = L.missing_entities(mentions, vectors)
+    """U4: eval log for every mention; absent gold URIs get status 'Not present'.
+
+    The mention count (one small action) bounds every broadcast of
+    mention-sized data; the vector table is only scanned, never shuffled."""
+    n = mentions.count()
+    present = L.present_mentions(mentions, vectors, n_rows=n)
+    absent = L.missing_entities(mentions, vectors, n_rows=n)
     cands = candidates_with_fallback(present, vectors, k, gold_fallback, key)
-    return _finish(present, absent, cands, disambig, with_mention, key)
+    return _finish(present, absent, cands, disambig, with_mention, key, n)
 
 
 def _finish(present: DataFrame, absent: DataFrame, cands: DataFrame, disambig: DataFrame,
-            with_mention: bool, key: str) -> DataFrame:
+            with_mention: bool, key: str, n_rows: int | None = None) -> DataFrame:
     ctx = L.context_vector(present, with_mention=with_mention).select(key, "context_vec")
     scored = L.with_context_distance(cands, ctx, key)
     preds = L.rerank(scored, key).join(present.select(key, "y_true"), key)
-    linked = L.apply_disambiguation(preds, disambig, key).select(key, "y_true", "y_pred", "y_pred_dis", "status")
+    linked = L.apply_disambiguation(preds, disambig, key, n_rows) \
+        .select(key, "y_true", "y_pred", "y_pred_dis", "status")
     missing = absent.select(key, "y_true", F.lit(None).cast("string").alias("y_pred"),
                             F.lit(None).cast("string").alias("y_pred_dis"),
                             F.lit(L.STATUS_NOT_PRESENT).alias("status"))
