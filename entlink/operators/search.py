@@ -6,9 +6,10 @@ thousand rows) against the vector table (the big side):
 * the query set is written once to the shared checkpoint directory by a
   Spark job (``stage_queries``); its row count is then known, which bounds
   every broadcast made from it;
-* each vector partition runs ``mapInPandas``: it reads the staged queries
-  (in chunks of ``query_chunk`` rows to bound task memory), computes the
-  distance block with numpy, and keeps per query only the rows within the
+* each vector partition runs ``mapInArrow``: it reads the staged queries
+  (in chunks of ``query_chunk`` rows to bound task memory), views the
+  batch's vectors as one flat float buffer, computes the distance block with
+  numpy, and keeps per query only the rows within the
   k-th best distance of that partition (boundary ties kept);
 * ``row_number() OVER (PARTITION BY query ORDER BY distance, tie-break) <= k``
   produces the exact global top-k. Spark inserts a partial WindowGroupLimit
@@ -23,7 +24,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,14 +126,21 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
     out_schema = T.StructType(list(src.select(*payload).schema.fields) + [
         T.StructField("_q", qs.key_type, True), T.StructField("distance", T.DoubleType(), True)])
     path, kk, slack = qs.path, int(k), 1e-9
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow_out = to_arrow_schema(out_schema)
+    vec_pos = src.columns.index(vec)
+    pay_pos = [src.columns.index(c) for c in payload]
 
     def run(batches):
+        import pyarrow as pa
         chunks = _load_queries(path, query_chunk)
-        kept: list[pd.DataFrame] = []
-        for pdf in batches:
-            if len(pdf) == 0 or not chunks:
+        kept: list = []
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0 or not chunks:
                 continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
+            x = _batch_matrix(rb.column(vec_pos), n)
+            base = pa.Table.from_batches([rb.select(pay_pos)])
             for qids, qm in chunks:
                 d = _block_distance(x, qm, metric)
                 if max_distance is not None:
@@ -144,27 +151,54 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
                 if len(rows) == 0:
                     continue
                 exact = _pair_distance(x[rows], qm[cols], metric)
-                part = pdf.iloc[rows][payload].reset_index(drop=True)
-                part["_q"] = qids[cols]
-                part["distance"] = exact
                 if max_distance is not None:
-                    part = part[part["distance"] < max_distance]
+                    ok = exact < max_distance
+                    rows, cols, exact = rows[ok], cols[ok], exact[ok]
+                part = base.take(pa.array(rows)) \
+                    .append_column("_q", pa.array(qids[cols]).cast(arrow_out.field("_q").type)) \
+                    .append_column("distance", pa.array(exact, type=pa.float64()))
                 kept.append(part)
             # keep the partial lists small: per query only rows within its k-th best
             if len(kept) > 8:
-                kept = [_prune(pd.concat(kept, ignore_index=True), kk)]
+                kept = [_prune(pa.concat_tables(kept), kk)]
         if kept:
-            yield _prune(pd.concat(kept, ignore_index=True), kk)
+            out = _prune(pa.concat_tables(kept), kk).cast(arrow_out)
+            yield from out.to_batches()
 
-    partial = src.mapInPandas(run, out_schema)
+    partial = src.mapInArrow(run, out_schema)
     w = Window.partitionBy("_q").orderBy(F.col("distance").asc(), *[F.col(c).asc_nulls_first() for c in tie_break])
     top = partial.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kk).drop("_rn")
     return top.withColumnRenamed("_q", key).select(key, *payload, "distance")
 
 
-def _prune(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    kth = df.groupby("_q")["distance"].transform(lambda s: np.partition(s.to_numpy(), min(k, len(s)) - 1)[min(k, len(s)) - 1])
-    return df[df["distance"] <= kth + 1e-9].reset_index(drop=True)
+def _batch_matrix(col, n: int) -> np.ndarray:
+    """Arrow list<float|double> column of equal-length vectors -> (n, d) float64
+    matrix, read from the flat value buffer without per-row Python."""
+    import pyarrow as pa
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    offs = col.offsets.to_numpy()
+    lens = np.diff(offs)
+    if len(lens) and not np.all(lens == lens[0]):
+        raise ValueError("vectors of different lengths in one table")
+    d = int(lens[0]) if len(lens) else 0
+    flat = col.values.slice(int(offs[0]), n * d).to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64, copy=False).reshape(n, d)
+
+
+def _prune(tbl, k: int):
+    """Keep, per query, the rows within its k-th best distance (ties kept)."""
+    q = tbl.column("_q").to_numpy(zero_copy_only=False)
+    dist = tbl.column("distance").to_numpy(zero_copy_only=False)
+    order = np.lexsort((dist, q))
+    qs, ds = q[order], dist[order]
+    starts = np.r_[0, np.nonzero(qs[1:] != qs[:-1])[0] + 1]
+    sizes = np.diff(np.r_[starts, len(qs)])
+    kth_idx = starts + np.minimum(sizes, k) - 1
+    kth = np.repeat(ds[kth_idx], sizes)
+    keep = np.zeros(len(q), dtype=bool)
+    keep[order] = ds <= kth + 1e-9
+    return tbl.filter(keep)
 
 
 def cosine_top_k(queries, vectors: DataFrame, k: int = TOP_K, **kw) -> DataFrame:
