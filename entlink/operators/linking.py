@@ -204,15 +204,14 @@ def sample_mentions(mentions: DataFrame, present: DataFrame, n: int = SAMPLE_SIZ
 def with_index(df: DataFrame, order_cols: list[str], name: str = "index") -> DataFrame:
     """Dense 0-based index in ``order_cols`` order without a single-task window.
 
-    Range-partitions and sorts, checkpoints (reliable, to the shared
-    checkpoint dir) so positions are stable, then adds per-partition offsets
-    from a tiny (one row per partition) table.
+    Range-partitions and sorts, writes the positions to a table in the shared
+    checkpoint folder (so they are stable under recomputation), then adds
+    per-partition offsets from a tiny (one row per partition) table.
     """
-    from entlink.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+    from entlink.session import persist_table
     s = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols) \
         .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    s = s.checkpoint(eager=True)
+    s = persist_table(s, "with-index")
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).select("_pid", "_off")

@@ -9,8 +9,9 @@ thousand rows) against the vector table (the big side):
 * each vector partition runs ``mapInArrow``: it reads the staged queries
   (in chunks of ``query_chunk`` rows to bound task memory), views the
   batch's vectors as one flat float buffer, computes the distance block with
-  numpy, and keeps per query only the rows within the
-  k-th best distance of that partition (boundary ties kept);
+  numpy, and keeps per query its k first rows in ``(distance, tie-break)``
+  order (boundary ties are resolved by the same tie-break columns the final
+  window uses, so the union of these lists holds the exact answer);
 * ``row_number() OVER (PARTITION BY query ORDER BY distance, tie-break) <= k``
   produces the exact global top-k. Spark inserts a partial WindowGroupLimit
   before the shuffle, so at most k rows per query per partition move.
@@ -84,17 +85,10 @@ def _load_queries(path: str, chunk: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _QCACHE[key]
 
 
-def _pair_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Row-wise distance between equally shaped (n, d) arrays."""
-    if metric == "cosine":
-        return 1.0 - np.einsum("ij,ij->i", x, q) / (np.linalg.norm(x, axis=1) * np.linalg.norm(q, axis=1))
-    if metric == "l2":
-        return np.sqrt(((x - q) ** 2).sum(axis=1))
-    return -np.einsum("ij,ij->i", x, q)
-
-
 def _block_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """(b, d) x (nq, d) -> (b, nq) distance block, used for selection only."""
+    """(b, d) x (nq, d) -> (b, nq) distance block. These values are the
+    distances reported (cosine: 1 - normalised dot; L2 through the dot-product
+    expansion; dot: negative inner product)."""
     if metric == "cosine":
         xn = x / np.linalg.norm(x, axis=1, keepdims=True)
         qn = q / np.linalg.norm(q, axis=1, keepdims=True)
@@ -125,12 +119,14 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
     src = vectors.select(*payload, *([vec] if vec not in payload else [])).where(F.col(vec).isNotNull())
     out_schema = T.StructType(list(src.select(*payload).schema.fields) + [
         T.StructField("_q", qs.key_type, True), T.StructField("distance", T.DoubleType(), True)])
-    path, kk, slack = qs.path, int(k), 1e-9
+    path, kk = qs.path, int(k)
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow_out = to_arrow_schema(out_schema)
     vec_pos = src.columns.index(vec)
     pay_pos = [src.columns.index(c) for c in payload]
 
+    tie_pos = [src.columns.index(c) for c in tie_break]
+
     def run(batches):
         import pyarrow as pa
         chunks = _load_queries(path, query_chunk)
@@ -140,29 +136,24 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
             if n == 0 or not chunks:
                 continue
             x = _batch_matrix(rb.column(vec_pos), n)
+            tie_rank = _tie_rank(rb, tie_pos)
             base = pa.Table.from_batches([rb.select(pay_pos)])
             for qids, qm in chunks:
                 d = _block_distance(x, qm, metric)
                 if max_distance is not None:
-                    d = np.where(d < max_distance + slack, d, np.inf)
-                m = min(kk, d.shape[0])
-                kth = np.partition(d, m - 1, axis=0)[m - 1]
-                rows, cols = np.nonzero((d <= kth[None, :] + slack) & np.isfinite(d))
+                    d = np.where(d < max_distance, d, np.inf)
+                rows, cols = _topk_rows(d, kk, tie_rank)
                 if len(rows) == 0:
                     continue
-                exact = _pair_distance(x[rows], qm[cols], metric)
-                if max_distance is not None:
-                    ok = exact < max_distance
-                    rows, cols, exact = rows[ok], cols[ok], exact[ok]
                 part = base.take(pa.array(rows)) \
                     .append_column("_q", pa.array(qids[cols]).cast(arrow_out.field("_q").type)) \
-                    .append_column("distance", pa.array(exact, type=pa.float64()))
+                    .append_column("distance", pa.array(d[rows, cols], type=pa.float64()))
                 kept.append(part)
-            # keep the partial lists small: per query only rows within its k-th best
+            # keep the partial lists small: per query only its k first rows
             if len(kept) > 8:
-                kept = [_prune(pa.concat_tables(kept), kk)]
+                kept = [_prune(pa.concat_tables(kept), kk, tie_break)]
         if kept:
-            out = _prune(pa.concat_tables(kept), kk).cast(arrow_out)
+            out = _prune(pa.concat_tables(kept), kk, tie_break).cast(arrow_out)
             yield from out.to_batches()
 
     partial = src.mapInArrow(run, out_schema)
@@ -186,19 +177,53 @@ def _batch_matrix(col, n: int) -> np.ndarray:
     return flat.astype(np.float64, copy=False).reshape(n, d)
 
 
-def _prune(tbl, k: int):
-    """Keep, per query, the rows within its k-th best distance (ties kept)."""
-    q = tbl.column("_q").to_numpy(zero_copy_only=False)
-    dist = tbl.column("distance").to_numpy(zero_copy_only=False)
-    order = np.lexsort((dist, q))
-    qs, ds = q[order], dist[order]
-    starts = np.r_[0, np.nonzero(qs[1:] != qs[:-1])[0] + 1]
-    sizes = np.diff(np.r_[starts, len(qs)])
-    kth_idx = starts + np.minimum(sizes, k) - 1
-    kth = np.repeat(ds[kth_idx], sizes)
-    keep = np.zeros(len(q), dtype=bool)
-    keep[order] = ds <= kth + 1e-9
-    return tbl.filter(keep)
+def _tie_rank(rb, tie_pos: list[int]) -> np.ndarray:
+    """Rank of every batch row in tie-break order (ascending, nulls first)."""
+    import pyarrow.compute as pc
+    n = rb.num_rows
+    if not tie_pos:
+        return np.arange(n)
+    t = rb.select(tie_pos)
+    order = pc.sort_indices(t, sort_keys=[(name, "ascending") for name in t.schema.names],
+                            null_placement="at_start").to_numpy()
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    return rank
+
+
+def _topk_rows(d: np.ndarray, k: int, tie_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per query column of ``d`` the row indices of its ``k`` smallest
+    ``(distance, tie_rank)``; infinite distances never qualify."""
+    b, nq = d.shape
+    m = min(k, b)
+    kth = np.partition(d, m - 1, axis=0)[m - 1]
+    less = d < kth[None, :]
+    eq = d == kth[None, :]
+    need = m - less.sum(axis=0)
+    fits = eq.sum(axis=0) == need
+    rows, cols = np.nonzero(less | (eq & fits[None, :]))
+    extra_r, extra_c = [rows], [cols]
+    for j in np.nonzero(~fits & np.isfinite(kth))[0]:
+        cand = np.nonzero(eq[:, j])[0]
+        pick = cand[np.argsort(tie_rank[cand], kind="stable")[:need[j]]]
+        extra_r.append(pick)
+        extra_c.append(np.full(len(pick), j))
+    rows, cols = np.concatenate(extra_r), np.concatenate(extra_c)
+    ok = np.isfinite(d[rows, cols])
+    return rows[ok], cols[ok]
+
+
+def _prune(tbl, k: int, tie_break: list[str]):
+    """Keep, per query, its ``k`` first rows in ``(distance, tie_break)`` order."""
+    import pyarrow.compute as pc
+    keys = [("_q", "ascending"), ("distance", "ascending")] + [(c, "ascending") for c in tie_break]
+    t = tbl.take(pc.sort_indices(tbl, sort_keys=keys, null_placement="at_start"))
+    q = t.column("_q").to_numpy(zero_copy_only=False)
+    if len(q) == 0:
+        return t
+    new_group = np.r_[True, q[1:] != q[:-1]]
+    starts = np.maximum.accumulate(np.where(new_group, np.arange(len(q)), 0))
+    return t.filter(np.arange(len(q)) - starts < k)
 
 
 def cosine_top_k(queries, vectors: DataFrame, k: int = TOP_K, **kw) -> DataFrame:

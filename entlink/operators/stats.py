@@ -63,3 +63,9 @@ def literal_count_confusion(log: DataFrame, lits: DataFrame, y_true: str = "y_tr
 def literal_count_matrix(confusion: DataFrame) -> DataFrame:
     """A15, wide form: one row per true count, one column per predicted count."""
     return confusion.groupBy("true_count").pivot("pred_count").agg(F.sum("n")).na.fill(0)
+
+
+def order_by_literal_count(counts: DataFrame, descending: bool = False, col: str = "n_literals") -> DataFrame:
+    """Entities ordered by literal count (then subject), a global range-partitioned sort."""
+    c = F.col(col).desc() if descending else F.col(col).asc()
+    return counts.orderBy(c, F.col("s").asc())

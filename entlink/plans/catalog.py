@@ -1040,3 +1040,73 @@ def q_settings_grid(spark, sf):
     emb, mentions, disambig = load(spark, sf, "emb_literals", "mentions", "disambig")
     g = link_grid(emb, mentions, disambig)
     return g.select("setting", "series", "n", *[_r(c).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")])
+
+
+@query("triples_by_count", ["literals"], """
+SELECT s, count(*) AS n_literals FROM literals GROUP BY s
+UNION ALL
+SELECT s, count(*) FROM literals WHERE p = 'http://www.w3.org/2000/01/rdf-schema#label' GROUP BY s
+""")
+def q_triples_by_count(spark, sf):
+    lits = load(spark, sf, "literals")
+    parts = [ST.literals_per_entity(lits),
+             ST.literals_per_entity(lits.where(F.col("p") == _LABEL))]
+    return ST.order_by_literal_count(TR.union_tables(parts), descending=True)
+
+
+@query("concat_embedding", ["literals"], """
+SELECT s, count(*) FILTER (WHERE p = 'http://www.w3.org/2000/01/rdf-schema#label') > 0 AS has_label, 64 AS dims
+FROM literals GROUP BY s
+""")
+def q_concat_embedding(spark, sf):
+    from entlink.plans.encode import encode_concat
+    e = encode_concat(load(spark, sf, "literals"))
+    lab = load(spark, sf, "literals").groupBy("s").agg(
+        (F.count_if(F.col("p") == _LABEL) > 0).alias("has_label"))
+    return e.join(lab, "s").select("s", "has_label", F.size("embedding").alias("dims"))
+
+
+def _word_kg(spark, sf):
+    """A small KG derived from ``conversations``: one entity per distinct
+    capitalised word, with the word as its label literal."""
+    c = table(spark, sf, "conversations")
+    w = c.select(F.explode(F.filter(F.split("text", r"\s+"), lambda x: x.rlike(_CAP))).alias("w")).distinct()
+    return w.select(F.concat(F.lit("http://dbpedia.org/resource/"), "w").alias("s"),
+                    F.lit(_LABEL).alias("p"), F.col("w").alias("o"))
+
+
+def qa_from_conversations(spark, sf) -> str:
+    """Annotated question files derived from ``conversations``: every turn is a
+    question, its capitalised words are the entity mapping."""
+    c = table(spark, sf, "conversations")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w.rlike(_CAP))
+    item = F.struct(F.col("text").alias("question"),
+                    F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+                    F.lit("").alias("sparql_query"),
+                    F.transform(words, lambda w: F.struct(w.alias("label"), F.concat(
+                        F.lit("http://dbpedia.org/resource/"), w).alias("uri"))).alias("entity mapping"),
+                    F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("uri"))).alias("predicate mapping"))
+    g = c.select((F.col("conv_id") % 8).alias("bucket"), item.alias("it")).groupBy("bucket") \
+        .agg(F.to_json(F.collect_list("it")).alias("value"))
+    path = _scratch(spark, "qa-conv")
+    g.write.partitionBy("bucket").text(path)
+    return path
+
+
+@query("link_qa")
+def q_link_qa(spark, sf):
+    """U2 -> U3 -> K4 -> U4 over data derived from ``conversations``: encode
+    the word KG, build its vector table, link every annotated mention with its
+    question as context, and report status counts."""
+    from entlink.plans.encode import encode_entities, encode_literals
+    from entlink.sinks.stage import build_vector_table, shape_vector_rows
+    from entlink.sources.datasets import read_qa
+    lits = encode_literals(_word_kg(spark, sf))
+    vt = shape_vector_rows(build_vector_table(lits.drop("o_raw"), encode_entities(lits)))
+    items, mentions = read_qa(spark, qa_from_conversations(spark, sf))
+    m = mentions.join(items.select("id", "question"), "id") \
+        .withColumn("idx", F.xxhash64("id", "m_pos"))
+    prepared = LK.prepare_text_mentions(m)
+    log = LK.link_mentions(prepared, vt.withColumn("vec_id", F.xxhash64("sub", "pred", "obj", "type_obj")),
+                           spark.createDataFrame([], "s string, o string"))
+    return M.status_counts(log)

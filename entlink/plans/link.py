@@ -68,7 +68,10 @@ def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame,
 
 def _finish(present: DataFrame, absent: DataFrame, cands: DataFrame, disambig: DataFrame,
             with_mention: bool, key: str, n_rows: int | None = None) -> DataFrame:
-    ctx = L.context_vector(present, with_mention=with_mention).select(key, "context_vec")
+    if "context_vec" in present.columns:          # prepared from texts (prepare_text_mentions)
+        ctx = present.select(key, "context_vec")
+    else:
+        ctx = L.context_vector(present, with_mention=with_mention).select(key, "context_vec")
     scored = L.with_context_distance(cands, ctx, key)
     preds = L.rerank(scored, key).join(present.select(key, "y_true"), key)
     linked = L.apply_disambiguation(preds, disambig, key, n_rows) \
@@ -77,3 +80,39 @@ def _finish(present: DataFrame, absent: DataFrame, cands: DataFrame, disambig: D
                             F.lit(None).cast("string").alias("y_pred_dis"),
                             F.lit(L.STATUS_NOT_PRESENT).alias("status"))
     return linked.unionByName(missing)
+
+
+def prepare_text_mentions(mentions: DataFrame, docs: DataFrame | None = None, key: str = "idx",
+                          label: str = "label", uri: str = "uri", question: str = "question",
+                          doc_key: str = "doc_key", max_len: int = 384, with_mention: bool = True,
+                          dim: int | None = None, model_factory=None) -> DataFrame:
+    """Gold mentions of a text dataset -> ``(idx, mention, y_true, mention_vec, context_vec)``.
+
+    The mention text is cleaned (evaluation cleaner) and lower-cased before
+    encoding. Context: for document datasets the sentences that contain the
+    mention (F9; whole document when short), else the cleaned question. The
+    context vector is the mean over the mention vector and all context
+    vectors (C11), so several contexts are averaged per mention.
+    """
+    from entlink.functions import encoders as EN
+    from entlink.functions.text import clean_eval
+    dim = dim or EN.HASH_DIM
+
+    def enc(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+        if model_factory is None:
+            return EN.hash_embed(df, keys, text, dim)
+        return EN.model_embed(df, text, model_factory, dim)
+
+    m = mentions.select(key, F.col(label).alias("mention"), F.col(uri).alias("y_true"),
+                        *[c for c in (doc_key, question) if c in mentions.columns])
+    mv = enc(m.select(key, F.lower(clean_eval("mention")).alias("_t")), [key], "_t") \
+        .select(key, F.col("embedding").alias("mention_vec"))
+    if docs is not None:
+        ctx = L.context_sentences(m.select(key, "mention", doc_key), docs, max_len, key=doc_key) \
+            .select(key, F.col("context").alias("_t"), F.monotonically_increasing_id().alias("_c"))
+    else:
+        ctx = m.select(key, clean_eval(question).alias("_t"), F.lit(0).cast("long").alias("_c"))
+    cv = enc(ctx, [key, "_c"], "_t").select(key, "embedding")
+    cvec = L.context_vectors(mv.select(key, F.col("mention_vec").alias("embedding")), cv, key,
+                             with_mention=with_mention)
+    return m.select(key, "mention", "y_true").join(mv, key).join(cvec, key)
