@@ -272,7 +272,7 @@ def ivf_index(vectors: DataFrame, n_cells: int = 250, vec: str = "embedding", se
     ``(assigned vectors with column 'cell', centroids DataFrame (cell, centroid))``.
     Only the ``n_cells`` centroids are small; the vectors stay distributed."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     nv = vectors.withColumn("_nv", array_to_vector(F.transform(
         F.col(vec).cast("array<double>"), lambda x: x / V.norm(vec))))
     km = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_nv", predictionCol="cell")
