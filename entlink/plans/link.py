@@ -25,32 +25,42 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
                              qvec: str = "mention_vec", payload: list[str] | None = None) -> DataFrame:
     """T2 + T4 + T11: candidate rows ``(idx, payload..., embedding, distance)``.
 
-    When ``gold_fallback`` is on (reference behaviour; it reads the gold
-    answer) a mention whose gold URI (exact case) is not among its candidate
-    subjects also gets the range-search rows (distance < 1.0, nearest 10,000),
-    united without duplicates.
+    Candidates are computed once per distinct mention vector (mentions of a
+    dataset repeat) and joined back to the mentions. When ``gold_fallback``
+    is on (reference behaviour; it reads the gold answer) a mention whose gold
+    URI (exact case) is not among its candidate subjects also gets the
+    range-search rows (distance < 1.0, nearest 10,000), united without
+    duplicates.
     """
+    from entlink.session import persist_table
     payload = payload or [c for c in VEC_PAYLOAD if c in vectors.columns]
-    qs = S.stage_queries(present, key, qvec)
-    cands = S.candidates(qs, vectors, k, key=key, qvec=qvec, payload=payload)
+    v = F.col(qvec).cast("array<double>")
+    pm = present.withColumn("_vk", F.xxhash64(v))
+    # the hash is a vector key only if it is collision-free on this mention set
+    chk = pm.agg(F.countDistinct("_vk").alias("h"), F.countDistinct(v).alias("v")).collect()[0]
+    if chk["h"] != chk["v"]:
+        pm = pm.withColumn("_vk", F.col(key).cast("long"))
+    pm = persist_table(pm.select(key, gold, "_vk", v.alias("_v")), "mentions")
+    uq = pm.select("_vk", "_v").dropDuplicates(["_vk"])
+    qs = S.stage_queries(uq, "_vk", "_v")
+    cv = S.candidates(qs, vectors, k, key="_vk", qvec="_v", payload=payload)
+    # written once: it feeds both the fallback test and the result
+    cv = persist_table(cv, "candidates")
+    cols = [key, *payload, "embedding", "distance"]
+    cands = pm.select(key, "_vk").join(cv, "_vk").select(*cols)
     if not gold_fallback:
         return cands
-    # the candidates feed both the fallback test and the result: write them
-    # once to the shared checkpoint folder so the kNN pass runs once
-    from entlink.session import persist_table
-    cands = persist_table(cands, "candidates")
-    golds = present.select(F.col(key).alias("_i"), F.col(gold).alias("_g"))
-    hit = cands.select(key, "sub").distinct() \
-        .join(S.small(golds, qs.n), (F.col(key) == F.col("_i")) & (F.col("sub") == F.col("_g"))) \
-        .select(key).distinct()
-    need = present.join(hit, key, "left_anti")
-    qs2 = S.stage_queries(need, key, qvec)
+    golds = pm.select(key, "_vk", F.col(gold).alias("_g"))
+    hit = golds.join(cv.select("_vk", F.col("sub").alias("_g")).distinct(), ["_vk", "_g"], "left_semi") \
+        .select(key)
+    need = pm.join(hit, key, "left_anti")
+    qs2 = S.stage_queries(need.select("_vk", "_v").dropDuplicates(["_vk"]), "_vk", "_v")
     if qs2.n == 0:
         return cands
-    rng = S.range_search(qs2, vectors, key=key, qvec=qvec, payload=payload + ["embedding"])
-    cols = [key, *payload, "embedding", "distance"]
+    rng = S.range_search(qs2, vectors, key="_vk", qvec="_v", payload=payload + ["embedding"])
+    extra = need.select(key, "_vk").join(rng, "_vk").select(*cols)
     # union distinct on the row identity (key + payload); distances are equal
-    return cands.select(*cols).unionByName(rng.select(*cols)).dropDuplicates([key, *payload])
+    return cands.unionByName(extra).dropDuplicates([key, *payload])
 
 
 def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame, k: int = S.TOP_K,
