@@ -35,12 +35,11 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
     from entlink.session import persist_table
     payload = payload or [c for c in VEC_PAYLOAD if c in vectors.columns]
     v = F.col(qvec).cast("array<double>")
-    pm = present.withColumn("_vk", F.xxhash64(v))
+    pm = persist_table(present.select(key, gold, F.xxhash64(v).alias("_vk"), v.alias("_v")), "mentions")
     # the hash is a vector key only if it is collision-free on this mention set
-    chk = pm.agg(F.countDistinct("_vk").alias("h"), F.countDistinct(v).alias("v")).collect()[0]
+    chk = pm.agg(F.countDistinct("_vk").alias("h"), F.countDistinct("_v").alias("v")).collect()[0]
     if chk["h"] != chk["v"]:
         pm = pm.withColumn("_vk", F.col(key).cast("long"))
-    pm = persist_table(pm.select(key, gold, "_vk", v.alias("_v")), "mentions")
     uq = pm.select("_vk", "_v").dropDuplicates(["_vk"])
     qs = S.stage_queries(uq, "_vk", "_v")
     cv = S.candidates(qs, vectors, k, key="_vk", qvec="_v", payload=payload)
