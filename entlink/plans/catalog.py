@@ -796,6 +796,8 @@ def q_conll_mentions(spark, sf):
     return read_conll(spark, conll_from_conversations(spark, sf))[1]
 
 
+FILE_ITEMS = 500   # items per generated JSON dataset file
+
 _QALD_PREFIXES = ("PREFIX kg: <http://kg.example/> "
                   "PREFIX rdfs: <http://www.w3.org/2000/01/rdf-schema#> ")
 
@@ -812,7 +814,8 @@ def qald_from_parts(spark, sf) -> str:
                                   F.concat(F.lit("Which parts are named "), F.col("p_name"), F.lit("?"))
                                   .alias("string"))).alias("question"),
                  F.struct(sparql.alias("sparql")).alias("query"))
-    g = p.select((F.col("p_partkey") % 8).alias("bucket"), q.alias("q")).groupBy("bucket") \
+    # one JSON document per id range of FILE_ITEMS questions: bounded group size
+    g = p.select(F.floor(F.col("p_partkey") / FILE_ITEMS).alias("bucket"), q.alias("q")).groupBy("bucket") \
         .agg(F.to_json(F.struct(F.collect_list("q").alias("questions"))).alias("value"))
     path = _scratch(spark, "qald")
     g.write.partitionBy("bucket").text(path)
@@ -844,7 +847,7 @@ def qa_from_documents(spark, sf) -> str:
                     F.transform(words, lambda w: F.struct(w.alias("label"), F.concat(
                         F.lit("http://dbpedia.org/resource/"), w).alias("uri"))).alias("entity mapping"),
                     F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("uri"))).alias("predicate mapping"))
-    g = d.select((F.col("doc_id") % 8).alias("bucket"), item.alias("it")).groupBy("bucket") \
+    g = d.select(F.floor(F.col("doc_id") / FILE_ITEMS).alias("bucket"), item.alias("it")).groupBy("bucket") \
         .agg(F.to_json(F.collect_list("it")).alias("value"))
     path = _scratch(spark, "qa")
     g.write.partitionBy("bucket").text(path)
@@ -1086,7 +1089,7 @@ def qa_from_conversations(spark, sf) -> str:
                     F.transform(words, lambda w: F.struct(w.alias("label"), F.concat(
                         F.lit("http://dbpedia.org/resource/"), w).alias("uri"))).alias("entity mapping"),
                     F.array(F.struct(F.lit("").alias("label"), F.lit("").alias("uri"))).alias("predicate mapping"))
-    g = c.select((F.col("conv_id") % 8).alias("bucket"), item.alias("it")).groupBy("bucket") \
+    g = c.select(F.floor(F.col("conv_id") / FILE_ITEMS).alias("bucket"), item.alias("it")).groupBy("bucket") \
         .agg(F.to_json(F.collect_list("it")).alias("value"))
     path = _scratch(spark, "qa-conv")
     g.write.partitionBy("bucket").text(path)

@@ -98,3 +98,17 @@ def test_sample_mentions_counts_present_only(spark):
     rows = s.collect()
     assert sum(1 for r in rows if r.idx % 2 == 0) == 10
     assert rows == L.sample_mentions(m.repartition(7), present, n=10, seed=448).orderBy("idx").collect() or True
+
+
+def test_hot_key_and_hub_entity_stay_exact(spark):
+    # one literal text holds a third of all rows; one entity holds a third of all rows
+    rows = [(f"e{i % 50}", "p", "English" if i % 3 == 0 else f"t{i}", i) for i in range(3000)]
+    rows += [("hub", "p", f"h{i}", 10000 + i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "s string, p string, o string, vid int").repartition(16)
+    c = CT.with_literal_count(df)
+    assert c.where(F.col("o") == "English").select("count").distinct().collect()[0][0] == 1000
+    assert c.count() == 4500
+    top = CT.top_n(c, 3, "SIMPLE", tie_break=["vid"])
+    assert top.where(F.col("s") == "hub").count() == 3
+    g = CT.top_n(c, 1, "GROUPED")
+    assert g.where(F.col("s") == "hub").count() == 1500     # all hub literals share count 1
