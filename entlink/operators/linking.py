@@ -194,11 +194,10 @@ def sample_mentions(mentions: DataFrame, present: DataFrame, n: int = SAMPLE_SIZ
     """Seeded, order-independent shuffle; keep mentions in shuffled order
     until ``n`` present mentions are taken (absent ones met on the way stay)."""
     h = F.xxhash64(F.lit(seed), F.col(key))
+    # position of the n-th present mention in shuffled order, as a scalar subquery
     cut = present.select(h.alias("_h"), F.col(key).alias("_i")).orderBy("_h", "_i").limit(n) \
         .agg(F.max(F.struct("_h", "_i")).alias("_c"))
-    m = mentions.withColumn("_h", h)
-    j = m.join(F.broadcast(cut), F.struct(F.col("_h"), F.col(key)) <= F.col("_c"))
-    return j.drop("_h", "_c")
+    return mentions.where(F.struct(h, F.col(key)) <= cut.scalar())
 
 
 def with_index(df: DataFrame, order_cols: list[str], name: str = "index") -> DataFrame:

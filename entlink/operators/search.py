@@ -38,8 +38,10 @@ RANGE_MAX_DISTANCE = 1.0  # fallback range search: cosine distance below this
 RANGE_LIMIT = 10000       # fallback range search: nearest rows kept
 # ---------------------------------------------------------------------------
 
-# Query sets up to this many rows are broadcast (row count is known exactly).
-BROADCAST_QUERY_ROWS = 200_000
+# Mention-sized tables are broadcast only below this estimated size; the row
+# count (and vector width) of a staged query set is known exactly.
+BROADCAST_BYTES = 64 * 1024 * 1024
+KEY_ROW_BYTES = 128      # a (key, uri) row
 METRICS = ("cosine", "l2", "dot")
 
 
@@ -49,6 +51,11 @@ class QuerySet:
     path: str
     n: int
     key_type: T.DataType
+    dim: int = 0
+
+    @property
+    def row_bytes(self) -> int:
+        return 16 + 8 * self.dim
 
     def df(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -61,13 +68,15 @@ def stage_queries(queries: DataFrame, key: str, vec: str) -> QuerySet:
         .where(F.col("_qv").isNotNull())
     q.write.parquet(path)
     staged = spark.read.parquet(path)
-    return QuerySet(path, staged.count(), staged.schema["_q"].dataType)
+    st = staged.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).collect()[0]
+    return QuerySet(path, int(st["n"]), staged.schema["_q"].dataType, int(st["d"] or 0))
 
 
-def small(df: DataFrame, n_rows: int, limit: int = BROADCAST_QUERY_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its proven row bound is below ``limit``;
-    otherwise leave the join strategy to AQE (sort-merge with skew splits)."""
-    return F.broadcast(df) if n_rows <= limit else df
+def small(df: DataFrame, n_rows: int, row_bytes: int = KEY_ROW_BYTES, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its proven size bound (``n_rows`` rows of
+    about ``row_bytes``) is below ``limit``; otherwise leave the join strategy
+    to AQE (sort-merge with skew splits)."""
+    return F.broadcast(df) if n_rows * row_bytes <= limit else df
 
 
 _QCACHE: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -250,7 +259,7 @@ def candidates(queries: DataFrame | QuerySet, vectors: DataFrame, k: int = TOP_K
     # bound: at most qs.n * k (query, subject) pairs
     rows = vectors.join(small(hits, qs.n * k), sub)
     qdf = qs.df(spark).withColumnRenamed("_q", key)
-    rows = rows.join(small(qdf, qs.n), key)
+    rows = rows.join(small(qdf, qs.n, qs.row_bytes), key)
     return rows.select(key, *payload, vec, V.cosine_distance(vec, "_qv").alias("distance"))
 
 
@@ -296,7 +305,7 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
         .select(key, "cell")
     cand = assigned.join(small(cells, qs.n * probes), "cell")
     qdf = qs.df(spark).withColumnRenamed("_q", key)
-    cand = cand.join(small(qdf, qs.n), key).withColumn("distance", V.cosine_distance(vec, "_qv"))
+    cand = cand.join(small(qdf, qs.n, qs.row_bytes), key).withColumn("distance", V.cosine_distance(vec, "_qv"))
     w = Window.partitionBy(key).orderBy(F.col("distance").asc(), *[F.col(c).asc_nulls_first() for c in payload])
     return cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k) \
         .select(key, *payload, "distance")
