@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from entlink.functions import vectors as V
-from entlink.session import local_path, scratch_path
+from entlink.session import local_path, scratch_path, ship_package
 
 # ---- fixed values that must equal the reference's (do not change) --------
 TOP_K = 100              # vector rows fetched per mention
@@ -63,6 +63,7 @@ class QuerySet:
 
 def stage_queries(queries: DataFrame, key: str, vec: str) -> QuerySet:
     spark = queries.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, "queries")
     q = queries.select(F.col(key).alias("_q"), F.col(vec).cast("array<double>").alias("_qv")) \
         .where(F.col("_qv").isNotNull())

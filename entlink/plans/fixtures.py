@@ -137,6 +137,8 @@ def with_views(names: list[str], body: str) -> str:
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
+    from entlink.session import ship_package
+    ship_package(spark)
     for t in BASE_TABLES:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
@@ -151,4 +153,6 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | tuple[Dat
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from entlink.session import ship_package
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, app: str = "entlink",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -76,3 +77,30 @@ def persist_table(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``entlink`` importable in executors' Python workers (the kNN kernel
+    and plug-in encoders run there): zip the package once per application and
+    add it with ``SparkContext.addPyFile`` (what ``--py-files`` does)."""
+    import zipfile
+
+    import entlink
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(entlink.__file__))
+    out_dir = tempfile.mkdtemp(prefix="entlink-pyfiles-")
+    zpath = os.path.join(out_dir, "entlink.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
