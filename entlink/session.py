@@ -27,6 +27,8 @@ def get_spark(master: str | None = None, app: str = "entlink",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # long sessions run many plans: keep fewer finished-execution records on the driver
+        "spark.sql.ui.retainedExecutions": "50",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
