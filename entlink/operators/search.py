@@ -52,6 +52,7 @@ class QuerySet:
     n: int
     key_type: T.DataType
     dim: int = 0
+    grouped: bool = False
 
     @property
     def row_bytes(self) -> int:
@@ -61,16 +62,20 @@ class QuerySet:
         return spark.read.parquet(self.path)
 
 
-def stage_queries(queries: DataFrame, key: str, vec: str) -> QuerySet:
+def stage_queries(queries: DataFrame, key: str, vec: str, group: str | None = None) -> QuerySet:
+    """Write the query set (``_q`` key, ``_qv`` vector, optional ``_g`` group)
+    to the shared checkpoint folder; returns its exact size."""
     spark = queries.sparkSession
     ship_package(spark)
     path = scratch_path(spark, "queries")
-    q = queries.select(F.col(key).alias("_q"), F.col(vec).cast("array<double>").alias("_qv")) \
-        .where(F.col("_qv").isNotNull())
+    cols = [F.col(key).alias("_q"), F.col(vec).cast("array<double>").alias("_qv")]
+    if group:
+        cols.append(F.col(group).cast("string").alias("_g"))
+    q = queries.select(*cols).where(F.col("_qv").isNotNull())
     q.write.parquet(path)
     staged = spark.read.parquet(path)
     st = staged.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).collect()[0]
-    return QuerySet(path, int(st["n"]), staged.schema["_q"].dataType, int(st["d"] or 0))
+    return QuerySet(path, int(st["n"]), staged.schema["_q"].dataType, int(st["d"] or 0), bool(group))
 
 
 def small(df: DataFrame, n_rows: int, row_bytes: int = KEY_ROW_BYTES, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -80,18 +85,24 @@ def small(df: DataFrame, n_rows: int, row_bytes: int = KEY_ROW_BYTES, limit: int
     return F.broadcast(df) if n_rows * row_bytes <= limit else df
 
 
-_QCACHE: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+_QCACHE: dict = {}
 
 
-def _load_queries(path: str, chunk: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _load_queries(path: str, chunk: int) -> dict:
+    """Staged queries as ``{group: [(ids, matrix), ...]}`` chunks (group ``None``
+    when the set is not grouped); cached per Python worker."""
     key = (path, chunk)
     if key not in _QCACHE:
         import pyarrow.parquet as pq
         t = pq.read_table(local_path(path)).to_pandas()
-        ids = t["_q"].to_numpy()
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in t["_qv"]]) if len(t) else np.zeros((0, 0))
+        groups = t.groupby("_g", sort=False) if "_g" in t.columns else [(None, t)]
+        out = {}
+        for g, part in groups:
+            ids = part["_q"].to_numpy()
+            mat = np.stack([np.asarray(v, dtype=np.float64) for v in part["_qv"]]) if len(part) else np.zeros((0, 0))
+            out[g] = [(ids[i:i + chunk], mat[i:i + chunk]) for i in range(0, len(ids), chunk)]
         _QCACHE.clear()
-        _QCACHE[key] = [(ids[i:i + chunk], mat[i:i + chunk]) for i in range(0, len(ids), chunk)]
+        _QCACHE[key] = out
     return _QCACHE[key]
 
 
@@ -112,21 +123,26 @@ def _block_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric: str = "cosine",
              key: str = "idx", qvec: str = "mention_vec", vec: str = "embedding",
              payload: list[str] | None = None, tie_break: list[str] | None = None,
-             max_distance: float | None = None, query_chunk: int = 1024) -> DataFrame:
+             max_distance: float | None = None, query_chunk: int = 1024,
+             group: str | None = None) -> DataFrame:
     """The ``k`` nearest vector rows of every query.
 
     Returns ``(key, payload..., distance)``; ``distance`` per ``metric``
     (cosine distance, L2 distance, or negative inner product). With
     ``max_distance`` only rows strictly below it qualify (T3). Ties are broken
-    by ``tie_break`` columns (default: the payload columns in order).
+    by ``tie_break`` columns (default: the payload columns in order). With
+    ``group`` (a column of both the query set and ``vectors``) a query is
+    compared only with the vectors of its own group.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     spark = vectors.sparkSession
-    qs = queries if isinstance(queries, QuerySet) else stage_queries(queries, key, qvec)
-    payload = payload or [c for c in vectors.columns if c != vec]
+    qs = queries if isinstance(queries, QuerySet) else stage_queries(queries, key, qvec, group)
+    payload = payload or [c for c in vectors.columns if c not in (vec, group)]
     tie_break = tie_break or [c for c in payload if c != vec]
-    src = vectors.select(*payload, *([vec] if vec not in payload else [])).where(F.col(vec).isNotNull())
+    extra = [c for c in ([vec] + ([group] if group else [])) if c not in payload]
+    src = vectors.select(*payload, *extra).where(F.col(vec).isNotNull())
+    grp_pos = src.columns.index(group) if group else None
     out_schema = T.StructType(list(src.select(*payload).schema.fields) + [
         T.StructField("_q", qs.key_type, True), T.StructField("distance", T.DoubleType(), True)])
     path, kk = qs.path, int(k)
@@ -145,20 +161,20 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
             n = rb.num_rows
             if n == 0 or not chunks:
                 continue
-            x = _batch_matrix(rb.column(vec_pos), n)
-            tie_rank = _tie_rank(rb, tie_pos)
-            base = pa.Table.from_batches([rb.select(pay_pos)])
-            for qids, qm in chunks:
-                d = _block_distance(x, qm, metric)
-                if max_distance is not None:
-                    d = np.where(d < max_distance, d, np.inf)
-                rows, cols = _topk_rows(d, kk, tie_rank)
-                if len(rows) == 0:
-                    continue
-                part = base.take(pa.array(rows)) \
-                    .append_column("_q", pa.array(qids[cols]).cast(arrow_out.field("_q").type)) \
-                    .append_column("distance", pa.array(d[rows, cols], type=pa.float64()))
-                kept.append(part)
+            x_all = _batch_matrix(rb.column(vec_pos), n)
+            rank_all = _tie_rank(rb, tie_pos)
+            base_all = pa.Table.from_batches([rb.select(pay_pos)])
+            if grp_pos is None:
+                parts = [(None, None)]
+            else:
+                gv = rb.column(grp_pos).cast(pa.string()).to_numpy(zero_copy_only=False)
+                parts = [(g, np.nonzero(gv == g)[0]) for g in np.unique(gv[gv != None])]  # noqa: E711
+            for g, sel in parts:
+                if sel is None:
+                    x, tie_rank, base = x_all, rank_all, base_all
+                else:
+                    x, tie_rank, base = x_all[sel], rank_all[sel], base_all.take(pa.array(sel))
+                kept.extend(_match(x, tie_rank, base, chunks.get(g, [])))
             # keep the partial lists small: per query only its k first rows
             if len(kept) > 8:
                 kept = [_prune(pa.concat_tables(kept), kk, tie_break)]
@@ -166,6 +182,22 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
             out = _prune(pa.concat_tables(kept), kk, tie_break).cast(arrow_out)
             yield from out.to_batches()
 
+    def _match(x, tie_rank, base, qchunks):
+        import pyarrow as pa
+        found = []
+        for qids, qm in qchunks:
+            d = _block_distance(x, qm, metric)
+            if max_distance is not None:
+                d = np.where(d < max_distance, d, np.inf)
+            rows, cols = _topk_rows(d, kk, tie_rank)
+            if len(rows) == 0:
+                continue
+            part = base.take(pa.array(rows)) \
+                .append_column("_q", pa.array(qids[cols]).cast(arrow_out.field("_q").type)) \
+                .append_column("distance", pa.array(d[rows, cols], type=pa.float64()))
+            found.append(part)
+        return found
+
     partial = src.mapInArrow(run, out_schema)
     w = Window.partitionBy("_q").orderBy(F.col("distance").asc(), *[F.col(c).asc_nulls_first() for c in tie_break])
     top = partial.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= kk).drop("_rn")
@@ -249,13 +281,14 @@ def range_search(queries, vectors: DataFrame, max_distance: float = RANGE_MAX_DI
 
 def candidates(queries: DataFrame | QuerySet, vectors: DataFrame, k: int = TOP_K, key: str = "idx",
                qvec: str = "mention_vec", vec: str = "embedding", sub: str = "sub",
-               payload: list[str] | None = None) -> DataFrame:
+               payload: list[str] | None = None, group: str | None = None) -> DataFrame:
     """T2 + J7: all rows of the subjects hit by the cosine top-k, with their
-    cosine distance to the query. Returns ``(key, vector columns..., distance)``."""
+    cosine distance to the query. Returns ``(key, vector columns..., distance)``.
+    With ``group``, subjects must be unique per group (the grid qualifies them)."""
     spark = vectors.sparkSession
-    qs = queries if isinstance(queries, QuerySet) else stage_queries(queries, key, qvec)
-    payload = payload or [c for c in vectors.columns if c != vec]
-    hits = knn_join(qs, vectors, k, "cosine", key=key, qvec=qvec, vec=vec, payload=payload) \
+    qs = queries if isinstance(queries, QuerySet) else stage_queries(queries, key, qvec, group)
+    payload = payload or [c for c in vectors.columns if c not in (vec, group)]
+    hits = knn_join(qs, vectors, k, "cosine", key=key, qvec=qvec, vec=vec, payload=payload, group=group) \
         .select(key, sub).distinct()
     # bound: at most qs.n * k (query, subject) pairs
     rows = vectors.join(small(hits, qs.n * k), sub)

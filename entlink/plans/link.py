@@ -22,7 +22,8 @@ VEC_PAYLOAD = ["sub", "pred", "obj", "type_obj", "vec_id"]
 
 def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.TOP_K,
                              gold_fallback: bool = True, key: str = "idx", gold: str = "y_true",
-                             qvec: str = "mention_vec", payload: list[str] | None = None) -> DataFrame:
+                             qvec: str = "mention_vec", payload: list[str] | None = None,
+                             group: str | None = None) -> DataFrame:
     """T2 + T4 + T11: candidate rows ``(idx, payload..., embedding, distance)``.
 
     Candidates are computed once per distinct mention vector (mentions of a
@@ -35,14 +36,18 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
     from entlink.session import persist_table
     payload = payload or [c for c in VEC_PAYLOAD if c in vectors.columns]
     v = F.col(qvec).cast("array<double>")
-    pm = persist_table(present.select(key, gold, F.xxhash64(v).alias("_vk"), v.alias("_v")), "mentions")
+    gcols = [F.col(group).alias("_grp")] if group else []
+    vk = F.xxhash64(v, F.col(group)) if group else F.xxhash64(v)
+    pm = persist_table(present.select(key, gold, *gcols, vk.alias("_vk"), v.alias("_v")), "mentions")
+    gq = "_grp" if group else None
+    vecs = vectors.withColumnRenamed(group, "_grp") if group else vectors
     # the hash is a vector key only if it is collision-free on this mention set
     chk = pm.agg(F.countDistinct("_vk").alias("h"), F.countDistinct("_v").alias("v")).collect()[0]
     if chk["h"] != chk["v"]:
         pm = pm.withColumn("_vk", F.col(key).cast("long"))
-    uq = pm.select("_vk", "_v").dropDuplicates(["_vk"])
-    qs = S.stage_queries(uq, "_vk", "_v")
-    cv = S.candidates(qs, vectors, k, key="_vk", qvec="_v", payload=payload)
+    uq = pm.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"])
+    qs = S.stage_queries(uq, "_vk", "_v", gq)
+    cv = S.candidates(qs, vecs, k, key="_vk", qvec="_v", payload=payload, group=gq)
     # written once: it feeds both the fallback test and the result
     cv = persist_table(cv, "candidates")
     cols = [key, *payload, "embedding", "distance"]
@@ -53,10 +58,10 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
     hit = golds.join(cv.select("_vk", F.col("sub").alias("_g")).distinct(), ["_vk", "_g"], "left_semi") \
         .select(key)
     need = pm.join(hit, key, "left_anti")
-    qs2 = S.stage_queries(need.select("_vk", "_v").dropDuplicates(["_vk"]), "_vk", "_v")
+    qs2 = S.stage_queries(need.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"]), "_vk", "_v", gq)
     if qs2.n == 0:
         return cands
-    rng = S.range_search(qs2, vectors, key="_vk", qvec="_v", payload=payload + ["embedding"])
+    rng = S.range_search(qs2, vecs, key="_vk", qvec="_v", payload=payload + ["embedding"], group=gq)
     extra = need.select(key, "_vk").join(rng, "_vk").select(*cols)
     # union distinct on the row identity (key + payload); distances are equal
     return cands.unionByName(extra).dropDuplicates([key, *payload])
