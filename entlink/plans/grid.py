@@ -1,9 +1,10 @@
 """The linking results of a grid of settings, side by side.
 
-A setting = (weighted, top_n, top_n_way, context_with_mention). For each
-distinct vector-table variant (weighting x rarest-literal selection) the
-candidates are computed once and re-ranked for both context modes; metrics
-are reported per setting name (C14) and series (plain / disambiguated).
+A setting = (weighted, top_n, top_n_way, context_with_mention). All
+vector-table variants (weighting x rarest-literal selection) share one
+group-aware candidate pass; both context modes re-rank the same candidates;
+metrics are reported per setting name (C14) and series (plain /
+disambiguated).
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from entlink.plans import link as LK
 from entlink.sinks.stage import build_vector_table, shape_vector_rows
 
 
+MAX_VARIANTS = 64
+
+
 @dataclass(frozen=True)
 class Setting:
     weighted: bool = False
@@ -62,31 +66,57 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
               dataset: str = "fixture", key: str = "idx") -> DataFrame:
     """Metrics per setting and series: ``(setting, series, n, accuracy, ...)``.
 
-    Candidates of each vector-table variant are computed once and cut from
-    their lineage by a parquet table in the shared checkpoint folder, then
-    re-ranked per context mode; each setting's log (one row per mention) is
-    written the same way, so the final job only aggregates small tables; all logs are united and one grouped
-    aggregation computes every setting's metrics.
+    One plan for the whole grid: the vector tables of all variants
+    (weighting x rarest-literal selection) are united with a ``_variant``
+    column and variant-qualified subjects, the mentions are repeated per
+    variant under a composite key, and one group-aware candidate pass serves
+    every variant (a mention only meets its own variant's vectors). Both
+    context modes re-rank the same candidates; one grouped aggregation
+    computes every setting's metrics.
     """
+    from entlink.operators.triples import union_tables
     from entlink.session import persist_table
     settings = settings or default_settings()
-    logs = []
-    n = mentions.count()   # bounds the broadcasts of mention-sized data
+    spark = emb_lits.sparkSession
     variants = sorted({(s.weighted, s.top_n, s.top_n_way) for s in settings}, key=repr)
-    for weighted, top_n, way in variants:
+    if len(variants) > MAX_VARIANTS:
+        raise ValueError(f"at most {MAX_VARIANTS} vector-table variants")
+
+    def qual(i: int, c):
+        return F.concat(F.lit(f"{i}|"), c)
+
+    vts, ms = [], []
+    for i, (weighted, top_n, way) in enumerate(variants):
         vt = vector_variant(emb_lits, weighted, top_n, way)
-        present = L.present_mentions(mentions, vt, n_rows=n)
-        absent = L.missing_entities(mentions, vt, n_rows=n)
-        cands = persist_table(LK.candidates_with_fallback(present, vt, key=key), "grid-candidates")
-        for st in [s for s in settings if (s.weighted, s.top_n, s.top_n_way) == (weighted, top_n, way)]:
-            name = setting_name(F.lit(model), F.lit(st.weighted), F.lit(strategy),
-                                F.lit(st.top_n).cast("int"), F.lit(st.top_n_way).cast("string"),
-                                F.lit(st.context_with_mention), F.lit(dataset))
-            log = LK._finish(present, absent, cands, disambig, st.context_with_mention, key, n) \
-                .where(F.col("status") != L.STATUS_NOT_PRESENT)
-            logs.append(persist_table(log.select(name.alias("setting"), "y_true", "y_pred", "y_pred_dis"),
-                                      "grid-log"))
-    all_logs = reduce(DataFrame.unionByName, logs)
+        vts.append(vt.withColumn("_variant", F.lit(i)).withColumn("sub", qual(i, F.col("sub"))))
+        ms.append(mentions.withColumn("_variant", F.lit(i)).withColumn("y_true", qual(i, F.col("y_true")))
+                  .withColumn(key, F.col(key) * MAX_VARIANTS + i))
+    # written once: every later plan starts from two file scans instead of
+    # repeating the variant subplans
+    vt_all = persist_table(union_tables(vts), "grid-vectors")
+    m_all = persist_table(union_tables(ms), "grid-mentions")
+    n = m_all.count()   # bounds the broadcasts of mention-sized data
+    present = L.present_mentions(m_all, vt_all, n_rows=n)
+    absent = L.missing_entities(m_all, vt_all, n_rows=n)
+    cands = LK.candidates_with_fallback(present, vt_all, key=key, group="_variant")
+    unq = lambda c: F.regexp_replace(c, r"^[0-9]+\|", "")
+    cands = cands.withColumn("sub", unq(F.col("sub")))
+    present = present.withColumn("y_true", unq(F.col("y_true")))
+    absent = absent.withColumn("y_true", unq(F.col("y_true")))
+
+    conf_rows = [(variants.index((st.weighted, st.top_n, st.top_n_way)), st.context_with_mention, model,
+                  st.weighted, strategy, st.top_n, st.top_n_way, dataset) for st in settings]
+    conf = spark.createDataFrame(conf_rows, "_variant int, _ctx boolean, m string, w boolean, st string, "
+                                            "n int, way string, d string")
+    conf = conf.select("_variant", "_ctx", setting_name("m", "w", "st", "n", "way", "_ctx", "d").alias("setting"))
+    logs = []
+    for ctx in sorted({st.context_with_mention for st in settings}):
+        log = LK._finish(present, absent, cands, disambig, ctx, key, n) \
+            .where(F.col("status") != L.STATUS_NOT_PRESENT)
+        logs.append(log.select((F.col(key) % MAX_VARIANTS).cast("int").alias("_variant"), F.lit(ctx).alias("_ctx"),
+                               "y_true", "y_pred", "y_pred_dis"))
+    # the settings table has one row per setting (a handful): broadcast
+    all_logs = union_tables(logs).join(F.broadcast(conf), ["_variant", "_ctx"])
     long = all_logs.select("setting", F.lit("plain").alias("series"), "y_true", "y_pred") \
         .unionByName(all_logs.select("setting", F.lit("disambiguated").alias("series"), "y_true",
                                      F.col("y_pred_dis").alias("y_pred")))
