@@ -66,3 +66,21 @@ def test_settings_grid_small(spark):
     assert {r.setting for r in rows} == {"HASH_NotWGT_AVG_TopNone_ContWithMention_fixture",
                                           "HASH_WGT_AVG_Top2Grouped_ContWithoutMention_fixture"}
     assert all(abs(r.micro_f1 - r.accuracy) < 1e-9 for r in rows)
+
+
+def test_grouped_knn_equals_per_group_knn(spark):
+    from entlink.operators import search as S
+    vectors, mentions = load(spark, SF, "vectors", "mentions")
+    payload = ["sub", "pred", "obj", "type_obj", "vec_id"]
+    groups = [0, 1, 2]
+    vg = vectors.select(*payload, "embedding", F.explode(F.array(*[F.lit(g) for g in groups])).alias("grp")) \
+        .where((F.col("vec_id") + F.col("grp")) % 2 == 0)          # each group a different table
+    mg = mentions.select("idx", "mention_vec", F.explode(F.array(*[F.lit(g) for g in groups])).alias("grp")) \
+        .select((F.col("idx") * 8 + F.col("grp")).alias("qid"), "mention_vec", "grp")
+    together = S.knn_join(mg, vg, 7, key="qid", payload=payload, group="grp").collect()
+    apart = []
+    for g in groups:
+        apart += S.knn_join(mg.where(F.col("grp") == g), vg.where(F.col("grp") == g), 7, key="qid",
+                            payload=payload).collect()
+    norm = lambda rows: sorted((r.qid, r.vec_id, round(r.distance, 9)) for r in rows)
+    assert norm(together) == norm(apart) and len(together) == 7 * mg.count()
