@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from entlink.session import ensure_checkpoint_dir, ship_package
 
-#: A word of the contracts is a run without these bytes (space, \t \n \v \f \r).
-ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,8 +36,7 @@ def lower_ascii(c: Column) -> Column:
 
 def split_words(c: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null."""
-    spaced = F.translate(F.coalesce(c, F.lit("")), ASCII_SPACE, " " * len(ASCII_SPACE))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), "[ \\t-\\r]+"), "")
 
 
 def crc_mod(id_col: Column, mod: int) -> Column:

@@ -62,3 +62,55 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from entlink.llm.decontam import matches, report
 
     return report(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS t
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5) AS a),
+twice AS (SELECT doc_id, t FROM win GROUP BY doc_id, t HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, p FROM (
+          SELECT win.doc_id, unnest(range(win.i, win.i + 5)) AS p FROM win JOIN twice ON win.doc_id = twice.doc_id AND win.t = twice.t) AS b) AS c GROUP BY doc_id),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS d FROM line WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines,
+        CAST(coalesce(lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+        length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_bangs
+      FROM w LEFT JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
+b AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+        + CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+        + CASE WHEN 100 * n_upper > 50 * word_chars THEN 16 ELSE 0 END + CASE WHEN 100 * n_bangs > 40 * n_words THEN 32 ELSE 0 END
+        + CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 128 ELSE 0 END AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 247 = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits FROM b
+""")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from entlink.llm import quality as q
+
+    book = q.ledger(table(spark, sf_dir, "documents"))
+    base = ~q.passes(q.POLICIES[0])
+    return book.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       base.alias("base_failed"), (~base & q.passes(q.PRODUCTION)).alias("kept"), "fail_bits")
+
+
+@query("""
+WITH line AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, l[i] AS t
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text <> '') AS a
+              WHERE length(l[i]) >= 16),
+txt AS (SELECT t, length(t) AS n, min(doc_id * 1000000 + line_no) AS place FROM line GROUP BY t),
+big AS (SELECT t, n, place, n // 3 AS k FROM txt WHERE n >= 32),
+pair AS (SELECT a.t AS x, b.t AS y, a.place AS px, b.place AS py FROM big AS a JOIN big AS b
+           ON b.n BETWEEN a.n AND a.n + 2 AND a.t <> b.t
+          WHERE (contains(b.t, substr(a.t, 1, a.k)) OR contains(b.t, substr(a.t, a.k + 1, a.k)) OR contains(b.t, substr(a.t, 2 * a.k + 1, a.k)))
+            AND levenshtein(a.t, b.t) <= 2),
+link AS (SELECT x AS t, y AS o, py AS po FROM pair UNION SELECT y AS t, x AS o, px AS po FROM pair),
+agg AS (SELECT t, count(*) AS n_links, min(po) AS earlier FROM link GROUP BY t),
+cls AS (SELECT txt.t, txt.place, coalesce(agg.n_links, 0) AS n_links, least(txt.place, coalesce(agg.earlier, txt.place)) AS class FROM txt LEFT JOIN agg ON txt.t = agg.t)
+SELECT line.doc_id, line.line_no, class // 1000000 AS first_doc_id, class % 1000000 AS first_line_no, CAST(cls.n_links AS BIGINT) AS n_links,
+       cls.place = cls.class AND cls.place = line.doc_id * 1000000 + line.line_no AS kept
+FROM line JOIN cls ON line.t = cls.t
+""")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from entlink.llm.linededup import line_classes
+
+    return line_classes(table(spark, sf_dir, "documents"))
