@@ -193,3 +193,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query()
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from entlink.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from entlink.llm import toxicity as tox
+
+    docs = table(spark, sf_dir, "documents")
+    scored = tox.score(docs, tox.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), tox.MOD) == tox.HELD_OUT).alias("held_out"),
+                         "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
