@@ -8,10 +8,12 @@ substrings that may equal a segment there. The index key holds length, segment
 number and the segment's hash. Pairs that meet are verified by a banded
 bit-parallel edit distance.
 
-Only hashes are shuffled for the search (a key, a line's hash, and a parity mask
-of its characters that most false pairs fail inside the join); texts are read
-again for the few pairs that are left. Equal lines are one line before the
-search, so a line that a third of all documents hold has one set of keys.
+Only hashes are shuffled for the search, a key and a line's hash. Keys that
+nothing meets go in semi joins; the texts of the lines left are read again, and
+a parity mask of their characters, which most false pairs fail inside the join,
+keeps buckets of many similar lines from making many pairs. Equal lines are one
+line before the search, so a line that a third of all documents hold has one
+set of keys.
 """
 
 from __future__ import annotations
@@ -43,36 +45,42 @@ def parity_mask(line: Column) -> Column:
     return F.aggregate(F.split(line, ""), F.lit(0), lambda m, c: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(31))))
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of segment ``i`` of a line of ``length``: sizes differ by one at most, short ones first."""
+def _segment(length: Column, i: Column, tau: int) -> tuple[Column, Column]:
+    """Start (from 0) and size of segment ``i`` of a line of ``length``: ``i / n``
+    of the line lie before it, rounded down."""
     n = tau + 1
-    base, more = F.floor(length / n).cast("int"), length % n
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(n) - more))
-    return base * i + longer, base + F.when(F.lit(i) >= F.lit(n) - more, 1).otherwise(0)
+    start, end = (F.call_function("div", length * x, F.lit(n)).cast("int") for x in (i, i + 1))
+    return start, end - start
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
+def _key(wide: Column, length: Column, i: Column, start: Column, size: Column) -> Column:
+    """``wide``: the line in UTF-32, where a character's place needs no search."""
+    return F.xxhash64(length, i, F.substring(wide, 4 * start + 1, 4 * size))
 
 
-def index_keys(line: Column, length: Column, tau: int) -> Column:
-    return F.array(*[_key(line, length, i, *_segment(length, i, tau)) for i in range(tau + 1)])
+def index_keys(wide: Column, length: Column, tau: int) -> Column:
+    return F.array(*[_key(wide, length, F.lit(i), *_segment(length, F.lit(i), tau)) for i in range(tau + 1)])
 
 
-def probe_keys(line: Column, length: Column, tau: int) -> Column:
+def probe_keys(wide: Column, length: Column, tau: int) -> Column:
     """Keys under which partners of the same or a smaller length are indexed.
     With ``i`` segments before it matching loosely, segment ``i`` is moved by
     ``i`` places at most, and seen from the end by ``tau - i`` at most."""
-    keys = []
-    for shorter in range(tau + 1):
-        other = length - shorter
-        for i in range(tau + 1):
-            start, size = _segment(other, i, tau)
-            for move in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                at = start + move
-                inside = (at >= 0) & (at + size <= length) & (other > 0)
-                keys.append(F.when(inside, _key(line, other, i, at, size)))
-    return F.array_compact(F.array(*keys))
+    places = [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(move).alias("move"))
+              for shorter in range(tau + 1) for i in range(tau + 1)
+              for move in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1)]
+
+    # lambdas, run for each place: written out, they would make a method too large to be compiled
+    def span(place: Column) -> Column:
+        other = length - place["shorter"]
+        start, end = (F.call_function("div", other * x, F.lit(tau + 1)).cast("int") for x in (place["i"], place["i"] + 1))
+        return F.struct(other.alias("other"), place["i"].alias("i"), (start + place["move"]).alias("at"), (end - start).alias("size"))
+
+    def key(x: Column) -> Column:
+        inside = (x["at"] >= 0) & (x["at"] + x["size"] <= length) & (x["other"] > 0)
+        return F.when(inside, _key(wide, x["other"], x["i"], x["at"], x["size"]))
+
+    return F.array_compact(F.transform(F.transform(F.array(*places), span), key))
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -143,24 +151,30 @@ def line_classes(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS
     place = F.struct("doc_id", "line_no")
     places = persist_table(hashed.select("doc_id", "line_no", "content"), "lines")
 
-    # One row for each distinct line: its first place and, where it is long enough, its keys.
-    keys = F.struct(F.xxhash64("line").alias("h"), parity_mask(F.col("line")).alias("mask"),
-                    index_keys(F.col("line"), F.col("length"), tau).alias("index"), probe_keys(F.col("line"), F.col("length"), tau).alias("probe"))
-    local = hashed.groupBy("content").agg(F.min(place).alias("first"), F.first(F.when(fuzzy, keys), ignorenulls=True).alias("keys"))
+    # One row for each distinct line: its first place, and its keys where it is long enough: its own
+    # hash, tau + 1 index keys, then probe keys. Both aggregates need the column, so it is made before the sort.
+    wide = hashed.withColumn("wide", F.encode("line", "UTF-32"))
+    own = F.concat(F.array(F.xxhash64("line")), index_keys(F.col("wide"), F.col("length"), tau), probe_keys(F.col("wide"), F.col("length"), tau))
+    local = wide.select("doc_id", "line_no", "content", F.when(fuzzy, own).otherwise(F.array().cast("array<bigint>")).alias("keys"))
+    local = local.groupBy("content").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.max(F.size("keys")).alias("n_keys"))
     texts = persist_table(local, "line-texts")
-    fuzzy_texts = texts.filter("keys is not null").select("keys.*")
-    index = fuzzy_texts.select(F.explode("index").alias("key"), F.col("h").alias("a"), F.col("mask").alias("mask_a"))
-    probe = fuzzy_texts.select(F.explode("probe").alias("key"), F.col("h").alias("b"), F.col("mask").alias("mask_b"))
-    near = F.bit_count(F.col("mask_a").bitwiseXOR(F.col("mask_b"))) <= 2 * tau
-    pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
-    pairs = persist_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-
-    # Texts of the lines that are in a pair, then the exact check.
-    wanted = persist_table(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-wanted")
+    fuzzy_texts = texts.filter("n_keys > 0").select("keys", F.get("keys", 0).alias("h"))
+    index = fuzzy_texts.select(F.explode(F.slice("keys", 2, tau + 1)).alias("key"), F.col("h").alias("a"))
+    probe = fuzzy_texts.select(F.explode(F.slice("keys", tau + 3, 10 ** 6)).alias("key"), F.col("h").alias("b"))
+    met = (index["key"] == probe["key"]) & (F.col("a") != F.col("b"))
+    index, probe = (persist_table(x, "line-met") for x in (index.join(probe, met, "left_semi"), probe.join(index, met, "left_semi")))
+
+    # Texts of the lines that met another, then pairs and the exact check.
+    wanted = persist_table(index.select(F.col("a").alias("h")).union(probe.select("b")).distinct(), "line-wanted")
     few = wanted.count() * 8 <= BROADCAST_BYTES
     long_lines = lines.filter(fuzzy).select(F.xxhash64("line").alias("h"), "line")
     found = long_lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").distinct()
-    chars = persist_table(found.select("h", F.unhex(F.md5("line")).alias("content"), F.split("line", "").alias("chars")), "line-chars")
+    chars = persist_table(found.select("h", F.unhex(F.md5("line")).alias("content"), F.split("line", "").alias("chars"), parity_mask(F.col("line")).alias("mask")), "line-chars")
+    masks = lambda x: chars.select(F.col("h").alias(x), F.col("mask").alias(f"mask_{x}"))
+    index, probe = (persist_table(rows.join(masks(x), x), "line-masks") for rows, x in ((index, "a"), (probe, "b")))
+    near = F.bit_count(F.col("mask_a").bitwiseXOR(F.col("mask_b"))) <= 2 * tau
+    pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
+    pairs = persist_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     side = lambda x: chars.select(F.col("h").alias(x), F.col("content").alias(f"content_{x}"), F.col("chars").alias(f"chars_{x}"))
     close = F.abs(F.size("chars_a") - F.size("chars_b")) <= tau
     checked = pairs.join(side("a"), "a").join(side("b"), "b").filter(close).withColumn("distance", banded_distance("chars_a", "chars_b", tau))
