@@ -192,12 +192,13 @@ def rank_vote(cands: DataFrame, key: str = "idx", by: str = "distance", sub: str
 def sample_mentions(mentions: DataFrame, present: DataFrame, n: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED,
                     key: str = "idx") -> DataFrame:
     """Seeded, order-independent shuffle; keep mentions in shuffled order
-    until ``n`` present mentions are taken (absent ones met on the way stay)."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
+    until ``n`` present mentions are taken (absent ones met on the way stay).
+    With ``n`` present mentions or fewer, all mentions stay."""
+    h = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
     # position of the n-th present mention in shuffled order, as a scalar subquery
     cut = present.select(h.alias("_h"), F.col(key).alias("_i")).orderBy("_h", "_i").limit(n) \
-        .agg(F.max(F.struct("_h", "_i")).alias("_c"))
-    return mentions.where(F.struct(h, F.col(key)) <= cut.scalar())
+        .agg(F.when(F.count("*") == n, F.max(F.struct("_h", "_i"))).alias("_c"))
+    return mentions.where(F.coalesce(F.struct(h, F.col(key)) <= cut.scalar(), F.lit(True)))
 
 
 def with_index(df: DataFrame, order_cols: list[str], name: str = "index") -> DataFrame:

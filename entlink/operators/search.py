@@ -111,9 +111,12 @@ def _block_distance(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     distances reported (cosine: 1 - normalised dot; L2 through the dot-product
     expansion; dot: negative inner product)."""
     if metric == "cosine":
-        xn = x / np.linalg.norm(x, axis=1, keepdims=True)
-        qn = q / np.linalg.norm(q, axis=1, keepdims=True)
-        return 1.0 - xn @ qn.T
+        # a zero vector has no direction: it is at no distance from anything
+        with np.errstate(invalid="ignore", divide="ignore"):
+            xn = x / np.linalg.norm(x, axis=1, keepdims=True)
+            qn = q / np.linalg.norm(q, axis=1, keepdims=True)
+            d = 1.0 - xn @ qn.T
+        return np.where(np.isnan(d), np.inf, d)
     if metric == "l2":
         sq = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2.0 * (x @ q.T)
         return np.sqrt(np.maximum(sq, 0.0))
@@ -192,9 +195,14 @@ def knn_join(queries: DataFrame | QuerySet, vectors: DataFrame, k: int, metric:
             rows, cols = _topk_rows(d, kk, tie_rank)
             if len(rows) == 0:
                 continue
+            dist = d[rows, cols]
+            if metric == "l2":      # the expansion loses digits near 0: kept rows get the plain distance
+                for at in range(0, len(rows), 4096):
+                    s = slice(at, at + 4096)
+                    dist[s] = np.linalg.norm(x[rows[s]] - qm[cols[s]], axis=1)
             part = base.take(pa.array(rows)) \
                 .append_column("_q", pa.array(qids[cols]).cast(arrow_out.field("_q").type)) \
-                .append_column("distance", pa.array(d[rows, cols], type=pa.float64()))
+                .append_column("distance", pa.array(dist, type=pa.float64()))
             found.append(part)
         return found
 
@@ -297,18 +305,6 @@ def candidates(queries: DataFrame | QuerySet, vectors: DataFrame, k: int = TOP_K
     return rows.select(key, *payload, vec, V.cosine_distance(vec, "_qv").alias("distance"))
 
 
-def subjects_present(keys: DataFrame, vectors: DataFrame, key_col: str, sub: str = "sub",
-                     n_rows: int | None = None) -> DataFrame:
-    """F10 helper: the rows of ``keys`` whose ``lower(key_col)`` occurs as
-    ``lower(sub)`` in ``vectors``. The vector side is only filtered (semi join
-    against the small key set), never shuffled whole when the key set is small."""
-    k = keys.select(F.lower(key_col).alias("_k")).distinct()
-    if n_rows is not None:
-        k = small(k, n_rows)
-    found = vectors.select(F.lower(sub).alias("_k")).join(k, "_k", "left_semi").distinct()
-    return keys.join(found, F.lower(F.col(key_col)) == F.col("_k"), "left_semi")
-
-
 def ivf_index(vectors: DataFrame, n_cells: int = 250, vec: str = "embedding", seed: int = 1,
               max_iter: int = 10):
     """G3 (build): MLlib k-means cells over L2-normalised vectors. Returns

@@ -24,9 +24,6 @@ from entlink.plans import link as LK
 from entlink.sinks.stage import build_vector_table, shape_vector_rows
 
 
-MAX_VARIANTS = 64
-
-
 @dataclass(frozen=True)
 class Setting:
     weighted: bool = False
@@ -54,11 +51,8 @@ def vector_variant(emb_lits: DataFrame, weighted: bool, top_n: int | None, way:
     if top_n is not None:
         lits = CT.top_n(lits, top_n, way or "SIMPLE", tie_break=[c for c in ("vec_id",) if c in lits.columns])
     ents = EM.entity_embeddings(lits)
-    vt = shape_vector_rows(build_vector_table(lits, ents), as_float=False)
-    if "vec_id" in emb_lits.columns:
-        ids = lits.select(F.col("s").alias("sub"), F.col("p").alias("pred"), F.col("o").alias("obj"), "vec_id")
-        vt = vt.join(ids, ["sub", "pred", "obj"], "left")
-    return vt
+    carried = [c for c in ("vec_id",) if c in emb_lits.columns]
+    return shape_vector_rows(build_vector_table(lits, ents, keep=carried), as_float=False, keep=carried)
 
 
 def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
@@ -79,8 +73,6 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
     settings = settings or default_settings()
     spark = emb_lits.sparkSession
     variants = sorted({(s.weighted, s.top_n, s.top_n_way) for s in settings}, key=repr)
-    if len(variants) > MAX_VARIANTS:
-        raise ValueError(f"at most {MAX_VARIANTS} vector-table variants")
 
     def qual(i: int, c):
         return F.concat(F.lit(f"{i}|"), c)
@@ -90,7 +82,7 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
         vt = vector_variant(emb_lits, weighted, top_n, way)
         vts.append(vt.withColumn("_variant", F.lit(i)).withColumn("sub", qual(i, F.col("sub"))))
         ms.append(mentions.withColumn("_variant", F.lit(i)).withColumn("y_true", qual(i, F.col("y_true")))
-                  .withColumn(key, F.col(key) * MAX_VARIANTS + i))
+                  .withColumn(key, F.struct(F.lit(i).alias("variant"), F.col(key).alias("own"))))
     # written once: every later plan starts from two file scans instead of
     # repeating the variant subplans
     vt_all = persist_table(union_tables(vts), "grid-vectors")
@@ -113,7 +105,7 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
     for ctx in sorted({st.context_with_mention for st in settings}):
         log = LK._finish(present, absent, cands, disambig, ctx, key, n) \
             .where(F.col("status") != L.STATUS_NOT_PRESENT)
-        logs.append(log.select((F.col(key) % MAX_VARIANTS).cast("int").alias("_variant"), F.lit(ctx).alias("_ctx"),
+        logs.append(log.select(F.col(key)["variant"].alias("_variant"), F.lit(ctx).alias("_ctx"),
                                "y_true", "y_pred", "y_pred_dis"))
     # the settings table has one row per setting (a handful): broadcast
     all_logs = union_tables(logs).join(F.broadcast(conf), ["_variant", "_ctx"])

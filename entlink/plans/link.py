@@ -37,14 +37,11 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
     payload = payload or [c for c in VEC_PAYLOAD if c in vectors.columns]
     v = F.col(qvec).cast("array<double>")
     gcols = [F.col(group).alias("_grp")] if group else []
-    vk = F.xxhash64(v, F.col(group)) if group else F.xxhash64(v)
+    # the key of a distinct vector (and group): a digest of its exact text form
+    vk = F.sha2(F.concat_ws("|", v.cast("string"), *([F.col(group).cast("string")] if group else [])), 256)
     pm = persist_table(present.select(key, gold, *gcols, vk.alias("_vk"), v.alias("_v")), "mentions")
     gq = "_grp" if group else None
     vecs = vectors.withColumnRenamed(group, "_grp") if group else vectors
-    # the hash is a vector key only if it is collision-free on this mention set
-    chk = pm.agg(F.countDistinct("_vk").alias("h"), F.countDistinct("_v").alias("v")).collect()[0]
-    if chk["h"] != chk["v"]:
-        pm = pm.withColumn("_vk", F.col(key).cast("long"))
     uq = pm.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"])
     qs = S.stage_queries(uq, "_vk", "_v", gq)
     cv = S.candidates(qs, vecs, k, key="_vk", qvec="_v", payload=payload, group=gq)
@@ -57,14 +54,17 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
     golds = pm.select(key, "_vk", F.col(gold).alias("_g"))
     hit = golds.join(cv.select("_vk", F.col("sub").alias("_g")).distinct(), ["_vk", "_g"], "left_semi") \
         .select(key)
-    need = pm.join(hit, key, "left_anti")
+    need = persist_table(pm.join(hit, key, "left_anti"), "fallback")
     qs2 = S.stage_queries(need.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"]), "_vk", "_v", gq)
     if qs2.n == 0:
         return cands
     rng = S.range_search(qs2, vecs, key="_vk", qvec="_v", payload=payload + ["embedding"], group=gq)
     extra = need.select(key, "_vk").join(rng, "_vk").select(*cols)
-    # union distinct on the row identity (key + payload); distances are equal
-    return cands.unionByName(extra).dropDuplicates([key, *payload])
+    # union distinct on the row identity (key + payload); distances are equal. Only the mentions
+    # that fall back are de-duplicated: another mention's gold doesn't change a mention's candidates.
+    back = need.select(key)
+    both = cands.join(back, key, "left_semi").unionByName(extra).dropDuplicates([key, *payload])
+    return cands.join(back, key, "left_anti").unionByName(both)
 
 
 def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame, k: int = S.TOP_K,
@@ -87,7 +87,8 @@ def _finish(present: DataFrame, absent: DataFrame, cands: DataFrame, disambig: D
     else:
         ctx = L.context_vector(present, with_mention=with_mention).select(key, "context_vec")
     scored = L.with_context_distance(cands, ctx, key)
-    preds = L.rerank(scored, key).join(present.select(key, "y_true"), key)
+    # a present mention without candidates (a zero mention vector) stays, without a prediction: an error
+    preds = present.select(key, "y_true").join(L.rerank(scored, key), key, "left")
     linked = L.apply_disambiguation(preds, disambig, key, n_rows) \
         .select(key, "y_true", "y_pred", "y_pred_dis", "status")
     missing = absent.select(key, "y_true", F.lit(None).cast("string").alias("y_pred"),

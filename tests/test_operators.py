@@ -97,7 +97,20 @@ def test_sample_mentions_counts_present_only(spark):
     s = L.sample_mentions(m, present, n=10, seed=448)
     rows = s.collect()
     assert sum(1 for r in rows if r.idx % 2 == 0) == 10
-    assert rows == L.sample_mentions(m.repartition(7), present, n=10, seed=448).orderBy("idx").collect() or True
+    again = L.sample_mentions(m.repartition(7), present, n=10, seed=448).collect()
+    assert sorted(r.idx for r in rows) == sorted(r.idx for r in again)
+    assert L.sample_mentions(m, present, n=60).count() == 100           # fewer are present: all stay
+    assert L.sample_mentions(m, m.where("idx < 0"), n=10).count() == 100
+
+
+def test_zero_vectors_do_not_hide_others(spark):
+    from entlink.operators import search as S
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0] if i else [0.0, 0.0]) for i in range(20)], "vid int, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)] + [(9, [0.0, 0.0])], "idx int, mention_vec array<float>")
+    got = S.knn_join(q, v, 30, payload=["vid"]).collect()
+    assert sorted((r.idx, r.vid) for r in got) == [(i, j) for i in range(3) for j in range(1, 20)]
+    same = S.knn_join(q, q.select(F.col("idx").alias("vid"), F.col("mention_vec").alias("embedding")), 1, "l2", payload=["vid"]).collect()
+    assert all(r.idx == r.vid and r.distance == 0.0 for r in same)
 
 
 def test_hot_key_and_hub_entity_stay_exact(spark):

@@ -84,3 +84,36 @@ def test_grouped_knn_equals_per_group_knn(spark):
                             payload=payload).collect()
     norm = lambda rows: sorted((r.qid, r.vec_id, round(r.distance, 9)) for r in rows)
     assert norm(together) == norm(apart) and len(together) == 7 * mg.count()
+
+
+def test_mentions_without_candidates_stay_in_the_log(spark):
+    from entlink.plans import link as LK
+    v = spark.createDataFrame([("http://e/a", "p", "a", "L", [1.0, 0.0], 1), ("http://e/b", "p", "b", "L", [0.0, 1.0], 2), ("http://e/z", "p", "z", "L", [0.0, 0.0], 3)],
+                              "sub string, pred string, obj string, type_obj string, embedding array<float>, vec_id long")
+    m = spark.createDataFrame([(0, "a", "http://e/a", [1.0, 0.1], [1.0, 0.0]), (1, "-", "http://e/b", [0.0, 0.0], [0.0, 0.0]), (2, "x", "http://e/none", [1.0, 0.0], [1.0, 0.0])],
+                              "idx long, mention string, y_true string, mention_vec array<float>, ctx_vec array<float>")
+    dis = spark.createDataFrame([], "s string, o string")
+    log = {r.idx: (r.y_pred, r.status) for r in LK.link_mentions(m, v, dis).collect()}
+    assert log == {0: ("http://e/a", "Correct"), 1: (None, "Error"), 2: (None, "Not present")}
+
+
+def test_one_mentions_fallback_leaves_others_alone(spark):
+    from entlink.plans import link as LK
+    rows = [("http://e/a", "p", "a", "L", [1.0, 0.0], 1), ("http://e/a", "p", "a", "L", [1.0, 0.0], 1), ("http://e/b", "p", "b", "L", [0.2, 1.0], 2)]
+    v = spark.createDataFrame(rows, "sub string, pred string, obj string, type_obj string, embedding array<float>, vec_id long")
+    m = [(0, "http://e/a", [1.0, 0.0]), (1, "http://e/b", [1.0, 0.0])]
+    run = lambda ms: LK.candidates_with_fallback(spark.createDataFrame(ms, "idx long, y_true string, mention_vec array<float>"), v, k=2)
+    alone = run(m[:1]).where("idx = 0").count()
+    assert alone == run(m).where("idx = 0").count() == 2
+
+
+def test_encoder_shuffles_nothing(spark):
+    from entlink.functions import encoders as EN
+    df = spark.createDataFrame([(1, "The cat, the CAT"), (2, ""), (3, None), (3, "again")], "k int, t string").repartition(2)
+    out = EN.hash_embed(df, ["k"], "t", 8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1          # the test's own repartition
+    rows = sorted((r.k, round(sum(x * x for x in r.embedding), 5)) for r in out.collect())
+    assert rows == [(1, 1.0), (2, 0.0), (3, 0.0), (3, 1.0)]
+    two = [EN.model_embed(df, "t", lambda c=c: (lambda texts: [[c] for _ in texts]), 1) for c in (1.0, 2.0)]
+    assert [{r.embedding[0] for r in x.collect()} for x in two] == [{1.0}, {2.0}]
