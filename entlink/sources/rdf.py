@@ -1,9 +1,9 @@
 """RDF line dumps and stage-table sources.
 
 ``read_ntriples`` is a splittable line scan (plain or bz2) parsed by regular
-expressions into typed columns. Bad bytes: each line is first read losslessly
-as ISO-8859-1 and then re-decoded as UTF-8 when it is valid UTF-8 (S2), so a
-file mixing both encodings keeps every line.
+expressions into typed columns. Bad bytes: lines keep their bytes, and those
+that aren't valid UTF-8 are read as ISO-8859-1 (S2), so a file mixing both
+encodings keeps every line.
 """
 
 from __future__ import annotations
@@ -45,12 +45,12 @@ def parse_ntriples(lines: DataFrame, value: str = "value", keep: list[str] | Non
     """
     v = F.col(value)
     keep = keep or []
-    parsed = lines.select(
-        *keep,
-        F.regexp_extract(v, LINE_PATTERN, 1).alias("s"),
-        F.regexp_extract(v, LINE_PATTERN, 2).alias("p"),
-        F.regexp_extract(v, LINE_PATTERN, 3).alias("_obj"),
-    ).where(F.col("_obj") != "")
+    # of a line that matches, subject and predicate are what the first two pairs of angle brackets
+    # hold, so the pattern is run once for the object (and once as a filter)
+    after = F.substr(v, F.instr(v, ">") + 1)
+    inside = lambda x: F.substr(x, F.instr(x, "<") + 1, F.instr(x, ">") - F.instr(x, "<") - 1)
+    parsed = lines.select(*keep, inside(v).alias("s"), inside(after).alias("p"),
+                          F.regexp_extract(v, LINE_PATTERN, 3).alias("_obj")).where(F.col("_obj") != "")
     o = F.col("_obj")
     is_iri = o.startswith("<")
     return parsed.select(
@@ -65,23 +65,22 @@ def parse_ntriples(lines: DataFrame, value: str = "value", keep: list[str] | Non
 def read_lines(spark: SparkSession, paths: str | list[str], latin1_fallback: bool = True) -> DataFrame:
     """One splittable scan over many line files (``.bz2`` allowed).
 
-    Returns ``(value, file_path)``. With ``latin1_fallback`` each line is read
-    as ISO-8859-1 (byte-preserving) and re-decoded as UTF-8 when valid.
+    Returns ``(value, file_path)``. With ``latin1_fallback`` a line that isn't
+    valid UTF-8 is read as ISO-8859-1.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if latin1_fallback:
-        raw = (spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001")
-               .option("quote", "\u0000").option("escape", "\u0000").option("header", "false")
-               .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
-               .option("mode", "PERMISSIVE").schema("value string").csv(paths))
-        b = F.encode(F.col("value"), "ISO-8859-1")
-        value = F.when(F.is_valid_utf8(b.cast("string")), F.decode(b, "UTF-8")).otherwise(F.col("value"))
-    else:
-        raw = spark.read.text(paths)
-        value = F.col("value")
+    raw = spark.read.text(paths)
+    value = decoded("value") if latin1_fallback else F.col("value")
     return raw.select(value.alias("value"), F.col("_metadata.file_path").alias("file_path"))
 
 
+def decoded(value: str = "value") -> Column:
+    """A line of the text source, whose bytes are those of the file, read as
+    ISO-8859-1 where they aren't UTF-8."""
+    v = F.col(value)
+    return F.when(F.is_valid_utf8(v), v).otherwise(F.decode(v.cast("binary"), "ISO-8859-1"))
+
+
 def lang_gate(triples: DataFrame, lang: str = "en") -> DataFrame:
     """S3: keep IRIs, untagged literals and literals tagged ``lang`` / ``lang-*``."""
     tag = F.lower(F.col("lang"))

@@ -3,7 +3,7 @@
 The reference builds its stage tables once and resumes interrupted work by
 checking what is already written. The streaming form of that: dump files
 dropped into a folder are parsed as they arrive (file source), and each
-triple is appended exactly once to a parquet table partitioned by kind
+triple of a file is appended exactly once to a parquet table partitioned by kind
 (literal / link / disambiguation / other). The checkpoint location (in the
 shared checkpoint folder) records which files are done, so a restarted or
 failed job resumes where it stopped and never writes a file twice.
@@ -18,21 +18,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from entlink.sources.rdf import lang_gate, parse_ntriples
+from entlink.sources.rdf import decoded, lang_gate, parse_ntriples
 
 
 def dump_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int = 16,
                 lang: str | None = "en", marker: str = "disambiguation") -> DataFrame:
     """Streaming triples ``(s, p, o_iri, o_lit, lang, dtype, file_path, kind)``."""
     lines = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
-             .load(src_dir).select("value", F.col("_metadata.file_path").alias("file_path")))
+             .load(src_dir).select(decoded("value").alias("value"), F.col("_metadata.file_path").alias("file_path")))
     t = parse_ntriples(lines, keep=["file_path"])
     if lang:
         t = lang_gate(t, lang)
     link = F.col("o_iri").like("http%")
     kind = F.when(link & F.col("file_path").contains(marker), F.lit("disambiguation")) \
         .when(link, F.lit("link")) \
-        .when(F.lower("lang") == "en", F.lit("literal")).otherwise(F.lit("other"))
+        .when(F.lower("lang") == (lang or "en"), F.lit("literal")).otherwise(F.lit("other"))
     return t.withColumn("kind", kind)
 
 

@@ -65,3 +65,13 @@ def test_bz2_is_read(spark):
     with open(p, "wb") as f:
         f.write(bz2.compress(b"\n".join(LINES[:2]) + b"\n"))
     assert rdf.read_ntriples(spark, p, lang=None).count() == 2
+
+
+def test_control_characters_do_not_lose_lines(spark):
+    p = _write([b'<http://a/x> <http://p/l> "one\x01two"@en .', b'<http://a/y> <http://p/l> "caf\xe9\x01"@en .'], "ctl.nt")
+    assert {r.o_lit for r in rdf.read_ntriples(spark, p, lang=None).collect()} == {"one\x01two", "café\x01"}
+
+
+def test_angle_brackets_inside_an_iri(spark):
+    p = _write([b"<http://a/x<y> <http://p/l> <http://a/z> ."], "odd.nt")
+    assert [(r.s, r.p, r.o_iri) for r in rdf.read_ntriples(spark, p, lang=None).collect()] == [("http://a/x<y", "http://p/l", "http://a/z")]

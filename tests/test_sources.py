@@ -78,3 +78,28 @@ def test_prepare_text_mentions_averages_contexts(spark):
     assert p.mention == "Rome" and p.y_true == "http://x/Rome"
     assert len(p.mention_vec) == 64 and len(p.context_vec) == 64
     assert abs(sum(x * x for x in p.mention_vec) - 1.0) < 1e-6
+
+
+def test_conll_files_with_equal_keys_and_a_preface(spark):
+    import os
+    import tempfile
+    d = tempfile.mkdtemp(prefix="entlink-test-", dir="/tmp")
+    for name, word in (("a.conll", "foo"), ("b.conll", "bar")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(f"a preface\nof two lines\n-DOCSTART- (1\n{word}\n\nshort\ten.wikipedia.org/wiki/X\n")
+    sentences, mentions, docs = D.read_conll(spark, d)
+    assert sorted(r.text for r in docs.collect()) == ["bar short ", "foo short "]
+    assert sorted(r.text for r in sentences.collect()) == ["bar ", "foo ", "short ", "short "]
+    assert [(r.label, r.uri) for r in mentions.collect()] == [(None, None)] * 2
+
+
+def test_qald_question_without_the_language(spark):
+    import json
+    import os
+    import tempfile
+    p = os.path.join(tempfile.mkdtemp(prefix="entlink-test-", dir="/tmp"), "q.json")
+    q = [{"id": "1", "question": [{"language": "de", "string": "Was?"}], "query": {"sparql": "SELECT 1"}},
+         {"id": "2", "question": [{"language": "en", "string": "What?"}], "query": {"sparql": "SELECT 2"}}]
+    with open(p, "w") as f:
+        json.dump({"questions": q}, f)
+    assert {(r.id, r.question) for r in D.ingest_qald(spark, p).collect()} == {("1", None), ("2", "What?")}
