@@ -772,7 +772,7 @@ FROM t GROUP BY conv_id
 """)
 def q_conll_documents(spark, sf):
     from entlink.sources.datasets import read_conll
-    return read_conll(spark, conll_from_conversations(spark, sf))[2]
+    return read_conll(spark, conll_from_conversations(spark, sf))[2].drop("file")
 
 
 @query("conll_sentences", [], _CONLL_SQL + """
@@ -782,7 +782,7 @@ SELECT ' (conv_' || conv_id, count(*), '' FROM t GROUP BY conv_id
 """)
 def q_conll_sentences(spark, sf):
     from entlink.sources.datasets import read_conll
-    return read_conll(spark, conll_from_conversations(spark, sf))[0]
+    return read_conll(spark, conll_from_conversations(spark, sf))[0].drop("file")
 
 
 @query("conll_mentions", [], _CONLL_SQL + """
@@ -793,7 +793,7 @@ GROUP BY 1, 2, 3, 4
 """)
 def q_conll_mentions(spark, sf):
     from entlink.sources.datasets import read_conll
-    return read_conll(spark, conll_from_conversations(spark, sf))[1]
+    return read_conll(spark, conll_from_conversations(spark, sf))[1].drop("file")
 
 
 FILE_ITEMS = 500   # items per generated JSON dataset file
@@ -932,10 +932,14 @@ UNION ALL SELECT 'link', (SELECT count(*) FROM links) + (SELECT count(*) FROM (S
 UNION ALL SELECT 'disambiguation', count(*) FROM (SELECT DISTINCT * FROM disambig) d
 """)
 def q_ingest_dump(spark, sf):
-    t = rdf.read_ntriples(spark, dump_files(spark, sf)).distinct()
+    # a triple counts once over all files; each split of the dump is read once for all three kinds
+    t = rdf.read_ntriples(spark, dump_files(spark, sf))
+    from_marked = F.max(F.col("file_path").contains("disambiguation") & F.col("o_iri").isNotNull()).alias("marked")
+    from entlink.session import persist_table
+    t = persist_table(t.groupBy("s", "p", "o_iri", "o_lit", "lang", "dtype").agg(from_marked), "dump")
     lits = TR.literals(t).select(F.lit("literal").alias("kind"))
     links = TR.links(t).select(F.lit("link").alias("kind"))
-    dis = rdf.read_disambiguation(t).select(F.lit("disambiguation").alias("kind"))
+    dis = t.where("marked").select(F.lit("disambiguation").alias("kind"))
     return lits.unionByName(links).unionByName(dis).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -979,10 +983,10 @@ lab AS (SELECT s, i, x AS lx FROM (
 e AS (SELECT m.s, sum(CASE WHEN lab.lx IS NOT NULL AND m.n > 1 THEN (m.mx + lab.lx) / 2.0 ELSE m.mx END) AS total,
              count(*) AS dims
       FROM m LEFT JOIN lab ON lab.s = m.s AND lab.i = m.i GROUP BY m.s)
-SELECT substring(s, 1, 255) AS sub, substring(p, 1, 255) AS pred, substring(o, 1, 384) AS obj, 'L' AS type_obj,
+SELECT s AS sub, p AS pred, o AS obj, 'L' AS type_obj,
        len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM emb_literals
 UNION ALL
-SELECT substring(s, 1, 255), NULL, substring(s, 1, 384), 'E', dims, round(total, 4) + 0.0 FROM e
+SELECT s, NULL, s, 'E', dims, round(total, 4) + 0.0 FROM e
 """)
 def q_vector_table(spark, sf):
     from entlink.sinks.stage import build_vector_table, shape_vector_rows
@@ -995,7 +999,13 @@ def q_vector_table(spark, sf):
 
 # --------------------------------------------------------- sample, ivf, ctx --
 
-@query("sample_mentions")
+@query("sample_mentions", ["preds", "literals"], f"""
+WITH pr AS (SELECT idx, md5('{L.SAMPLE_SEED}:' || idx) AS h FROM preds WHERE y_true IN (SELECT s FROM literals)),
+cut AS (SELECT h, row_number() OVER (ORDER BY h, idx) AS r FROM pr),
+last AS (SELECT max(h) AS h FROM cut WHERE r = {L.SAMPLE_SIZE}),
+kept AS (SELECT idx, y_true, y_pred FROM preds, last WHERE last.h IS NULL OR md5('{L.SAMPLE_SEED}:' || idx) <= last.h)
+SELECT idx, y_true, y_pred, row_number() OVER (ORDER BY idx) - 1 AS position FROM kept
+""")
 def q_sample_mentions(spark, sf):
     preds, lits = load(spark, sf, "preds", "literals")
     present = preds.join(lits.select(F.col("s").alias("y_true")).distinct(), "y_true", "left_semi")
@@ -1006,8 +1016,7 @@ def q_sample_mentions(spark, sf):
 @query("ivf_search")
 def q_ivf_search(spark, sf):
     vectors, mentions = load(spark, sf, "vectors", "mentions")
-    n_cells = 250 if vectors.count() >= 2500 else 16
-    assigned, cents = S.ivf_index(vectors, n_cells)
+    assigned, cents = S.ivf_index(vectors, n_cells=16)
     return S.ivf_search(mentions, assigned, cents, S.TOP_K, probes=10, payload=VEC_PAYLOAD) \
         .withColumn("distance", _r("distance"))
 
