@@ -434,7 +434,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY distance, sub,
 hitsub AS (SELECT DISTINCT idx, sub FROM ranked WHERE rn <= 100),
 cand AS (SELECT s.idx, s.vec_id FROM scored s JOIN hitsub h ON h.idx = s.idx AND h.sub = s.sub),
 need AS (SELECT p.idx FROM present p WHERE NOT EXISTS (SELECT 1 FROM hitsub h WHERE h.idx = p.idx AND h.sub = p.y_true)),
-rng AS (SELECT idx, vec_id FROM ranked WHERE distance < 1.0 AND idx IN (SELECT idx FROM need)),
+rng AS (SELECT idx, vec_id FROM ranked WHERE distance < 1.0 AND rn <= 10000 AND idx IN (SELECT idx FROM need)),
 allk AS (SELECT idx, vec_id FROM cand UNION SELECT idx, vec_id FROM rng),
 ctx AS (SELECT idx, list_transform(range(1, len(mention_vec) + 1),
                lambda i: (mention_vec[i]::DOUBLE + ctx_vec[i]::DOUBLE) / 2.0) AS cv FROM present),

@@ -63,31 +63,42 @@ FROM triples
 WHERE o_iri LIKE 'http%'
 """
 
-VIEWS["disambig"] = """
-SELECT concat('http://kg.example/disambiguation/', replace(lower(p_name), ' ', '_')) AS s, concat('http://kg.example/part/', p_partkey) AS o
-FROM part
-"""
-
 VIEWS["emb_literals"] = """
 SELECT concat('http://kg.example/entity/', vec_id % 50) AS s, CASE WHEN vec_id < 50 THEN 'http://www.w3.org/2000/01/rdf-schema#label' ELSE concat('http://kg.example/p', vec_id % 7) END AS p, concat(CASE WHEN vec_id % 2 = 0 THEN 'Lit ' ELSE 'lit ' END, CAST(floor(sqrt(vec_id)) AS INT)) AS o, 'L' AS typeObject, embedding, vec_id
 FROM embeddings
 """
 
+# pages of part names, and a page for each fifth of the entities
+VIEWS["disambig"] = """
+SELECT concat('http://kg.example/disambiguation/', replace(lower(p_name), ' ', '_')) AS s, concat('http://kg.example/part/', p_partkey) AS o
+FROM part
+UNION ALL SELECT DISTINCT concat('http://kg.example/disambiguation/entity_', vec_id % 5), s
+FROM emb_literals
+"""
+
 VIEWS["ent_links"] = """
 SELECT DISTINCT s, concat('http://kg.example/entity/', (vec_id % 50 * 7 + CAST(floor(vec_id / 50.0) AS INT) + 3) % 50) AS o
 FROM emb_literals
 """
 
+# Rows 46 apart are mentions whose vector the table also holds, as an alias and as an entity row: of their
+# gold entity, or, 184 apart, of another one that shares its disambiguation page.
 VIEWS["vectors"] = """
 SELECT s AS sub, p AS pred, o AS obj, typeObject AS type_obj, embedding, vec_id
 FROM emb_literals
 WHERE vec_id % 23 <> 0
+UNION ALL SELECT concat('http://kg.example/entity/', CASE WHEN vec_id % 184 = 0 THEN (vec_id + 5) % 50 ELSE vec_id % 50 END), 'http://kg.example/alias', o, 'L', embedding, vec_id + 1000000
+FROM emb_literals
+WHERE vec_id % 46 = 0
+UNION ALL SELECT concat('http://kg.example/entity/', CASE WHEN vec_id % 184 = 0 THEN (vec_id + 5) % 50 ELSE vec_id % 50 END), 'http://kg.example/self', s, 'E', embedding, vec_id + 2000000
+FROM emb_literals
+WHERE vec_id % 46 = 0
 """
 
 VIEWS["mentions"] = """
 SELECT m.vec_id AS idx, m.o AS mention, CASE WHEN m.vec_id % 115 = 0 THEN 'http://kg.example/entity/none' WHEN m.vec_id % 69 = 0 THEN upper(m.s) ELSE m.s END AS y_true, m.embedding AS mention_vec, coalesce(c.embedding, m.embedding) AS ctx_vec
 FROM emb_literals m
-LEFT JOIN emb_literals c ON c.vec_id = m.vec_id + 1
+LEFT JOIN emb_literals c ON c.vec_id = m.vec_id + 1 AND m.vec_id % 46 <> 0
 WHERE m.vec_id % 23 = 0
 """
 
@@ -103,7 +114,7 @@ FROM embeddings
 
 VIEW_DEPS = {
     "kg_lines": [], "triples": [], "literals": ["triples"], "links": ["triples"],
-    "disambig": [], "emb_literals": [], "ent_links": ["emb_literals"],
+    "disambig": ["emb_literals"], "emb_literals": [], "ent_links": ["emb_literals"],
     "vectors": ["emb_literals"], "mentions": ["emb_literals"], "preds": [], "class_preds": [],
 }
 

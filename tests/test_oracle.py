@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from pyspark.sql import functions as F
 from entlink.plans.fixtures import BASE_TABLES
 
 SF = os.environ.get("ENTLINK_TEST_SF", "/root/testdata/sf0.001")
@@ -56,3 +57,13 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert [f.name for f in df.schema.fields] == ["idx", "y_true", "y_pred", "y_pred_dis", "status"]
+
+
+def test_linking_fixture_shows_every_status(spark):
+    q = E.queries()
+    status = {r[0]: r[1] for r in q["status_counts"](spark, "/root/testdata/sf0.01").select("status", "n").collect()}
+    assert set(status) == {"Correct", "Disambiguated", "Error", "Not present"}
+    assert sum(status.values()) == q["link_status"](spark, "/root/testdata/sf0.01").count() == 22
+    assert q["tied_candidates"](spark, "/root/testdata/sf0.01").where("n_tied_entities > 0").count() > 0
+    plain, forgiven = (r.accuracy for r in q["link_metrics"](spark, "/root/testdata/sf0.01").orderBy(F.desc("series")).collect())
+    assert 0 < plain < forgiven
