@@ -39,6 +39,13 @@ def split_words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), "[ \\t-\\r]+"), "")
 
 
+def computed(value: Column) -> Column:
+    """A column that filters above don't merge with: a predicate that is pushed
+    below a projection would copy the column's expression, and what its lambdas
+    read, into itself, and work it out anew for every array element."""
+    return F.explode(F.array(value))
+
+
 def crc_mod(id_col: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(mod)).cast("int")

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entlink.llm.common import prepare
+from entlink.llm.common import computed, prepare
 from entlink.session import persist_table
 
 TAU = 2
@@ -206,5 +206,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("lines", F.split(F.col(text), "\n"))
     places = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size("lines").cast("bigint") - 1), "cut")
     left = F.array_join(F.transform(places, lambda i: F.get("lines", i.cast("int"))), "\n")
-    rows = rows.withColumn(text, F.when(F.col("cut").isNull(), F.col(text)).otherwise(left))
+    rows = rows.withColumn(text, computed(F.when(F.col("cut").isNull(), F.col(text)).otherwise(left)))
     return rows.filter(F.col("cut").isNull() | F.col(text).rlike("[^ \\t-\\r]")).select(*names).toDF(*docs.columns)

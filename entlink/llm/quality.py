@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entlink.llm.common import split_words
+from entlink.llm.common import computed, split_words
 
 #: Words in a window of the repetition rule.
 REPEAT_WINDOW = 5
@@ -140,4 +140,5 @@ def filter_quality(docs: DataFrame, policy: Policy = PRODUCTION, text_col: str =
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).select(F.struct(*names).alias("row"), F.col(names[docs.columns.index(text_col)]).alias("t"))
     book = ledger(rows, id_col="row", text_col="t")
+    book = book.select("id", computed(F.col("fail_bits")).alias("fail_bits"))
     return book.filter(passes(policy)).select("id.*").toDF(*docs.columns)
