@@ -1021,6 +1021,15 @@ def q_ivf_search(spark, sf):
         .withColumn("distance", _r("distance"))
 
 
+@query("ivf_search_exhaustive", ["vectors", "mentions"], _sql_topk(_COS, 100))
+def q_ivf_search_exhaustive(spark, sf):
+    """Every cell probed: the same rows as the exact top-k."""
+    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    assigned, cents = S.ivf_index(vectors, n_cells=16)
+    return S.ivf_search(mentions, assigned, cents, S.TOP_K, probes=16, payload=VEC_PAYLOAD) \
+        .withColumn("distance", _r("distance"))
+
+
 @query("context_sentences", [], _CONLL_SQL + f"""
 , docs AS (
   SELECT ' (conv_' || conv_id AS doc_key,
@@ -1113,12 +1122,13 @@ def q_link_qa(spark, sf):
     from entlink.plans.encode import encode_entities, encode_literals
     from entlink.sinks.stage import build_vector_table, shape_vector_rows
     from entlink.sources.datasets import read_qa
-    lits = encode_literals(_word_kg(spark, sf))
+    dim = 512       # 64 buckets don't tell the words apart
+    lits = encode_literals(_word_kg(spark, sf), dim=dim)
     vt = shape_vector_rows(build_vector_table(lits.drop("o_raw"), encode_entities(lits)))
     items, mentions = read_qa(spark, qa_from_conversations(spark, sf))
     m = mentions.join(items.select("id", "question"), "id") \
         .withColumn("idx", F.xxhash64("id", "m_pos"))
-    prepared = LK.prepare_text_mentions(m)
+    prepared = LK.prepare_text_mentions(m, dim=dim)
     log = LK.link_mentions(prepared, vt.withColumn("vec_id", F.xxhash64("sub", "pred", "obj", "type_obj")),
                            spark.createDataFrame([], "s string, o string"))
     return M.status_counts(log)
