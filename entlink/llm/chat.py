@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +78,20 @@ def masked_text(formatted: str, starts, ends, mask) -> str:
     """The text that masked tokens cover, unescaped. Tokens of one character
     (its bytes) share it; it is read once. A piece ends where no masked token
     goes on, so escapes of different turns don't run together."""
-    pieces: list[list[int]] = []
-    for s, e in zip(np.asarray(starts)[mask].tolist(), np.asarray(ends)[mask].tolist()):
-        if pieces and s <= pieces[-1][1]:
-            pieces[-1][1] = max(e, pieces[-1][1])
-        else:
-            pieces.append([s, e])
+    starts, ends = starts[mask], np.maximum.accumulate(ends[mask])
+    if not len(starts):
+        return ""
+    apart = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+    pieces = zip(starts[np.r_[0, apart]].tolist(), ends[np.r_[apart - 1, len(ends) - 1]].tolist())
     return "".join(unescape(formatted[s:e]) for s, e in pieces)
 
 
+def slices(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column without nulls, as arrays."""
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [values[s:e] for s, e in zip(ends, ends[1:])]
+
+
 def load_tokenizer(tokenizer_file: str):
     from tokenizers import Tokenizer, processors
 
@@ -109,9 +115,10 @@ def _formatter(tokenizer_file: str, learned: tuple[str, ...]):
         def close() -> None:
             formatted, spans = render(turns, learned)
             encoded = tokenizer.encode(formatted, add_special_tokens=False)
-            starts, ends = np.array(encoded.offsets, np.int32).reshape(-1, 2).T
-            done.append({"id": key[0], "formatted": formatted, "n_turns": len(turns), "input_ids": encoded.ids, "token_starts": starts,
-                         "token_ends": ends, "loss_mask": mask_tokens(starts, ends, spans)})
+            offsets = encoded.offsets
+            starts, ends = np.fromiter(chain.from_iterable(offsets), np.int32, 2 * len(offsets)).reshape(-1, 2).T
+            done.append({"id": key[0], "formatted": formatted, "n_turns": len(turns), "input_ids": np.array(encoded.ids, np.int32),
+                         "token_starts": starts.copy(), "token_ends": ends.copy(), "loss_mask": mask_tokens(starts, ends, spans)})
 
         def hand_on() -> pa.RecordBatch:
             types = {"id": id_type, "formatted": pa.string(), "n_turns": pa.int64(), "input_ids": pa.list_(pa.int32()),
@@ -161,11 +168,11 @@ def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, starts, ends, mask in zip(*(b.column(c).to_pylist() for c in ("formatted", "token_starts", "token_ends", "loss_mask"))):
+            for text, starts, ends, mask in zip(b.column("formatted").to_pylist(), *(slices(b.column(c)) for c in ("token_starts", "token_ends", "loss_mask"))):
                 turns = parse(text)
-                loss = masked_text(text, starts, ends, np.array(mask, bool))
+                loss = masked_text(text, starts, ends, mask)
                 out.append((len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
-                            len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(mask), sum(mask)))
+                            len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(mask), int(mask.sum())))
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column("id"), *arrays], names=[id_col, *NAMES])
