@@ -4,9 +4,9 @@ A page falls into blocks at block-level tags. The first pass classifies each by
 the share of stop words, length and link density, and by where it stands: what
 is inside menus, headers, footers, sidebars, notices, adverts, forms or reader
 comments is boilerplate whatever it says, and what else is inside an article
-element is content unless it is mostly links. Blocks too short to tell, and
-those that are nearly good, are decided in the second pass by their nearest
-decided neighbours.
+element has lower thresholds to meet. Blocks too short to tell, and those that
+are nearly good, are decided in the second pass by their nearest decided
+neighbours, those inside an article by others inside, the rest by the rest.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from entlink.llm.common import prepare
 # Thresholds, tag names, marks of boilerplate, and common words.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.2, 0.3
+STOP_ARTICLE = 0.05  # inside an article; below it a block without a sentence mark is a list of words
 MAX_LINKS, MAX_ARTICLE_LINKS = 0.2, 0.5
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th
@@ -57,6 +58,7 @@ si sin sobre son su sus también te tiene todo un una uno y ya""".split())
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.;!?…。！？।؟]")
 
 
 @dataclass
@@ -158,41 +160,58 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _first_pass(b: Block, has_article: bool) -> str:
-    density = b.links / max(1, len("".join(b.text.split())))
-    if b.boiler:
-        return "bad"
-    if has_article:
-        return "good" if b.content and density <= MAX_ARTICLE_LINKS else "bad"
-    if density > MAX_LINKS or "©" in b.text:
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _density(b: Block) -> float:
+    return b.links / max(1, len("".join(b.text.split())))
+
+
+def _first_pass(b: Block) -> str:
+    if b.boiler or _density(b) > MAX_LINKS or "©" in b.text:
         return "bad"
     if len(b.text) < SHORT:
         return "bad" if b.links else "short"
-    words = _WORD.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    stop = _stop_share(b.text)
     if stop >= STOP_HIGH:
         return "good" if len(b.text) > LONG else "near"
     return "near" if stop >= STOP_LOW else "bad"
 
 
-def _nearest(labels: list[str], i: int, step: int, decided: tuple[str, ...]) -> str:
+def _first_pass_inside(b: Block, known: bool) -> str:
+    """For blocks inside an article; ``known``: its language has known stop words."""
+    density = _density(b)
+    if density > MAX_ARTICLE_LINKS or "©" in b.text:
+        return "bad"
+    stop = _stop_share(b.text)
+    if density > MAX_LINKS:
+        return "near" if stop >= STOP_LOW or not known else "bad"
+    if len(b.text) < SHORT:
+        return "near" if stop >= STOP_LOW else "short"
+    if stop >= STOP_LOW:
+        return "good"
+    return "list" if known and stop < STOP_ARTICLE and not _SENTENCE.search(b.text) else "near"
+
+
+def _nearest(labels: list[str], i: int, step: int, decided: tuple[str, ...], edge: str = "bad") -> str:
     i += step
     while 0 <= i < len(labels):
         if labels[i] in decided:
             return labels[i]
         i += step
-    return "bad"
+    return edge
 
 
-def classify(found: list[Block]) -> list[Block]:
-    """Labels each block good or bad. Short blocks take their decided neighbours'
-    label where both agree; between a good and a bad one, they are good if the
-    nearest block that isn't short is nearly good on the good side. Blocks nearly
-    good are good beside a good one. A page on which nothing is good, but has
-    long blocks without links, has a language without known stop words: those
-    blocks are then good."""
-    has_article = any(b.content and not b.boiler for b in found)
-    first = [_first_pass(b, has_article) for b in found]
+def _outside(found: list[Block], has_article: bool) -> list[str]:
+    """Labels by both passes. Short blocks take their decided neighbours' label
+    where both agree; between a good and a bad one, they are good if the nearest
+    block that isn't short is nearly good on the good side. Blocks nearly good
+    are good beside a good one. A page on which nothing is good, but has long
+    blocks without links, has a language without known stop words: those blocks
+    are then good."""
+    first = [_first_pass(b) for b in found]
     if not has_article and "good" not in first and "near" not in first:
         first = ["good" if not b.boiler and len(b.text) >= SHORT and not b.links and "©" not in b.text else x for b, x in zip(found, first)]
     labels = []
@@ -208,7 +227,33 @@ def classify(found: list[Block]) -> list[Block]:
     for i, x in enumerate(first):
         if x == "near":
             labels[i] = "good" if "good" in (_nearest(labels, i, -1, ("good", "bad")), _nearest(labels, i, 1, ("good", "bad"))) else "bad"
-    for b, x in zip(found, labels):
+    return labels
+
+
+def _inside(found: list[Block]) -> list[str]:
+    """Labels by both passes inside an article. Blocks nearly good are good unless
+    they stand between two bad ones, the article's edges being good. Then lists of
+    words are good between two good ones, and last short blocks beside a good one;
+    for these the end counts as bad. With nothing good, both are good."""
+    known = any(len(b.text) >= SHORT and _stop_share(b.text) >= STOP_LOW for b in found)
+    first = [_first_pass_inside(b, known) for b in found]
+    around = lambda labels, i, end: (_nearest(labels, i, -1, ("good", "bad"), "good"), _nearest(labels, i, 1, ("good", "bad"), end))
+    sure = [x if x != "near" else "good" if "good" in around(first, i, "good") else "bad" for i, x in enumerate(first)]
+    if "good" not in sure:
+        return ["good" if x in ("short", "list") else x for x in sure]
+    sure = [x if x != "list" else "good" if around(sure, i, "bad") == ("good", "good") else "bad" for i, x in enumerate(sure)]
+    return [x if x != "short" else "good" if "good" in around(sure, i, "bad") else "bad" for i, x in enumerate(sure)]
+
+
+def classify(found: list[Block]) -> list[Block]:
+    """Labels each block good or bad, those inside an article among themselves and
+    the others among themselves. What is marked as boilerplate inside an article,
+    an advert between two paragraphs, says nothing about its neighbours."""
+    inside = [b for b in found if b.content and not b.boiler]
+    outside = [b for b in found if not b.content]
+    for b in found:
+        b.label = "bad"
+    for b, x in zip((*inside, *outside), (*_inside(inside), *_outside(outside, bool(inside)))):
         b.label = x
     return found
 

@@ -34,6 +34,20 @@ def test_two_passes_without_article():
     assert h.main_text(f"<div><p>{russian}</p><p><a href=x>ссылка</a></p></div>") == " ".join(russian.split())
 
 
+def test_both_passes_with_an_article():
+    clean = " ".join(LONG.split())
+    tags = "Tags: economy markets banking inflation currency trade exports policy rates growth"
+    inside = (f"<article><h1>Title</h1><p>By <a href=/j>Jane Doe of somewhere</a></p><p>{LONG}</p><p>Tiny.</p><p>{LONG}</p><div>{tags}</div>"
+              "<div>Share</div><div>© 2020 nobody</div><div>Print</div></article>")
+    assert h.main_text(inside).split("\n\n") == ["Title", clean, "Tiny.", clean]
+    outside = f"<article><h2>Teaser</h2></article><div><p>{LONG}</p><p>Tiny.</p><p>{LONG}</p></div><div>Some words after it</div>"
+    assert h.main_text(outside).split("\n\n") == ["Teaser", clean, "Tiny.", clean]
+    near = f"<article><p>{LONG}</p></article><p>Sign up and get all of the news that we have for you in one mail of the day.</p>"
+    assert h.main_text(near) == clean
+    russian = "Мама мыла раму и смотрела в окно на улицу, где шёл дождь. " * 5
+    assert h.main_text(f"<article><h1>Мама</h1><p>{russian}</p><p>Конец</p></article>") == f"Мама\n\n{russian.strip()}\n\nКонец"
+
+
 def test_query_on_the_table(spark):
     sf = "/root/testdata/sf0.001"
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
