@@ -27,9 +27,11 @@ from entlink.llm.common import computed, prepare
 from entlink.session import persist_table
 
 TAU = 2
-#: Lines with fewer characters are left alone; from ``EDIT_CHARS`` on, lines within ``TAU`` edits are duplicates too.
+#: What the query ``op5_line_dedup`` and its SQL return: lines of ``EXACT_CHARS`` characters, and from ``EDIT_CHARS`` on their links.
 EXACT_CHARS = 16
 EDIT_CHARS = 32
+#: Policy of ``dedup_lines``: duplicates with fewer characters stay, as clean documents share them by chance.
+CUT_CHARS = 16
 #: Candidate lines are broadcast to the scan that reads their texts if their hashes take no more than this.
 BROADCAST_BYTES = 32 << 20
 
@@ -132,9 +134,10 @@ def banded_distance(a: str, b: str, tau: int) -> Column:
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS, edit_chars: int = EDIT_CHARS,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", blank: bool = True) -> DataFrame:
     """``(doc_id, line_no, first_doc_id, first_line_no, n_links, kept)`` of every
-    line of at least ``exact_chars`` characters.
+    line of at least ``exact_chars`` characters; without ``blank``, lines of
+    white space only have no row.
 
     ``first_*``: the earliest place, by id and line number, of this line or of a
     line linked to it; ``n_links``: other texts within ``tau`` edits, for lines
@@ -146,6 +149,8 @@ def line_classes(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS
     """
     prepare(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col).filter(F.char_length("line") >= exact_chars).withColumn("length", F.char_length("line"))
+    if not blank:
+        lines = lines.filter(F.col("line").rlike("[^ \\t-\\r]"))
     fuzzy = F.col("length") >= edit_chars
     hashed = lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("content"), "line", "length")
     place = F.struct("doc_id", "line_no")
@@ -193,17 +198,27 @@ def line_classes(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS
                                                   F.col("class.line_no").cast("bigint").alias("first_line_no"), "n_links", kept.alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with its columns: lines that ``line_classes`` doesn't keep are cut
-    from the texts, and documents of which no word is left go; all others,
-    null and empty texts too, stay. See ``line_classes`` for ties and nulls."""
-    gone = (line_classes(docs, id_col=id_col, text_col=text_col, **settings).filter(~F.col("kept"))
+def all_line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``line_classes`` of every line that isn't blank: linked from ``tau + 1``
+    characters on, below that only equal lines are duplicates."""
+    return line_classes(docs, tau, 1, tau + 1, id_col, text_col, blank=False)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, cut_chars: int = CUT_CHARS) -> DataFrame:
+    """``docs`` with its columns: lines of at least ``cut_chars`` characters that
+    stand, equal or within ``tau`` edits, in an earlier place are cut from the
+    texts, and documents of which no word is left go; all others, null and empty
+    texts too, stay. See ``line_classes`` for ties and nulls."""
+    least = max(1, cut_chars - tau)  # all that a line of cut_chars can be linked to
+    gone = (line_classes(docs, tau, least, max(tau + 1, least), id_col, text_col).filter(~F.col("kept"))
             .groupBy("doc_id").agg(F.collect_set("line_no").alias("cut")))
     gone = persist_table(gone, "line-cuts")
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     rows = docs.toDF(*names).join(gone, F.col(id_).eqNullSafe(F.col("doc_id")), "left")
     rows = rows.withColumn("lines", F.split(F.col(text), "\n"))
+    long_cut = F.filter("cut", lambda i: F.char_length(F.get("lines", i.cast("int"))) >= cut_chars)
+    rows = rows.withColumn("cut", computed(F.when(F.exists("cut", lambda i: F.char_length(F.get("lines", i.cast("int"))) >= cut_chars), long_cut)))
     places = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size("lines").cast("bigint") - 1), "cut")
     left = F.array_join(F.transform(places, lambda i: F.get("lines", i.cast("int"))), "\n")
     rows = rows.withColumn(text, computed(F.when(F.col("cut").isNull(), F.col(text)).otherwise(left)))

@@ -116,6 +116,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that isn't blank. DuckDB's levenshtein counts bytes, so a brute-force version holds it."""
+    from entlink.llm.linededup import all_line_classes
+
+    return all_line_classes(table(spark, sf_dir, "documents"))
+
+
 @query("""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')

@@ -84,3 +84,33 @@ def test_hot_line_and_cleaning(spark):
     assert ld.dedup_lines(docs.limit(0)).count() == 0
     twice = spark.createDataFrame([(5, hot + "\n" + hot + "!", "c")], "doc_id long, text string, cut string")
     assert ld.dedup_lines(twice).first()["text"] == hot
+
+
+def test_short_lines(spark):
+    rnd = random.Random(5)
+    seeds = ["".join(rnd.choice("abcé ") for _ in range(rnd.randint(1, 12))) for _ in range(30)]
+    rows = [(i, "\n".join(edit(rnd, rnd.choice(seeds), rnd.randint(0, 2)) for _ in range(rnd.randint(1, 5)))) for i in range(60)]
+    rows += [(100, "All rights reserved.\n \n\t"), (101, "All rights reserved\nLes.\nok\n "), (102, "Les.\nok\nLos.")]
+    got = ld.all_line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute([(i, "\n".join(x if x.strip(" \t") else "" for x in t.split("\n"))) for i, t in rows], 2, 1, 3)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
+def test_query_of_all_lines_on_the_table(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r[0], "\n".join(x for x in (r[1] or "").split("\n") if len(x) < 40)) for r in docs.select("doc_id", "text").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from entlink.llm import queries as Q
+
+    got = sorted((tuple(r) for r in Q.QUERIES["op5_line_dedup_all"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == brute([(i, "\n".join(x if x.strip(" \t\r\x0b\x0c") else "" for x in t.split("\n"))) for i, t in rows], 2, 1, 3)
+    assert len(got) > 200 and any(r[4] for r in got)
+
+
+def test_cleaning_of_short_variants(spark):
+    docs = spark.createDataFrame([(1, "All rights reserved\nLes.\nsome words of one"), (2, "All rights reserved.\nLes.\nanother kind of line"),
+                                  (3, "fifteen letters\nwords that stand here only once"), (4, "fifteen letters.\nother words in their own place"), (5, "fifteen letters"),
+                                  (6, "  "), (7, "              \n               ")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs).collect()}
+    want = {r["doc_id"]: r["text"] for r in docs.collect()} | {2: "Les.\nanother kind of line", 4: "other words in their own place"}
+    assert got == want
