@@ -188,8 +188,22 @@ FROM p GROUP BY doc_id, held_out
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from entlink.llm import ngram
 
+    return _lm_scores(spark, sf_dir, ngram.ORDER)
+
+
+@query()
+def op9_lm_scoring_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model for production; the SQL above holds order 2, a brute-force version this."""
+    from entlink.llm import ngram
+
+    return _lm_scores(spark, sf_dir, ngram.PRODUCTION_ORDER)
+
+
+def _lm_scores(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    from entlink.llm import ngram
+
     docs = table(spark, sf_dir, "documents")
-    model = ngram.train(ngram.training_rows(docs))
+    model = ngram.train(ngram.training_rows(docs), order)
     scored = ngram.score(docs, model)
     return scored.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), 5) == 1).alias("held_out"), "n_tokens", "n_known",
                          F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
