@@ -232,3 +232,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = tox.score(docs, tox.train(docs, table(spark, sf_dir, "labels")))
     return scored.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), tox.MOD) == tox.HELD_OUT).alias("held_out"),
                          "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from entlink.llm.crossalign import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
