@@ -261,3 +261,13 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transform(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query()
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from entlink.llm import boosting as gb
+
+    docs = table(spark, sf_dir, "documents")
+    scored = gb.score(docs, gb.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), (crc_mod(F.col("id"), gb.MOD) == gb.HELD_OUT).alias("held_out"),
+                         "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
