@@ -56,6 +56,18 @@ def odd_texts():
     return out + out[20:40] + [out[20]] * 30
 
 
+def test_merging_by_id_equals_the_library():
+    fast = ca.TokenizerA(FILE_A)
+    assert fast.ranked is not None
+    rnd = random.Random(7)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 37 == 0)]
+    texts = [f"a{c}b {c}1{c} {c}{c}  {c}\n" for c in chars] + [t for t in odd_texts() if t]
+    texts += ["".join(rnd.choice(" \n\t'sdtélR1!") for _ in range(300)) for _ in range(300)] + [" " * 70_000, "a" * 70_000 + "\n" * 9000, "x " * 600_000]
+    assert fast.encode(texts) == fast._library([" " + t for t in texts])
+    odd = {"model": {"type": "BPE", "vocab": {"a": 0}, "merges": [["a", "b"]]}, "pre_tokenizer": {"type": "ByteLevel"}}
+    assert fast._ranked(odd) is None
+
+
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
