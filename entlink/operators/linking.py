@@ -22,6 +22,8 @@ STATUS_CORRECT, STATUS_ERROR = "Correct", "Error"
 STATUS_DISAMBIGUATED, STATUS_NOT_PRESENT = "Disambiguated", "Not present"
 # ---------------------------------------------------------------------------
 
+BUCKET_BITS = 32768      # bits of one bitmap of bitmap_construct_agg
+
 
 def context_vector(mentions: DataFrame, mention_vec: str = "mention_vec", ctx_vec: str = "ctx_vec",
                    with_mention: bool = True) -> DataFrame:
@@ -56,16 +58,67 @@ def context_sentences(mentions: DataFrame, docs: DataFrame, max_len: int, key: s
     return j.select(*mentions.columns, F.explode(ctx).alias("context"))
 
 
+def key_filter(keys: DataFrame, n_rows: int, key: str = "_k") -> DataFrame:
+    """A Bloom filter of ``keys`` as an aggregate: ``(bucket, bits)``, for each
+    4-KB bucket of a bit table that two hashes of a key set bits in. The table
+    has 8 bits for each of ``n_rows`` keys, but at most ``BROADCAST_BYTES``."""
+    bits = filter_bits(n_rows)
+    places = keys.select(F.explode(F.array(*[_place(key, seed, bits) for seed in (0, 1)])).alias("_x"))
+    return places.groupBy(F.floor(F.col("_x") / BUCKET_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("_x") % BUCKET_BITS).alias("bits"))
+
+
+def filter_bits(n_rows: int) -> int:
+    from entlink.operators.search import BROADCAST_BYTES
+    buckets = -(-8 * max(1, n_rows) // BUCKET_BITS)
+    return BUCKET_BITS * min(buckets, 8 * BROADCAST_BYTES // BUCKET_BITS)
+
+
+def _place(key: str, seed: int, bits: int):
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits))
+
+
+def might_be_in(rows: DataFrame, bloom: DataFrame, n_rows: int, key: str = "_k") -> DataFrame:
+    """The rows whose key passes the filter: all that are among its keys, and
+    about one in twenty others. The filter's size is bounded, so it is broadcast."""
+    bits = filter_bits(n_rows)
+    for seed in (0, 1):
+        b = F.broadcast(bloom.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
+        at = _place(key, seed, bits)
+        # byte x // 8 of the bucket, bit x % 8
+        byte = F.conv(F.hex(F.call_function("substring", F.col("_bits"), (F.floor(at % BUCKET_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
+        rows = rows.join(b, (F.floor(at / BUCKET_BITS) == F.col("_bucket")) & hit, "left_semi")
+    return rows
+
+
 def _found_keys(mentions: DataFrame, vectors: DataFrame, gold: str, sub: str,
                 n_rows: int | None) -> DataFrame:
-    """Lower-cased gold URIs that occur as ``lower(sub)``. The vector table is
-    only filtered by the mention keys (broadcast when their count ``n_rows`` is
-    known and small), so it is never shuffled or de-duplicated whole."""
-    from entlink.operators.search import small
-    keys = mentions.select(F.lower(F.col(gold)).alias("_k")).distinct()
+    """Lower-cased gold URIs that occur as ``lower(sub)``: one scan of the
+    subjects alone. Up to a size the mention keys (``n_rows`` at most) are
+    broadcast to it; beyond that a Bloom filter of theirs is, and only subjects
+    that pass it are shuffled to meet them."""
+    from entlink.operators.search import BROADCAST_BYTES, KEY_ROW_BYTES, small
+    keys = mentions.select(F.lower(F.col(gold)).alias("_k")).where("_k is not null").distinct()
+    subs = vectors.select(F.lower(sub).alias("_k"))
+    if n_rows is not None and n_rows * KEY_ROW_BYTES > BROADCAST_BYTES:
+        return might_be_in(subs, key_filter(keys, n_rows), n_rows).distinct().join(keys, "_k", "left_semi")
     if n_rows is not None:
         keys = small(keys, n_rows)
-    return vectors.select(F.lower(sub).alias("_k")).join(keys, "_k", "left_semi").distinct()
+    return subs.join(keys, "_k", "left_semi").distinct()
+
+
+def split_present(mentions: DataFrame, vectors: DataFrame, gold: str = "y_true", sub: str = "sub",
+                  n_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """F10 + A16 at once: the mentions whose gold URI (case-insensitive) has rows
+    in the vector table, and the others. What the table's one scan found is
+    stored, so both halves, and every later use of them, read that."""
+    from entlink.operators.search import small
+    from entlink.session import persist_table
+    found = persist_table(_found_keys(mentions, vectors, gold, sub, n_rows), "present-keys")
+    if n_rows is not None:
+        found = small(found, n_rows)
+    is_found = F.lower(F.col(gold)) == F.col("_k")
+    return mentions.join(found, is_found, "left_semi"), mentions.join(found, is_found, "left_anti")
 
 
 def present_mentions(mentions: DataFrame, vectors: DataFrame, gold: str = "y_true", sub: str = "sub",
@@ -82,12 +135,6 @@ def missing_entities(mentions: DataFrame, vectors: DataFrame, gold: str = "y_tru
     return mentions.join(found, F.lower(F.col(gold)) == F.col("_k"), "left_anti")
 
 
-def with_context_distance(cands: DataFrame, ctx: DataFrame, key: str = "idx", vec: str = "embedding") -> DataFrame:
-    """Adds ``d_ctx`` = L2 distance of each candidate vector to its mention's context vector."""
-    c = ctx.select(key, "context_vec")
-    return cands.join(c, key).withColumn("d_ctx", V.l2_distance(vec, "context_vec")).drop("context_vec")
-
-
 def rerank(cands: DataFrame, key: str = "idx", sub: str = "sub",
            order: tuple[str, ...] = ("d_ctx", "distance", "sub", "pred", "obj", "vec_id")) -> DataFrame:
     """T5: prediction = the candidate nearest to the context; ties go to the
@@ -97,24 +144,40 @@ def rerank(cands: DataFrame, key: str = "idx", sub: str = "sub",
     return cands.groupBy(key).agg(best.alias("_b")).select(key, "_b.y_pred", "_b.d_ctx")
 
 
-def tied_candidates(cands: DataFrame, key: str = "idx", type_col: str = "type_obj") -> DataFrame:
+def tied_candidates(cands: DataFrame, vectors: DataFrame | None = None, key: str = "idx", type_col: str = "type_obj") -> DataFrame:
     """The leading run of equal context distances per mention: its size and
-    how many entity ('E') rows it holds (diagnostic; prediction is unchanged)."""
+    how many entity ('E') rows it holds (diagnostic; prediction is unchanged).
+    The type is read from ``vectors`` for those rows where candidates don't carry it."""
+    from entlink.operators.search import with_payload
     w = Window.partitionBy(key).orderBy(F.col("d_ctx").asc())
     top = cands.withColumn("_r", F.rank().over(w)).where(F.col("_r") == 1)
+    if type_col not in top.columns:
+        top = with_payload(top, vectors, [type_col])
     return top.groupBy(key).agg(F.count(F.lit(1)).alias("n_tied"),
                                 F.count_if(F.col(type_col) == "E").alias("n_tied_entities"))
 
 
-def error_report(cands: DataFrame, errors: DataFrame, key: str = "idx",
+def error_report(cands: DataFrame, errors: DataFrame, vectors: DataFrame, details: DataFrame | None = None, key: str = "idx",
                  n: int = ERROR_REPORT_ROWS) -> DataFrame:
-    """The ``n`` nearest candidates (by context distance) of every error,
-    long form ``(idx, rank, sub, obj, d_ctx)``."""
-    c = cands.join(errors.select(key).distinct(), key, "left_semi")
-    w = Window.partitionBy(key).orderBy(F.col("d_ctx").asc(), F.col("distance").asc(), F.col("sub").asc(),
-                                        F.col("pred").asc_nulls_first(), F.col("obj").asc(), F.col("vec_id").asc())
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
-        .select(key, "rank", "sub", "obj", "d_ctx")
+    """The ``n`` nearest candidates (by context distance) of every error, long
+    form ``(idx, details..., y_true, y_pred, rank, sub, obj, d_ctx)``. ``details``
+    holds what is to be read beside an error: mention, question or context.
+
+    Candidates are cut first, with ties at the end of the list; then the rows
+    that are left get their texts from ``vectors`` and the final order. An error
+    without candidates has no row."""
+    from entlink.operators.search import with_payload
+    c = cands.join(errors.select(key, "y_true", "y_pred"), key)
+    near = Window.partitionBy(key).orderBy(F.col("d_ctx").asc(), F.col("distance").asc(), F.col("sub").asc())
+    c = c.withColumn("_r", F.rank().over(near)).where(F.col("_r") <= n)
+    c = with_payload(c, vectors, [x for x in ("sub", "pred", "obj", "vec_id") if x in vectors.columns])
+    last = [F.col(x).asc_nulls_first() for x in ("pred", "obj", "vec_id") if x in c.columns]
+    w = Window.partitionBy(key).orderBy(F.col("d_ctx").asc(), F.col("distance").asc(), F.col("sub").asc(), *last)
+    c = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    shown = [x for x in (details.columns if details is not None else []) if x != key]
+    if details is not None:
+        c = c.join(details, key, "left")
+    return c.select(key, *shown, "y_true", "y_pred", "rank", "sub", "obj", "d_ctx")
 
 
 def disambig_neighbourhood(golds: DataFrame, disambig: DataFrame, gold: str = "y_true") -> DataFrame:
@@ -175,13 +238,15 @@ def apply_disambiguation(preds: DataFrame, disambig: DataFrame, key: str = "idx"
 
 
 def rank_vote(cands: DataFrame, key: str = "idx", by: str = "distance", sub: str = "sub") -> DataFrame:
-    """Reciprocal-rank vote. In ``by`` order, the rank grows by one at every
-    change of ``by``; an entity scores sum(1 / (rank + 1)) over its rows; the
-    best score wins, ties to the entity seen first."""
-    w = Window.partitionBy(key).orderBy(F.col(by).asc())
-    wr = Window.partitionBy(key).orderBy(F.col(by).asc(), F.col(sub).asc(), F.col("obj").asc(),
-                                         F.col("vec_id").asc())
-    r = cands.withColumn("_rank", F.dense_rank().over(w) - 1).withColumn("_pos", F.row_number().over(wr))
+    """Reciprocal-rank vote. Rows are taken in distance order; the rank grows
+    by one wherever ``by`` (the distance, or the row's text) differs from the row
+    before; an entity scores sum(1 / (rank + 1)) over its rows; the best score
+    wins, ties to the entity seen first."""
+    tie = [F.col(c).asc() for c in (sub, "obj", "vec_id") if c in cands.columns]
+    w = Window.partitionBy(key).orderBy(F.col("distance").asc(), *tie)
+    changed = (F.row_number().over(w) > 1) & ~F.col(by).eqNullSafe(F.lag(by).over(w))
+    r = cands.withColumn("_pos", F.row_number().over(w)).withColumn("_change", changed.cast("int"))
+    r = r.withColumn("_rank", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     per = r.groupBy(key, F.lower(sub).alias("entity")).agg(
         F.sum(1.0 / (F.col("_rank") + 1)).alias("score"), F.min("_pos").alias("_first"))
     best = F.max_by(F.struct("entity", "score"), F.struct("score", -F.col("_first")))

@@ -24,6 +24,7 @@ from entlink.operators import stats as ST
 from entlink.operators import triples as TR
 from entlink.plans import link as LK
 from entlink.plans.fixtures import load, table, with_views
+from entlink.session import persist_table
 from entlink.sources import rdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -425,25 +426,27 @@ def q_vector_from_text(spark, sf):
 # ---------------------------------------------------------------- linking --
 
 _LINK_CTE = """
-WITH present AS (SELECT * FROM mentions WHERE lower(y_true) IN (SELECT lower(sub) FROM vectors)),
-scored AS (
-  SELECT p.idx, v.sub, v.pred, v.obj, v.type_obj, v.vec_id, v.embedding,
-         list_cosine_distance(v.embedding::DOUBLE[], p.mention_vec::DOUBLE[]) AS distance
-  FROM present p CROSS JOIN vectors v),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY distance, sub, pred, obj, type_obj, vec_id) AS rn FROM scored),
-hitsub AS (SELECT DISTINCT idx, sub FROM ranked WHERE rn <= 100),
-cand AS (SELECT s.idx, s.vec_id FROM scored s JOIN hitsub h ON h.idx = s.idx AND h.sub = s.sub),
-need AS (SELECT p.idx FROM present p WHERE NOT EXISTS (SELECT 1 FROM hitsub h WHERE h.idx = p.idx AND h.sub = p.y_true)),
-rng AS (SELECT idx, vec_id FROM ranked WHERE distance < 1.0 AND rn <= 10000 AND idx IN (SELECT idx FROM need)),
-allk AS (SELECT idx, vec_id FROM cand UNION SELECT idx, vec_id FROM rng),
-ctx AS (SELECT idx, list_transform(range(1, len(mention_vec) + 1),
-               lambda i: (mention_vec[i]::DOUBLE + ctx_vec[i]::DOUBLE) / 2.0) AS cv FROM present),
-dc AS (SELECT s.*, list_distance(s.embedding::DOUBLE[], c.cv) AS d_ctx
-       FROM scored s JOIN allk a ON a.idx = s.idx AND a.vec_id = s.vec_id JOIN ctx c ON c.idx = s.idx),
+WITH vt AS MATERIALIZED (SELECT * FROM vectors), mt AS MATERIALIZED (SELECT * FROM mentions),
+present AS MATERIALIZED (SELECT * FROM mt WHERE lower(y_true) IN (SELECT lower(sub) FROM vt)),
+scored AS MATERIALIZED (
+  SELECT p.idx, v.sub, v.pred, v.obj, v.type_obj, v.vec_id,
+         list_cosine_distance(v.embedding::DOUBLE[], p.mention_vec::DOUBLE[]) AS distance,
+         list_distance(v.embedding::DOUBLE[], list_transform(range(1, len(p.mention_vec) + 1),
+               lambda i: (p.mention_vec[i]::DOUBLE + p.ctx_vec[i]::DOUBLE) / 2.0)) AS d_ctx
+  FROM present p CROSS JOIN vt v),
+ranked AS MATERIALIZED (
+  SELECT idx, vec_id, sub, distance, row_number() OVER (PARTITION BY idx ORDER BY distance, sub, pred, obj, type_obj, vec_id) AS rn
+  FROM scored WHERE NOT isnan(distance)),
+hitsub AS MATERIALIZED (SELECT DISTINCT idx, sub FROM ranked WHERE rn <= 100),
+need AS MATERIALIZED (SELECT p.idx FROM present p WHERE NOT EXISTS (SELECT 1 FROM hitsub h WHERE h.idx = p.idx AND h.sub = p.y_true)),
+allk AS MATERIALIZED (
+  SELECT s.idx, s.vec_id FROM scored s JOIN hitsub h ON h.idx = s.idx AND h.sub = s.sub
+  UNION SELECT idx, vec_id FROM ranked WHERE distance < 1.0 AND rn <= 10000 AND idx IN (SELECT idx FROM need)),
+dc AS MATERIALIZED (SELECT s.* FROM scored s JOIN allk a ON a.idx = s.idx AND a.vec_id = s.vec_id),
 pr AS (SELECT idx, sub AS y_pred, d_ctx FROM (
          SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d_ctx, distance, sub, pred NULLS FIRST, obj, vec_id) AS r
          FROM dc) t WHERE r = 1),
-lg AS (SELECT p.idx, p.y_true, pr.y_pred FROM present p JOIN pr ON pr.idx = p.idx),
+lg AS (SELECT p.idx, p.y_true, pr.y_pred FROM present p LEFT JOIN pr ON pr.idx = p.idx),
 eg AS (SELECT DISTINCT y_true FROM lg WHERE lower(y_pred) <> lower(y_true)),
 dd AS (SELECT eg.y_true, g.o AS e FROM eg JOIN disambig g ON g.s = eg.y_true
        UNION SELECT eg.y_true, g.s FROM eg JOIN disambig g ON g.o = eg.y_true),
@@ -458,29 +461,32 @@ st AS (SELECT lg.idx, lg.y_true, lg.y_pred,
 log AS (SELECT idx, y_true, y_pred, CASE WHEN status = 'Disambiguated' THEN y_true ELSE y_pred END AS y_pred_dis, status
         FROM st
         UNION ALL
-        SELECT idx, y_true, NULL, NULL, 'Not present' FROM mentions
-        WHERE lower(y_true) NOT IN (SELECT lower(sub) FROM vectors))
+        SELECT idx, y_true, NULL, NULL, 'Not present' FROM mt
+        WHERE lower(y_true) NOT IN (SELECT lower(sub) FROM vt))
 """
 _LINK_VIEWS = ["vectors", "mentions", "disambig"]
 
 
-def _link_parts(spark, sf):
+def _link_tables(spark, sf):
+    """The linking tables; the vector table is a stored one (K6), as in use."""
     vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
+    return persist_table(vectors, "vector-table"), mentions, disambig
+
+
+def _link_parts(spark, sf):
+    vectors, mentions, disambig = _link_tables(spark, sf)
     present = L.present_mentions(mentions, vectors)
-    cands = LK.candidates_with_fallback(present, vectors)
-    ctx = L.context_vector(present).select("idx", "context_vec")
-    scored = L.with_context_distance(cands, ctx)
-    return vectors, mentions, disambig, present, scored
+    cands = LK.candidates_with_fallback(LK.with_context(present, True), vectors, contexts={"d_ctx": "context_vec"})
+    return vectors, mentions, disambig, present, cands
 
 
 @query("candidates_fallback", _LINK_VIEWS, _LINK_CTE + """
-SELECT s.idx, s.sub, s.pred, s.obj, s.type_obj, s.vec_id, round(s.distance, 4) + 0.0 AS distance
-FROM scored s JOIN allk a ON a.idx = s.idx AND a.vec_id = s.vec_id
+SELECT idx, sub, pred, obj, type_obj, vec_id, round(distance, 4) + 0.0 AS distance FROM dc
 """)
 def q_candidates_fallback(spark, sf):
     vectors, mentions = load(spark, sf, "vectors", "mentions")
     present = L.present_mentions(mentions, vectors)
-    c = LK.candidates_with_fallback(present, vectors)
+    c = S.with_payload(LK.candidates_with_fallback(present, vectors), vectors, VEC_PAYLOAD)
     return c.select("idx", *VEC_PAYLOAD, _r("distance").alias("distance"))
 
 
@@ -506,28 +512,42 @@ SELECT idx, count(*) AS n_tied, count(*) FILTER (WHERE type_obj = 'E') AS n_tied
 WHERE rk = 1 GROUP BY idx
 """)
 def q_tied_candidates(spark, sf):
-    *_, scored = _link_parts(spark, sf)
-    return L.tied_candidates(scored)
+    vectors, *_, scored = _link_parts(spark, sf)
+    return L.tied_candidates(scored, vectors)
 
 
 @query("error_report", _LINK_VIEWS, _LINK_CTE + """
-SELECT idx, rank, sub, obj, round(d_ctx, 4) + 0.0 AS d_ctx FROM (
-  SELECT dc.*, row_number() OVER (PARTITION BY dc.idx ORDER BY d_ctx, distance, sub, pred NULLS FIRST, obj, vec_id) AS rank
-  FROM dc WHERE dc.idx IN (SELECT idx FROM log WHERE status = 'Error')) t
+SELECT t.idx, m.mention, t.y_true, t.y_pred, rank, sub, obj, round(d_ctx, 4) + 0.0 AS d_ctx FROM (
+  SELECT dc.*, log.y_true, log.y_pred,
+         row_number() OVER (PARTITION BY dc.idx ORDER BY d_ctx, distance, sub, pred NULLS FIRST, obj, vec_id) AS rank
+  FROM dc JOIN log ON log.idx = dc.idx WHERE log.status = 'Error') t
+JOIN mt m ON m.idx = t.idx
 WHERE rank <= 25
 """)
 def q_error_report(spark, sf):
-    vectors, mentions, disambig, present, scored = _link_parts(spark, sf)
-    log = LK.link_mentions(mentions, vectors, disambig)
-    return L.error_report(scored, log.where(F.col("status") == L.STATUS_ERROR)).withColumn("d_ctx", _r("d_ctx"))
+    vectors, mentions, disambig, present, cands = _link_parts(spark, sf)
+    errors = LK.link_mentions(mentions, vectors, disambig).where(F.col("status") == L.STATUS_ERROR)
+    return L.error_report(cands, errors, vectors, mentions.select("idx", "mention")).withColumn("d_ctx", _r("d_ctx"))
 
 
 @query("link_status", _LINK_VIEWS, _LINK_CTE + "SELECT * FROM log")
 def q_link_status(spark, sf):
-    vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
+    vectors, mentions, disambig = _link_tables(spark, sf)
     return LK.link_mentions(mentions, vectors, disambig)
 
 
+@query("link_resume", _LINK_VIEWS, _LINK_CTE + "SELECT * FROM log")
+def q_link_resume(spark, sf):
+    """An evaluation that stops after half of the mentions: its log is written as
+    text (K7), read back (S11), and the rest is linked. The result is the whole log."""
+    from entlink.sources.datasets import eval_log_lines, read_eval_log
+    vectors, mentions, disambig = _link_tables(spark, sf)
+    half = LK.link_mentions(mentions.where(F.col("idx") % 2 == 0), vectors, disambig)
+    path = _scratch(spark, "half-log")
+    eval_log_lines(half, "half").select("value").write.text(path)
+    return LK.link_mentions(mentions, vectors, disambig, done=read_eval_log(spark, path))
+
+
 @query("status_counts", _LINK_VIEWS, _LINK_CTE + "SELECT status, count(*) AS n FROM log GROUP BY status")
 def q_status_counts(spark, sf):
     vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
@@ -588,12 +608,29 @@ SELECT idx, entity AS y_pred, round(score, 4) + 0.0 AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY idx ORDER BY score DESC, first) AS w FROM sc) t WHERE w = 1
 """)
 def q_rank_vote(spark, sf):
-    vectors, mentions = load(spark, sf, "vectors", "mentions")
+    vectors, mentions, _ = _link_tables(spark, sf)
     present = L.present_mentions(mentions, vectors)
-    cands = LK.candidates_with_fallback(present, vectors)
+    cands = S.with_payload(LK.candidates_with_fallback(present, vectors), vectors, VEC_PAYLOAD)
     return L.rank_vote(cands).withColumn("score", _r("score"))
 
 
+@query("rank_vote_text", _LINK_VIEWS, _LINK_CTE + """
+, ch AS (SELECT idx, sub, obj, vec_id, distance,
+                CASE WHEN obj IS DISTINCT FROM lag(obj) OVER w AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS change
+         FROM dc WINDOW w AS (PARTITION BY idx ORDER BY distance, sub, obj, vec_id)),
+rk AS (SELECT *, sum(change) OVER (PARTITION BY idx ORDER BY distance, sub, obj, vec_id ROWS UNBOUNDED PRECEDING) AS r,
+              row_number() OVER (PARTITION BY idx ORDER BY distance, sub, obj, vec_id) AS pos FROM ch),
+sc AS (SELECT idx, lower(sub) AS entity, sum(1.0 / (r + 1)) AS score, min(pos) AS first FROM rk GROUP BY 1, 2)
+SELECT idx, entity AS y_pred, round(score, 4) + 0.0 AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY idx ORDER BY score DESC, first) AS w FROM sc) t WHERE w = 1
+""")
+def q_rank_vote_text(spark, sf):
+    vectors, mentions, _ = _link_tables(spark, sf)
+    present = L.present_mentions(mentions, vectors)
+    cands = S.with_payload(LK.candidates_with_fallback(present, vectors), vectors, VEC_PAYLOAD)
+    return L.rank_vote(cands, by="obj").withColumn("score", _r("score"))
+
+
 # ---------------------------------------------------------------- metrics --
 
 def _sql_classes(src: str, yt: str = "y_true", yp: str = "y_pred") -> str:
@@ -602,7 +639,7 @@ def _sql_classes(src: str, yt: str = "y_true", yp: str = "y_pred") -> str:
   SELECT c, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
     SELECT lower({yt}) AS c, {hit} AS tp, 0 AS fp, 1 - {hit} AS fn FROM {src}
     UNION ALL SELECT lower({yp}), 0, 1 - {hit}, 0 FROM {src}) t
-  GROUP BY c),
+  WHERE c IS NOT NULL GROUP BY c),
 tot AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM cls),
 mac AS (SELECT avg(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END) AS macro_precision,
                avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END) AS macro_recall,
@@ -635,21 +672,42 @@ def q_micro_prf(spark, sf):
     return m.select(*[_r(c).alias(c) for c in ("micro_precision", "micro_recall", "micro_f1")])
 
 
-@query("link_metrics", _LINK_VIEWS, _LINK_CTE + ", ev AS (SELECT * FROM log WHERE status <> 'Not present'), "
-       + _sql_classes("ev") + ", " + _sql_classes("ev", yp="y_pred_dis").replace("cls AS", "cls2 AS")
-       .replace("FROM cls)", "FROM cls2)").replace("tot AS", "tot2 AS").replace("mac AS", "mac2 AS") + """
-SELECT 'plain' AS series, round(tot.tp / (tot.tp + tot.fn), 4) AS accuracy, round(macro_f1, 4) AS macro_f1,
+def _sql_link_metrics(cte: str) -> str:
+    """Both metric series over the evaluated mentions of the linking log."""
+    return cte + ", ev AS (SELECT * FROM log WHERE status <> 'Not present'), " + _sql_classes("ev") + ", " \
+        + _sql_classes("ev", yp="y_pred_dis").replace("cls AS", "cls2 AS").replace("FROM cls)", "FROM cls2)") \
+        .replace("tot AS", "tot2 AS").replace("mac AS", "mac2 AS") + """
+SELECT 'plain' AS series, CAST(tot.tp + tot.fn AS BIGINT) AS n, round(tot.tp / (tot.tp + tot.fn), 4) AS accuracy, round(macro_f1, 4) AS macro_f1,
        round(2 * tot.tp / (2 * tot.tp + tot.fp + tot.fn), 4) AS micro_f1 FROM tot, mac
 UNION ALL
-SELECT 'disambiguated', round(tot2.tp / (tot2.tp + tot2.fn), 4), round(mac2.macro_f1, 4),
+SELECT 'disambiguated', CAST(tot2.tp + tot2.fn AS BIGINT), round(tot2.tp / (tot2.tp + tot2.fn), 4), round(mac2.macro_f1, 4),
        round(2 * tot2.tp / (2 * tot2.tp + tot2.fp + tot2.fn), 4) FROM tot2, mac2
-""")
-def q_link_metrics(spark, sf):
-    vectors, mentions, disambig = load(spark, sf, "vectors", "mentions", "disambig")
-    log = LK.link_mentions(mentions, vectors, disambig).where(F.col("status") != L.STATUS_NOT_PRESENT)
+"""
+
+
+def _link_metrics(vectors, mentions, disambig):
+    log = persist_table(LK.link_mentions(mentions, vectors, disambig).where(F.col("status") != L.STATUS_NOT_PRESENT), "link-log")
     plain = M.metrics(log).withColumn("series", F.lit("plain"))
     dis = M.metrics(log, y_pred="y_pred_dis").withColumn("series", F.lit("disambiguated"))
-    return plain.unionByName(dis).select("series", *[_r(c).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")])
+    return plain.unionByName(dis).select("series", "n", *[_r(c).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")])
+
+
+@query("link_metrics", _LINK_VIEWS, _sql_link_metrics(_LINK_CTE))
+def q_link_metrics(spark, sf):
+    return _link_metrics(*_link_tables(spark, sf))
+
+
+@query("link_metrics_gaps", _LINK_VIEWS, _sql_link_metrics(_LINK_CTE.replace(
+    "SELECT * FROM mentions)", """SELECT * FROM mentions
+  UNION ALL SELECT -1 - idx, mention, y_true, list_transform(mention_vec, lambda x: 0.0::FLOAT), ctx_vec FROM mentions WHERE idx % 2 = 0)""")))
+def q_link_metrics_gaps(spark, sf):
+    """Beside the mentions some whose vector is zero: they have no candidate and
+    no prediction, and count as errors."""
+    vectors, mentions, disambig = _link_tables(spark, sf)
+    gaps = mentions.where(F.col("idx") % 2 == 0).withColumn("idx", -1 - F.col("idx")) \
+        .withColumn("mention_vec", F.transform("mention_vec", lambda x: F.lit(0.0).cast("float")))
+    return _link_metrics(vectors, mentions.unionByName(gaps), disambig)
+
 
 
 # ------------------------------------------------------------------ stats --
@@ -1030,6 +1088,23 @@ def q_ivf_search_exhaustive(spark, sf):
         .withColumn("distance", _r("distance"))
 
 
+@query("ivf_recall", ["vectors", "mentions"], """
+SELECT 10 AS probes, (SELECT count(*) FROM vectors) AS n_indexed, (SELECT count(*) FROM mentions) * 10 AS n_exact, true AS recall_reached, true AS cells_balanced
+""")
+def q_ivf_recall(spark, sf):
+    """Blocked search against the exact top 10: every vector is indexed, ten of
+    sixteen cells with 30 rows of each give a recall of 0.9 or more, and the
+    largest cell is below twice the mean."""
+    vectors, mentions, _ = _link_tables(spark, sf)
+    assigned, cents = S.ivf_index(vectors, n_cells=16)
+    exact = S.cosine_top_k(mentions, vectors, 10, payload=["vec_id"]).select("idx", "vec_id")
+    found = S.ivf_search(mentions, assigned, cents, 10, probes=10, payload=["vec_id"], per_cell=S.IVF_PER_CELL)
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["idx", "vec_id"], "left").agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_hit"))
+    sizes = assigned.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n") < 2 * F.sum("n") / 16)
+    return hits.select(F.lit(10).alias("probes"), assigned.agg(F.count_distinct("vec_id")).scalar().alias("n_indexed"), "n_exact",
+                       (F.col("n_hit") >= 0.9 * F.col("n_exact")).alias("recall_reached"), sizes.scalar().alias("cells_balanced"))
+
+
 @query("context_sentences", [], _CONLL_SQL + f"""
 , docs AS (
   SELECT ' (conv_' || conv_id AS doc_key,

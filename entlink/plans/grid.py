@@ -88,9 +88,12 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
     vt_all = persist_table(union_tables(vts), "grid-vectors")
     m_all = persist_table(union_tables(ms), "grid-mentions")
     n = m_all.count()   # bounds the broadcasts of mention-sized data
-    present = L.present_mentions(m_all, vt_all, n_rows=n)
-    absent = L.missing_entities(m_all, vt_all, n_rows=n)
-    cands = LK.candidates_with_fallback(present, vt_all, key=key, group="_variant")
+    present, absent = L.split_present(m_all, vt_all, n_rows=n)
+    modes = sorted({st.context_with_mention for st in settings})
+    with_ctx = present
+    for ctx in modes:
+        with_ctx = LK.with_context(with_ctx, ctx).withColumnRenamed("context_vec", f"ctx_{ctx}")
+    cands = persist_table(LK.candidates_with_fallback(with_ctx, vt_all, key=key, group="_variant", contexts={f"d_{c}": f"ctx_{c}" for c in modes}), "grid-candidates")
     unq = lambda c: F.regexp_replace(c, r"^[0-9]+\|", "")
     cands = cands.withColumn("sub", unq(F.col("sub")))
     present = present.withColumn("y_true", unq(F.col("y_true")))
@@ -102,8 +105,8 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
                                             "n int, way string, d string")
     conf = conf.select("_variant", "_ctx", setting_name("m", "w", "st", "n", "way", "_ctx", "d").alias("setting"))
     logs = []
-    for ctx in sorted({st.context_with_mention for st in settings}):
-        log = LK._finish(present, absent, cands, disambig, ctx, key, n) \
+    for ctx in modes:
+        log = LK._finish(present, absent, cands.withColumnRenamed(f"d_{ctx}", "d_ctx"), disambig, key, n) \
             .where(F.col("status") != L.STATUS_NOT_PRESENT)
         logs.append(log.select(F.col(key)["variant"].alias("_variant"), F.lit(ctx).alias("_ctx"),
                                "y_true", "y_pred", "y_pred_dis"))

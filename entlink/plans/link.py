@@ -3,10 +3,13 @@
 mentions (idx, mention, y_true, mention_vec, context...) + vector table +
 disambiguation links -> eval log ``(idx, y_true, y_pred, y_pred_dis, status)``.
 
-Plan: present / absent split (semi / anti join on ``lower(sub)``), one staged
-query set, cosine top-k + subject expansion (T1, T2), gold-recall fallback
-range search for the mentions that need it (T3, T4), L2 re-rank against the
-context vector (T5), disambiguation forgiveness (G1, G2). No driver loop.
+Plan: present / absent split (one scan of the subjects, stored), one staged
+query set, cosine top-k (T1), expansion of the hit subjects with both distances
+worked out in the scan (T2, T5), gold-recall fallback range search for the
+mentions that need it (T3, T4), re-rank by the context distance, disambiguation
+forgiveness (G1, G2). Candidates travel as ``(mention, subject, vec_id,
+distances)``; no vector of the table is shuffled and no driver loop runs. A
+finished log can be given: its mentions are not linked again.
 """
 
 from __future__ import annotations
@@ -16,79 +19,103 @@ from pyspark.sql import functions as F
 
 from entlink.operators import linking as L
 from entlink.operators import search as S
+from entlink.session import persist_table
 
 VEC_PAYLOAD = ["sub", "pred", "obj", "type_obj", "vec_id"]
 
 
 def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.TOP_K,
                              gold_fallback: bool = True, key: str = "idx", gold: str = "y_true",
-                             qvec: str = "mention_vec", payload: list[str] | None = None,
+                             qvec: str = "mention_vec", contexts: dict[str, str] | None = None,
                              group: str | None = None) -> DataFrame:
-    """T2 + T4 + T11: candidate rows ``(idx, payload..., embedding, distance)``.
-
-    Candidates are computed once per distinct mention vector (mentions of a
-    dataset repeat) and joined back to the mentions. When ``gold_fallback``
-    is on (reference behaviour; it reads the gold answer) a mention whose gold
-    URI (exact case) is not among its candidate subjects also gets the
-    range-search rows (distance < 1.0, nearest 10,000), united without
-    duplicates.
+    """T2 + T4 + T11: candidate rows ``(idx, row id..., distance, contexts...)``.
+
+    ``contexts`` maps result columns to vector columns of ``present``: each is
+    the L2 distance of the candidate to that vector. The payload of a row is
+    joined after the candidates have been cut (``search.with_payload``).
+    The search runs once per distinct mention vector, the expansion once per
+    distinct mention and context vectors (mentions of a dataset repeat). When
+    ``gold_fallback`` is on (reference behaviour; it reads the gold answer) a
+    mention whose gold URI (exact case) is not among its candidate subjects also
+    gets the range-search rows (distance < 1.0, nearest 10,000), united without
+    duplicates. A mention without candidates has no row.
     """
-    from entlink.session import persist_table
-    payload = payload or [c for c in VEC_PAYLOAD if c in vectors.columns]
+    contexts = contexts or {}
+    own = S.row_id(vectors)
     v = F.col(qvec).cast("array<double>")
+    ctx = {n: F.col(c).cast("array<double>").alias(f"_c_{n}") for n, c in contexts.items()}
     gcols = [F.col(group).alias("_grp")] if group else []
     # the key of a distinct vector (and group): a digest of its exact text form
     vk = F.sha2(F.concat_ws("|", v.cast("string"), *([F.col(group).cast("string")] if group else [])), 256)
-    pm = persist_table(present.select(key, gold, *gcols, vk.alias("_vk"), v.alias("_v")), "mentions")
+    ck = F.sha2(F.concat_ws("|", vk, *[F.col(c).cast("array<double>").cast("string") for c in contexts.values()]), 256)
+    pm = persist_table(present.select(key, gold, *gcols, vk.alias("_vk"), ck.alias("_ck"), v.alias("_v"), *ctx.values()), "mentions")
     gq = "_grp" if group else None
     vecs = vectors.withColumnRenamed(group, "_grp") if group else vectors
-    uq = pm.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"])
-    qs = S.stage_queries(uq, "_vk", "_v", gq)
-    cv = S.candidates(qs, vecs, k, key="_vk", qvec="_v", payload=payload, group=gq)
-    # written once: it feeds both the fallback test and the result
-    cv = persist_table(cv, "candidates")
-    cols = [key, *payload, "embedding", "distance"]
-    cands = pm.select(key, "_vk").join(cv, "_vk").select(*cols)
+    also = {n: f"_c_{n}" for n in contexts}
+
+    qs = S.stage_queries(pm.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"]), "_vk", "_v", gq)
+    hits = persist_table(S.hit_subjects(qs, vecs, k, group=gq).withColumnRenamed("_q", "_vk"), "hits")
+    queries = pm.dropDuplicates(["_ck"]).join(hits, "_vk").select(F.col("_ck").alias("_q"), F.col("_v").alias("_qv"), "_subs", *also.values())
+    cv = S.expand(queries, vecs, own, also, key="_ck")
+    cols = [key, *own, "distance", *contexts]
     if not gold_fallback:
-        return cands
-    golds = pm.select(key, "_vk", F.col(gold).alias("_g"))
-    hit = golds.join(cv.select("_vk", F.col("sub").alias("_g")).distinct(), ["_vk", "_g"], "left_semi") \
-        .select(key)
-    need = persist_table(pm.join(hit, key, "left_anti"), "fallback")
-    qs2 = S.stage_queries(need.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"]), "_vk", "_v", gq)
+        return pm.select(key, "_ck").join(cv, "_ck").select(*cols)
+    reached = F.coalesce(F.array_contains("_subs", F.col(gold)), F.lit(False))
+    need = persist_table(pm.join(hits, "_vk", "left").where(~reached).drop("_subs"), "fallback")
+    carry = {f"_v_{n}": F.col(c) for n, c in also.items()}
+    qs2 = S.stage_queries(need.dropDuplicates(["_ck"]), "_ck", "_v", gq, carry)
     if qs2.n == 0:
-        return cands
-    rng = S.range_search(qs2, vecs, key="_vk", qvec="_v", payload=payload + ["embedding"], group=gq)
-    extra = need.select(key, "_vk").join(rng, "_vk").select(*cols)
-    # union distinct on the row identity (key + payload); distances are equal. Only the mentions
+        return pm.select(key, "_ck").join(cv, "_ck").select(*cols)
+    cv = persist_table(cv, "candidates")
+    cands = pm.select(key, "_ck").join(cv, "_ck").select(*cols)
+    rng = S.range_search(qs2, vecs, key="_ck", payload=own, also=also, group=gq)
+    extra = need.select(key, "_ck").join(rng, "_ck").select(*cols)
+    # union distinct on the row identity (mention and row); distances are equal. Only the mentions
     # that fall back are de-duplicated: another mention's gold doesn't change a mention's candidates.
     back = need.select(key)
-    both = cands.join(back, key, "left_semi").unionByName(extra).dropDuplicates([key, *payload])
+    both = cands.join(back, key, "left_semi").unionByName(extra).dropDuplicates([key, *own])
     return cands.join(back, key, "left_anti").unionByName(both)
 
 
 def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame, k: int = S.TOP_K,
-                  with_mention: bool = True, gold_fallback: bool = True, key: str = "idx") -> DataFrame:
+                  with_mention: bool = True, gold_fallback: bool = True, key: str = "idx",
+                  done: DataFrame | None = None) -> DataFrame:
     """U4: eval log for every mention; absent gold URIs get status 'Not present'.
 
+    ``done``: the log ``(idx, y_true, y_pred, status)`` of an evaluation that
+    stopped (as ``read_eval_log`` returns it). Its mentions keep their rows, the
+    others are linked, and the result is the log of all. Of equal keys in
+    ``done`` one row counts, the smallest by status and prediction; keys that
+    are no mention's are left out.
+
     The mention count (one small action) bounds every broadcast of
     mention-sized data; the vector table is only scanned, never shuffled."""
+    log_columns = [key, "y_true", "y_pred", "y_pred_dis", "status"]
+    if done is not None:
+        first = F.min(F.struct("status", "y_pred", "y_true")).alias("_l")
+        old = done.select(F.col(key).cast(mentions.schema[key].dataType).alias(key), "y_true", "y_pred", "status").groupBy(key).agg(first)
+        old = persist_table(old.join(mentions.select(key), key, "left_semi").select(key, "_l.*"), "finished-log")
+        mentions = mentions.join(old.select(key), key, "left_anti")
+        dis = F.when(F.col("status") == L.STATUS_DISAMBIGUATED, F.col("y_true")).otherwise(F.col("y_pred"))
+        old = old.withColumn("y_pred_dis", dis).select(*log_columns)
+    mentions = persist_table(mentions, "link-mentions")
     n = mentions.count()
-    present = L.present_mentions(mentions, vectors, n_rows=n)
-    absent = L.missing_entities(mentions, vectors, n_rows=n)
-    cands = candidates_with_fallback(present, vectors, k, gold_fallback, key)
-    return _finish(present, absent, cands, disambig, with_mention, key, n)
+    present, absent = L.split_present(mentions, vectors, n_rows=n)
+    ctx = with_context(present, with_mention)
+    cands = candidates_with_fallback(ctx, vectors, k, gold_fallback, key, contexts={"d_ctx": "context_vec"})
+    log = _finish(present, absent, cands, disambig, key, n)
+    return log if done is None else log.select(*log_columns).unionByName(old)
 
 
-def _finish(present: DataFrame, absent: DataFrame, cands: DataFrame, disambig: DataFrame,
-            with_mention: bool, key: str, n_rows: int | None = None) -> DataFrame:
-    if "context_vec" in present.columns:          # prepared from texts (prepare_text_mentions)
-        ctx = present.select(key, "context_vec")
-    else:
-        ctx = L.context_vector(present, with_mention=with_mention).select(key, "context_vec")
-    scored = L.with_context_distance(cands, ctx, key)
+def with_context(present: DataFrame, with_mention: bool) -> DataFrame:
+    """``context_vec`` of each mention: its own (``prepare_text_mentions``), or C11 of two vectors."""
+    return present if "context_vec" in present.columns else L.context_vector(present, with_mention=with_mention)
+
+
+def _finish(present: DataFrame, absent: DataFrame, cands: DataFrame, disambig: DataFrame, key: str,
+            n_rows: int | None = None) -> DataFrame:
     # a present mention without candidates (a zero mention vector) stays, without a prediction: an error
-    preds = present.select(key, "y_true").join(L.rerank(scored, key), key, "left")
+    preds = persist_table(present.select(key, "y_true").join(L.rerank(cands, key), key, "left"), "predictions")
     linked = L.apply_disambiguation(preds, disambig, key, n_rows) \
         .select(key, "y_true", "y_pred", "y_pred_dis", "status")
     missing = absent.select(key, "y_true", F.lit(None).cast("string").alias("y_pred"),
