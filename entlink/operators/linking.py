@@ -77,18 +77,25 @@ def _place(key: str, seed: int, bits: int):
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits))
 
 
-def might_be_in(rows: DataFrame, bloom: DataFrame, n_rows: int, key: str = "_k") -> DataFrame:
-    """The rows whose key passes the filter: all that are among its keys, and
-    about one in twenty others. The filter's size is bounded, so it is broadcast."""
+def mark_possible(rows: DataFrame, bloom: DataFrame, n_rows: int, key: str = "_k", mark: str = "_possible") -> DataFrame:
+    """``rows`` with a column ``mark``: whether the key passes the filter, which
+    all of its own keys do, and about one in twenty others. The filter's size is
+    bounded, so it is broadcast and the rows stay where they are."""
     bits = filter_bits(n_rows)
+    columns, hits = rows.columns, []
     for seed in (0, 1):
-        b = F.broadcast(bloom.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
+        b = F.broadcast(bloom.select(F.col("bucket").alias(f"_bucket{seed}"), F.col("bits").alias(f"_bits{seed}")))
         at = _place(key, seed, bits)
+        rows = rows.join(b, F.floor(at / BUCKET_BITS) == F.col(f"_bucket{seed}"), "left")
         # byte x // 8 of the bucket, bit x % 8
-        byte = F.conv(F.hex(F.call_function("substring", F.col("_bits"), (F.floor(at % BUCKET_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        hit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1
-        rows = rows.join(b, (F.floor(at / BUCKET_BITS) == F.col("_bucket")) & hit, "left_semi")
-    return rows
+        byte = F.conv(F.hex(F.call_function("substring", F.col(f"_bits{seed}"), (F.floor(at % BUCKET_BITS / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hits.append(F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False)))
+    return rows.select(*columns, (hits[0] & hits[1]).alias(mark))
+
+
+def might_be_in(rows: DataFrame, bloom: DataFrame, n_rows: int, key: str = "_k") -> DataFrame:
+    """The rows that pass the filter (``mark_possible``)."""
+    return mark_possible(rows, bloom, n_rows, key).where("_possible").drop("_possible")
 
 
 def _found_keys(mentions: DataFrame, vectors: DataFrame, gold: str, sub: str,

@@ -420,6 +420,18 @@ def range_search(queries, vectors: DataFrame, max_distance: float = RANGE_MAX_DI
     return knn_join(queries, vectors, limit, "cosine", max_distance=max_distance, **kw)
 
 
+def _nearest_pairs(cols: np.ndarray, by: list[np.ndarray], n: int) -> np.ndarray:
+    """The pairs of each query that are among its first ``n`` in the order
+    ``by``, or equal the n-th in the first of ``by``."""
+    order = np.lexsort((*by[::-1], cols))
+    cols = cols[order]
+    starts = np.flatnonzero(np.append(True, cols[1:] != cols[:-1]))
+    sizes = np.diff(starts, append=len(cols))
+    place = np.arange(len(cols)) - np.repeat(starts, sizes)
+    first = by[0][order]
+    return order[(place < n) | (first == first[np.repeat(starts + np.minimum(sizes, n) - 1, sizes)])]
+
+
 def row_id(vectors: DataFrame) -> list[str]:
     """The columns that stand for a row of the vector table until its payload is
     joined: subject and ``vec_id``, or all where the table has no such number."""
@@ -460,14 +472,17 @@ def hit_subjects(qs: QuerySet, vectors: DataFrame, k: int = TOP_K, vec: str = "e
 
 
 def expand(queries: DataFrame, vectors: DataFrame, payload: list[str], also: dict[str, str] | None = None,
-           key: str = "idx", vec: str = "embedding", sub: str = "sub") -> DataFrame:
+           key: str = "idx", vec: str = "embedding", sub: str = "sub", nearest: int | None = None) -> DataFrame:
     """For queries ``(_q, _qv, _subs, vectors of also...)`` all rows of the
     subjects ``_subs`` with their cosine distance to ``_qv`` and their L2
     distances to the vectors ``also``: ``(key, payload..., distance, also...)``.
 
     One scan of the vector table; the queries are read chunk by chunk and meet
     the rows in the task that scanned them, so neither a hub subject's rows nor
-    any vector is shuffled, and a hub's rows stay spread over the scan."""
+    any vector is shuffled, and a hub's rows stay spread over the scan. With
+    ``nearest`` a task returns of the rows it compares at once only each query's
+    first so many, for each distance of ``also`` (then the cosine distance), and
+    rows as near as the last: all that a later cut of as many rows can keep."""
     extra_vecs = _distance_columns(also)
     qs = stage_queries(queries, "_q", "_qv", carry={"_subs": F.col("_subs")} | {c: F.col(also[n]).cast("array<double>") for n, c in extra_vecs.items()})
     src = vectors.select(*payload, *[c for c in (sub, vec) if c not in payload]).where(F.col(vec).isNotNull())
@@ -508,7 +523,13 @@ def expand(queries: DataFrame, vectors: DataFrame, payload: list[str], also: dic
                         s1 = slice(s0, s0 + SLICE_ROWS)
                         with np.errstate(invalid="ignore", divide="ignore"):
                             dist[s1] = 1.0 - np.einsum("ij,ij->i", x[rows[s1]], q[cols[s1]]) / (norms[rows[s1]] * np.linalg.norm(q[cols[s1]], axis=1))
-                    yield from _rows_out(block.select(payload), queries, x, rows, cols, np.where(np.isfinite(dist), dist, np.nan), extra_vecs, arrow_out)
+                    dist = np.where(np.isfinite(dist), dist, np.nan)
+                    if nearest is not None and len(rows):
+                        others = [_pair_l2(x, _float_matrix(queries.column(c).combine_chunks()), rows, cols) for c in extra_vecs.values()]
+                        near = np.nan_to_num(dist, nan=-np.inf)
+                        keep = np.unique(np.concatenate([_nearest_pairs(cols, [*by, near], nearest) for by in [[o] for o in others] or [[]]]))
+                        rows, cols, dist = rows[keep], cols[keep], dist[keep]
+                    yield from _rows_out(block.select(payload), queries, x, rows, cols, dist, extra_vecs, arrow_out)
                     at = end
 
     return src.mapInArrow(run, out_schema).withColumnRenamed("_q", key).select(key, *payload, "distance", *extra_vecs)

@@ -473,10 +473,10 @@ def _link_tables(spark, sf):
     return persist_table(vectors, "vector-table"), mentions, disambig
 
 
-def _link_parts(spark, sf):
+def _link_parts(spark, sf, nearest=None):
     vectors, mentions, disambig = _link_tables(spark, sf)
     present = L.present_mentions(mentions, vectors)
-    cands = LK.candidates_with_fallback(LK.with_context(present, True), vectors, contexts={"d_ctx": "context_vec"})
+    cands = LK.candidates_with_fallback(LK.with_context(present, True), vectors, contexts={"d_ctx": "context_vec"}, nearest=nearest)
     return vectors, mentions, disambig, present, cands
 
 
@@ -502,7 +502,7 @@ def q_context_vector(spark, sf):
 
 @query("rerank_predict", _LINK_VIEWS, _LINK_CTE + "SELECT idx, y_pred, round(d_ctx, 4) + 0.0 AS d_ctx FROM pr")
 def q_rerank_predict(spark, sf):
-    *_, scored = _link_parts(spark, sf)
+    *_, scored = _link_parts(spark, sf, 1)
     return L.rerank(scored).withColumn("d_ctx", _r("d_ctx"))
 
 
@@ -512,7 +512,7 @@ SELECT idx, count(*) AS n_tied, count(*) FILTER (WHERE type_obj = 'E') AS n_tied
 WHERE rk = 1 GROUP BY idx
 """)
 def q_tied_candidates(spark, sf):
-    vectors, *_, scored = _link_parts(spark, sf)
+    vectors, *_, scored = _link_parts(spark, sf, 1)
     return L.tied_candidates(scored, vectors)
 
 
@@ -525,7 +525,7 @@ JOIN mt m ON m.idx = t.idx
 WHERE rank <= 25
 """)
 def q_error_report(spark, sf):
-    vectors, mentions, disambig, present, cands = _link_parts(spark, sf)
+    vectors, mentions, disambig, present, cands = _link_parts(spark, sf, L.ERROR_REPORT_ROWS)
     errors = LK.link_mentions(mentions, vectors, disambig).where(F.col("status") == L.STATUS_ERROR)
     return L.error_report(cands, errors, vectors, mentions.select("idx", "mention")).withColumn("d_ctx", _r("d_ctx"))
 

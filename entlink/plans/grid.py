@@ -93,9 +93,9 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
     with_ctx = present
     for ctx in modes:
         with_ctx = LK.with_context(with_ctx, ctx).withColumnRenamed("context_vec", f"ctx_{ctx}")
-    cands = persist_table(LK.candidates_with_fallback(with_ctx, vt_all, key=key, group="_variant", contexts={f"d_{c}": f"ctx_{c}" for c in modes}), "grid-candidates")
     unq = lambda c: F.regexp_replace(c, r"^[0-9]+\|", "")
-    cands = cands.withColumn("sub", unq(F.col("sub")))
+    preds = LK.predictions(with_ctx, vt_all, key=key, group="_variant", contexts={f"d_{c}": f"ctx_{c}" for c in modes})
+    preds = persist_table(preds, "grid-predictions")
     present = present.withColumn("y_true", unq(F.col("y_true")))
     absent = absent.withColumn("y_true", unq(F.col("y_true")))
 
@@ -106,7 +106,7 @@ def link_grid(emb_lits: DataFrame, mentions: DataFrame, disambig: DataFrame,
     conf = conf.select("_variant", "_ctx", setting_name("m", "w", "st", "n", "way", "_ctx", "d").alias("setting"))
     logs = []
     for ctx in modes:
-        log = LK._finish(present, absent, cands.withColumnRenamed(f"d_{ctx}", "d_ctx"), disambig, key, n) \
+        log = LK._finish(present, absent, preds.select(key, unq(F.col(f"d_{ctx}")).alias("y_pred")), disambig, key, n) \
             .where(F.col("status") != L.STATUS_NOT_PRESENT)
         logs.append(log.select(F.col(key)["variant"].alias("_variant"), F.lit(ctx).alias("_ctx"),
                                "y_true", "y_pred", "y_pred_dis"))

@@ -14,6 +14,8 @@ finished log can be given: its mentions are not linked again.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +26,24 @@ from entlink.session import persist_table
 VEC_PAYLOAD = ["sub", "pred", "obj", "type_obj", "vec_id"]
 
 
-def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.TOP_K,
-                             gold_fallback: bool = True, key: str = "idx", gold: str = "y_true",
-                             qvec: str = "mention_vec", contexts: dict[str, str] | None = None,
-                             group: str | None = None) -> DataFrame:
-    """T2 + T4 + T11: candidate rows ``(idx, row id..., distance, contexts...)``.
-
-    ``contexts`` maps result columns to vector columns of ``present``: each is
-    the L2 distance of the candidate to that vector. The payload of a row is
-    joined after the candidates have been cut (``search.with_payload``).
-    The search runs once per distinct mention vector, the expansion once per
-    distinct mention and context vectors (mentions of a dataset repeat). When
-    ``gold_fallback`` is on (reference behaviour; it reads the gold answer) a
-    mention whose gold URI (exact case) is not among its candidate subjects also
-    gets the range-search rows (distance < 1.0, nearest 10,000), united without
-    duplicates. A mention without candidates has no row.
-    """
-    contexts = contexts or {}
+@dataclass
+class Found:
+    """The parts of a candidate search: mentions with the keys of their distinct
+    vectors (``_ck``: mention and context vectors), the rows of their hit
+    subjects, the mentions that fall back, and the rows of their range search.
+    Rows are ``(_ck, row id..., distance, contexts...)``."""
+    mentions: DataFrame
+    rows: DataFrame
+    back: DataFrame | None = None
+    range_rows: DataFrame | None = None
+
+
+def find(present: DataFrame, vectors: DataFrame, k: int, gold_fallback: bool, key: str, gold: str, qvec: str,
+         contexts: dict[str, str], group: str | None, nearest: int | None = None) -> Found:
+    """The search runs once per distinct mention vector, the expansion and the
+    range search once per distinct mention and context vectors (mentions of a
+    dataset repeat). With ``nearest``, rows that can't be among a mention's first
+    so many by context distance may be missing."""
     own = S.row_id(vectors)
     v = F.col(qvec).cast("array<double>")
     ctx = {n: F.col(c).cast("array<double>").alias(f"_c_{n}") for n, c in contexts.items()}
@@ -56,27 +59,64 @@ def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.
     qs = S.stage_queries(pm.select("_vk", "_v", *([gq] if gq else [])).dropDuplicates(["_vk"]), "_vk", "_v", gq)
     hits = persist_table(S.hit_subjects(qs, vecs, k, group=gq).withColumnRenamed("_q", "_vk"), "hits")
     queries = pm.dropDuplicates(["_ck"]).join(hits, "_vk").select(F.col("_ck").alias("_q"), F.col("_v").alias("_qv"), "_subs", *also.values())
-    cv = S.expand(queries, vecs, own, also, key="_ck")
-    cols = [key, *own, "distance", *contexts]
+    rows = S.expand(queries, vecs, own, also, key="_ck", nearest=nearest)
     if not gold_fallback:
-        return pm.select(key, "_ck").join(cv, "_ck").select(*cols)
+        return Found(pm, rows)
     reached = F.coalesce(F.array_contains("_subs", F.col(gold)), F.lit(False))
     need = persist_table(pm.join(hits, "_vk", "left").where(~reached).drop("_subs"), "fallback")
-    carry = {f"_v_{n}": F.col(c) for n, c in also.items()}
-    qs2 = S.stage_queries(need.dropDuplicates(["_ck"]), "_ck", "_v", gq, carry)
+    qs2 = S.stage_queries(need.dropDuplicates(["_ck"]), "_ck", "_v", gq, {f"_v_{n}": F.col(c) for n, c in also.items()})
     if qs2.n == 0:
-        return pm.select(key, "_ck").join(cv, "_ck").select(*cols)
-    cv = persist_table(cv, "candidates")
-    cands = pm.select(key, "_ck").join(cv, "_ck").select(*cols)
-    rng = S.range_search(qs2, vecs, key="_ck", payload=own, also=also, group=gq)
-    extra = need.select(key, "_ck").join(rng, "_ck").select(*cols)
+        return Found(pm, rows)
+    return Found(pm, rows, need, S.range_search(qs2, vecs, key="_ck", payload=own, also=also, group=gq))
+
+
+def candidates_with_fallback(present: DataFrame, vectors: DataFrame, k: int = S.TOP_K,
+                             gold_fallback: bool = True, key: str = "idx", gold: str = "y_true",
+                             qvec: str = "mention_vec", contexts: dict[str, str] | None = None,
+                             group: str | None = None, nearest: int | None = None) -> DataFrame:
+    """T2 + T4 + T11: candidate rows ``(idx, row id..., distance, contexts...)``.
+
+    ``contexts`` maps result columns to vector columns of ``present``: each is
+    the L2 distance of the candidate to that vector. The payload of a row is
+    joined after the candidates have been cut (``search.with_payload``). When
+    ``gold_fallback`` is on (reference behaviour; it reads the gold answer) a
+    mention whose gold URI (exact case) is not among its candidate subjects also
+    gets the range-search rows (distance < 1.0, nearest 10,000), united without
+    duplicates. A mention without candidates has no row. ``nearest``: see ``find``.
+    """
+    own, contexts = S.row_id(vectors), contexts or {}
+    found = find(present, vectors, k, gold_fallback, key, gold, qvec, contexts, group, nearest)
+    cols = [key, *own, "distance", *contexts]
+    if found.back is None:
+        return found.mentions.select(key, "_ck").join(found.rows, "_ck").select(*cols)
+    rows = persist_table(found.rows, "candidates")
+    cands = found.mentions.select(key, "_ck").join(rows, "_ck").select(*cols)
+    extra = found.back.select(key, "_ck").join(found.range_rows, "_ck").select(*cols)
     # union distinct on the row identity (mention and row); distances are equal. Only the mentions
     # that fall back are de-duplicated: another mention's gold doesn't change a mention's candidates.
-    back = need.select(key)
+    back = found.back.select(key)
     both = cands.join(back, key, "left_semi").unionByName(extra).dropDuplicates([key, *own])
     return cands.join(back, key, "left_anti").unionByName(both)
 
 
+def predictions(present: DataFrame, vectors: DataFrame, k: int = S.TOP_K, gold_fallback: bool = True, key: str = "idx",
+                gold: str = "y_true", qvec: str = "mention_vec", contexts: dict[str, str] | None = None,
+                group: str | None = None) -> DataFrame:
+    """T5: ``(idx, <context>...)``, for each of ``contexts`` the subject of the
+    candidate nearest to it, null without candidates. Candidates are cut where
+    they arise: a task returns each query's nearest row, the nearest of all tasks
+    is one row for each distinct vector, and only that meets the mentions."""
+    contexts = contexts or {}
+    found = find(present, vectors, k, gold_fallback, key, gold, qvec, contexts, group, nearest=1)
+    tie = [c for c in ("distance", "sub", "pred", "obj", "vec_id") if c in found.rows.columns]
+    best = lambda rows, mark: rows.groupBy("_ck").agg(*[F.min(F.struct(n, *tie)).alias(f"{mark}{n}") for n in contexts])
+    out = found.mentions.select(key, "_ck").join(best(found.rows, "_a_"), "_ck", "left")
+    if found.back is None:
+        return out.select(key, *[F.col(f"_a_{n}")["sub"].alias(n) for n in contexts])
+    wide = found.back.select(key, "_ck").join(best(found.range_rows, "_b_"), "_ck").drop("_ck")
+    return out.join(wide, key, "left").select(key, *[F.least(f"_a_{n}", f"_b_{n}")["sub"].alias(n) for n in contexts])
+
+
 def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame, k: int = S.TOP_K,
                   with_mention: bool = True, gold_fallback: bool = True, key: str = "idx",
                   done: DataFrame | None = None) -> DataFrame:
@@ -101,9 +141,8 @@ def link_mentions(mentions: DataFrame, vectors: DataFrame, disambig: DataFrame,
     mentions = persist_table(mentions, "link-mentions")
     n = mentions.count()
     present, absent = L.split_present(mentions, vectors, n_rows=n)
-    ctx = with_context(present, with_mention)
-    cands = candidates_with_fallback(ctx, vectors, k, gold_fallback, key, contexts={"d_ctx": "context_vec"})
-    log = _finish(present, absent, cands, disambig, key, n)
+    preds = predictions(with_context(present, with_mention), vectors, k, gold_fallback, key, contexts={"d_ctx": "context_vec"})
+    log = _finish(present, absent, preds.withColumnRenamed("d_ctx", "y_pred"), disambig, key, n)
     return log if done is None else log.select(*log_columns).unionByName(old)
 
 
@@ -112,10 +151,10 @@ def with_context(present: DataFrame, with_mention: bool) -> DataFrame:
     return present if "context_vec" in present.columns else L.context_vector(present, with_mention=with_mention)
 
 
-def _finish(present: DataFrame, absent: DataFrame, cands: DataFrame, disambig: DataFrame, key: str,
+def _finish(present: DataFrame, absent: DataFrame, preds: DataFrame, disambig: DataFrame, key: str,
             n_rows: int | None = None) -> DataFrame:
     # a present mention without candidates (a zero mention vector) stays, without a prediction: an error
-    preds = persist_table(present.select(key, "y_true").join(L.rerank(cands, key), key, "left"), "predictions")
+    preds = persist_table(present.select(key, "y_true").join(preds.select(key, "y_pred"), key, "left"), "predictions")
     linked = L.apply_disambiguation(preds, disambig, key, n_rows) \
         .select(key, "y_true", "y_pred", "y_pred_dis", "status")
     missing = absent.select(key, "y_true", F.lit(None).cast("string").alias("y_pred"),
