@@ -8,12 +8,16 @@ substrings that may equal a segment there. The index key holds length, segment
 number and the segment's hash. Pairs that meet are verified by a banded
 bit-parallel edit distance.
 
-Only hashes are shuffled for the search, a key and a line's hash. Keys that
-nothing meets go in semi joins; the texts of the lines left are read again, and
-a parity mask of their characters, which most false pairs fail inside the join,
-keeps buckets of many similar lines from making many pairs. Equal lines are one
-line before the search, so a line that a third of all documents hold has one
-set of keys.
+Only hashes are shuffled for the search, a key and a line's hash; keys that
+nothing meets go in semi joins. Lines that are left get their texts and a parity
+mask of their characters, which most false pairs fail. A pair belongs to the
+first of the index keys it shares, so it is found and counted once. Where a key
+has few lines, its pairs are rows. Where it has many (a template with numbers in
+it, say), they are not: the lines of one side are gathered in blocks of bounded
+size, each line of the other side meets the blocks, and what leaves such a row
+is the number of its partners and the earliest of them, so rows grow with the
+lines and not with their square. Equal lines are one line before the search, so
+a line that a third of all documents hold has one set of keys.
 """
 
 from __future__ import annotations
@@ -24,22 +28,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entlink.llm.common import computed, prepare
+from entlink.operators.linking import key_filter, mark_possible
 from entlink.session import persist_table
 
 TAU = 2
-#: What the query ``op5_line_dedup`` and its SQL return: lines of ``EXACT_CHARS`` characters, and from ``EDIT_CHARS`` on their links.
-EXACT_CHARS = 16
-EDIT_CHARS = 32
 #: Policy of ``dedup_lines``: duplicates with fewer characters stay, as clean documents share them by chance.
 CUT_CHARS = 16
-#: Candidate lines are broadcast to the scan that reads their texts if their hashes take no more than this.
+#: Tables that are broadcast take no more than this, by their counted rows.
 BROADCAST_BYTES = 32 << 20
+#: Lines in a block, and pairs for each line of a key up to which they are rows.
+BLOCK = 256
+FEW = 16
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, line_no, line)``, by ``\\n``, from 0; a null or empty text has none."""
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text") != "")
-            .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
+    """``(doc_id, row, line_no, line)``, by ``\\n``, from 0; a null or empty text
+    has none. ``row`` is a hash of the whole text: rows are told apart by it and their id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text") != "")
+    return rows.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def parity_mask(line: Column) -> Column:
@@ -72,17 +78,15 @@ def probe_keys(wide: Column, length: Column, tau: int) -> Column:
               for shorter in range(tau + 1) for i in range(tau + 1)
               for move in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1)]
 
-    # lambdas, run for each place: written out, they would make a method too large to be compiled
-    def span(place: Column) -> Column:
+    # a lambda, run for each place: written out, they would make a method too large to be compiled
+    def key(place: Column) -> Column:
         other = length - place["shorter"]
         start, end = (F.call_function("div", other * x, F.lit(tau + 1)).cast("int") for x in (place["i"], place["i"] + 1))
-        return F.struct(other.alias("other"), place["i"].alias("i"), (start + place["move"]).alias("at"), (end - start).alias("size"))
+        at, size = start + place["move"], end - start
+        inside = (at >= 0) & (at + size <= length) & (other > 0)
+        return F.when((length > 4 * (tau + 1)) | inside, _key(wide, other, place["i"], at, size))
 
-    def key(x: Column) -> Column:
-        inside = (x["at"] >= 0) & (x["at"] + x["size"] <= length) & (x["other"] > 0)
-        return F.when(inside, _key(wide, x["other"], x["i"], x["at"], x["size"]))
-
-    return F.array_compact(F.transform(F.transform(F.array(*places), span), key))
+    return F.array_distinct(F.array_compact(F.transform(F.array(*places), key)))
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -90,16 +94,18 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), 0)
 
 
-def banded_distance(a: str, b: str, tau: int) -> Column:
+def banded_distance(a: str | Column, b: str | Column, tau: int) -> Column:
     """Edit distance of two columns of characters (arrays) where it is ``tau`` at
     most, else some larger number; their sizes must not differ by more.
 
     Bit ``x`` of the band stands for row ``j - tau + x`` of the matrix in its
     column ``j``; ``vp`` and ``vn`` have the vertical steps up and down, moved
     one row along for the next column. The distance is followed down the band's
-    lowest diagonal to the last row, then along it.
+    lowest diagonal to the last row, then along it. Cells of the band differ by
+    its width at most: once the distance is beyond ``tau`` by more, it stays so
+    and the columns left are passed over.
     """
-    a_, b_, k = F.col(a), F.col(b), tau
+    (a_, b_), k = (F.col(x) if isinstance(x, str) else x for x in (a, b)), tau
     width = 2 * k + 1
     ones = F.lit((1 << width) - 1)
     inverse = lambda x: x.bitwiseXOR(ones)
@@ -108,6 +114,9 @@ def banded_distance(a: str, b: str, tau: int) -> Column:
     m, n = F.size(a_), F.size(b_)
 
     def step(s: Column, j: Column) -> Column:
+        return F.when(s["dist"] > tau + width, s).otherwise(column(s, j))
+
+    def column(s: Column, j: Column) -> Column:
         vp, vn, dist = s["vp"], s["vn"], s["dist"]
         equal = F.lit(0)
         for x in range(width):
@@ -133,7 +142,99 @@ def banded_distance(a: str, b: str, tau: int) -> Column:
     return F.when(n == 0, m).otherwise(walked)
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS, edit_chars: int = EDIT_CHARS,
+def _common(a: Column, b: Column, most: Column, part: Callable[[Column, Column, Column], Column]) -> Column:
+    """How many characters, ``most`` at most, two texts have in common at an end,
+    by binary search; ``part(text, from, size)`` counts from that end."""
+    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int")), lambda e: F.call_function("shiftleft", F.lit(1), e))
+    longer = lambda n, x: F.when((n + x <= most) & (part(a, n, x) == part(b, n, x)), n + x).otherwise(n)
+    return F.aggregate(F.reverse(powers), F.lit(0), longer)
+
+
+def within(a: Column, b: Column, n_a: Column, n_b: Column, tau: int) -> Column:
+    """Whether texts of ``n_a`` and ``n_b`` characters, ``tau`` apart at most, are
+    within ``tau`` edits: ends that they share are left out, the rest is verified."""
+    front = lambda t, at, size: F.substring(t, at + 1, size)
+
+    def trimmed(head: Column) -> Column:
+        most = F.least(n_a, n_b) - head
+        back = lambda t, at, size: F.substring(t, F.char_length(t) - at - size + 1, size)
+
+        def verified(tail: Column) -> Column:
+            left = lambda t, n: F.filter(F.split(F.substring(t, head + 1, n - head - tail), ""), lambda c: c != "")
+            sides = F.struct(left(a, n_a).alias("a"), left(b, n_b).alias("b"))
+            return _let(sides, lambda x: banded_distance(x["a"], x["b"], tau) <= tau)
+
+        return _let(_common(a, b, most, back), verified)
+
+    return _let(_common(a, b, F.least(n_a, n_b), front), trimmed)
+
+
+def is_pair(a: Column, b: Column, tau: int) -> Column:
+    """Whether index entry ``a`` and probe entry ``b`` of one key are a link that
+    is to be counted here: in these roles, at their first shared key, and by text."""
+    roles = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["h"] < b["h"]))
+    near = (F.abs(a["n"] - b["n"]) <= tau) & (F.bit_count(a["mask"].bitwiseXOR(b["mask"])) <= 2 * tau)
+    return roles & near & ~F.arrays_overlap(a["before"], b["probes"]) & within(a["line"], b["line"], a["n"], b["n"], tau)
+
+
+def _small(rows: DataFrame, n: int, width: int) -> DataFrame:
+    return F.broadcast(rows) if n * width <= BROADCAST_BYTES else rows
+
+
+def _met_blocks(own: DataFrame, other: DataFrame, ok: Callable[[Column, Column], Column]) -> DataFrame:
+    """``(h, n, first)``: for each entry of ``own`` its partners among the blocks
+    of ``other``'s entries with the same key: how many, and the earliest place."""
+    sizes = other.groupBy("key").count()
+    blocks = other.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("e.h"), F.ceil(F.col("count") / BLOCK)))
+    blocks = blocks.groupBy("key", "block").agg(F.collect_list("e").alias("others"))
+    met = own.join(blocks, "key").select(F.col("e.h").alias("h"), computed(F.filter("others", lambda x: ok(F.col("e"), x))).alias("found"))
+    return met.filter(F.size("found") > 0).select("h", F.size("found").alias("n"), F.array_min(F.transform("found", lambda x: x["first"])).alias("first"))
+
+
+def near_lines(texts: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
+    """``(h, n_links, earlier)`` of every line that has a link. ``texts`` has
+    ``keys`` (the line's hash, ``tau + 1`` index keys, probe keys) and ``first``
+    of each distinct line; ``lines`` has all lines, to read texts from."""
+    h = F.get("keys", 0)
+    index = texts.select(F.explode(F.slice("keys", 2, tau + 1)).alias("key"), h.alias("a"))
+    probe = texts.select(F.explode(F.slice("keys", tau + 3, 10 ** 6)).alias("key"), h.alias("b"))
+    met = (index["key"] == probe["key"]) & (F.col("a") != F.col("b"))
+    index, probe = (persist_table(x, "line-met") for x in (index.join(probe, met, "left_semi"), probe.join(index, met, "left_semi")))
+
+    # what the comparison needs of the lines that met another
+    wanted = persist_table(index.select(F.col("a").alias("h")).union(probe.select("b")).distinct(), "line-wanted")
+    n_wanted = wanted.count()
+    found = lines.select(F.xxhash64("line").alias("h"), "line").join(_small(wanted, n_wanted, 16), "h", "left_semi").distinct()
+    known = texts.select(h.alias("h"), "first", "keys").join(_small(wanted, n_wanted, 16), "h", "left_semi")
+    known = known.join(found, "h").select("h", "first", "keys", "line", F.char_length("line").alias("n"), parity_mask(F.col("line")).alias("mask"))
+    known = persist_table(known, "line-entries")
+    at = F.array_position(F.slice("keys", 2, tau + 1), F.col("key")).cast("int")
+    none = F.array().cast("array<bigint>")
+    entry = lambda before, probes: F.struct("h", "n", "mask", "line", "first", before.alias("before"), probes.alias("probes"))
+    index = index.withColumnRenamed("a", "h").join(known, "h").select("key", entry(F.slice("keys", 2, at - 1), none).alias("e"))
+    probe = probe.withColumnRenamed("b", "h").join(known, "h").select("key", entry(none, F.slice("keys", tau + 3, 10 ** 6)).alias("e"))
+    index, probe = persist_table(index, "line-index"), persist_table(probe, "line-probe")
+
+    # keys with more pairs than a few for each line are compared in blocks
+    count = lambda rows, name: rows.groupBy("key").agg(F.count("*").alias(name))
+    crowded = count(index, "x").join(count(probe, "y"), "key").filter(F.col("x") * F.col("y") > FEW * (F.col("x") + F.col("y"))).select("key")
+    crowded = persist_table(crowded, "line-crowded")
+    n_crowded = crowded.count()
+    side = lambda rows, how: rows.join(_small(crowded, n_crowded, 16), "key", how)
+    ok = lambda a, b: is_pair(a, b, tau)
+    pairs = side(index, "left_anti").withColumnRenamed("e", "a").join(side(probe, "left_anti").withColumnRenamed("e", "b"), "key")
+    near = (F.col("a.h") != F.col("b.h")) & (F.bit_count(F.col("a.mask").bitwiseXOR(F.col("b.mask"))) <= 2 * tau)
+    pairs = pairs.filter(near).withColumn("ok", computed(ok(F.col("a"), F.col("b")))).filter("ok")
+    pairs = persist_table(pairs.select(F.struct("a.h", "a.first").alias("a"), F.struct("b.h", "b.first").alias("b")), "line-pairs")
+    one = lambda x, y: pairs.select(F.col(f"{x}.h").alias("h"), F.lit(1).alias("n"), F.col(f"{y}.first").alias("first"))
+    links = one("a", "b").union(one("b", "a"))
+    if n_crowded:
+        index, probe = side(index, "left_semi"), side(probe, "left_semi")
+        links = links.union(_met_blocks(probe, index, lambda own, x: ok(x, own))).union(_met_blocks(index, probe, ok))
+    return links.groupBy("h").agg(F.sum("n").cast("bigint").alias("n_links"), F.min("first").alias("earlier"))
+
+
+def line_classes(docs: DataFrame, tau: int = TAU, exact_chars: int = 1, edit_chars: int | None = None,
                  id_col: str = "doc_id", text_col: str = "text", blank: bool = True) -> DataFrame:
     """``(doc_id, line_no, first_doc_id, first_line_no, n_links, kept)`` of every
     line of at least ``exact_chars`` characters; without ``blank``, lines of
@@ -141,85 +242,86 @@ def line_classes(docs: DataFrame, tau: int = TAU, exact_chars: int = EXACT_CHARS
 
     ``first_*``: the earliest place, by id and line number, of this line or of a
     line linked to it; ``n_links``: other texts within ``tau`` edits, for lines
-    of ``edit_chars`` characters or more. A line is kept where no equal or
-    linked line comes before it. Null ids come first; rows with equal ids are
-    one document, whose lines at one place stay or go together. Null and empty
-    texts have no lines. Other columns are not read. Lines are told apart by
-    128-bit hashes; links are verified on the texts.
+    of ``edit_chars`` characters or more (all longer than ``tau`` where not given;
+    others are duplicates only of equal lines). A line is kept where no equal or
+    linked line comes before it. Null ids come first. Rows are told apart by id
+    and text: rows equal in both are one document, whose lines stay or go
+    together; of rows that only share an id the one with the smaller hash comes
+    first at the same line number. Null and empty texts have no lines. Other
+    columns are not read. An empty table gives an empty result. Lines are told
+    apart by 128-bit hashes, and by 64 bits in the search, whose links are
+    verified on the texts.
     """
+    return row_line_classes(docs, tau, exact_chars, edit_chars, id_col, text_col, blank).drop("row")
+
+
+def row_line_classes(docs: DataFrame, tau: int, exact_chars: int, edit_chars: int | None, id_col: str, text_col: str, blank: bool) -> DataFrame:
+    """``line_classes`` with the hash ``row`` of the text that a line stands in."""
     prepare(docs.sparkSession)
-    lines = lines_of(docs, id_col, text_col).filter(F.char_length("line") >= exact_chars).withColumn("length", F.char_length("line"))
+    lines = lines_of(docs, id_col, text_col).withColumn("length", F.char_length("line")).filter(F.col("length") >= exact_chars)
     if not blank:
         lines = lines.filter(F.col("line").rlike("[^ \\t-\\r]"))
-    fuzzy = F.col("length") >= edit_chars
-    hashed = lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("content"), "line", "length")
-    place = F.struct("doc_id", "line_no")
-    places = persist_table(hashed.select("doc_id", "line_no", "content"), "lines")
+    fuzzy = F.col("length") >= max(tau + 1, edit_chars or 0)
+    hashed = lines.select("doc_id", "row", "line_no", F.unhex(F.md5("line")).alias("content"), "line", "length")
+    places = persist_table(hashed.select("doc_id", "row", "line_no", "content"), "lines")
 
     # One row for each distinct line: its first place, and its keys where it is long enough: its own
     # hash, tau + 1 index keys, then probe keys. Both aggregates need the column, so it is made before the sort.
     wide = hashed.withColumn("wide", F.encode("line", "UTF-32"))
     own = F.concat(F.array(F.xxhash64("line")), index_keys(F.col("wide"), F.col("length"), tau), probe_keys(F.col("wide"), F.col("length"), tau))
-    local = wide.select("doc_id", "line_no", "content", F.when(fuzzy, own).otherwise(F.array().cast("array<bigint>")).alias("keys"))
-    local = local.groupBy("content").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.max(F.size("keys")).alias("n_keys"))
-    texts = persist_table(local, "line-texts")
-    fuzzy_texts = texts.filter("n_keys > 0").select("keys", F.get("keys", 0).alias("h"))
-    index = fuzzy_texts.select(F.explode(F.slice("keys", 2, tau + 1)).alias("key"), F.col("h").alias("a"))
-    probe = fuzzy_texts.select(F.explode(F.slice("keys", tau + 3, 10 ** 6)).alias("key"), F.col("h").alias("b"))
-    met = (index["key"] == probe["key"]) & (F.col("a") != F.col("b"))
-    index, probe = (persist_table(x, "line-met") for x in (index.join(probe, met, "left_semi"), probe.join(index, met, "left_semi")))
-
-    # Texts of the lines that met another, then pairs and the exact check.
-    wanted = persist_table(index.select(F.col("a").alias("h")).union(probe.select("b")).distinct(), "line-wanted")
-    few = wanted.count() * 8 <= BROADCAST_BYTES
-    long_lines = lines.filter(fuzzy).select(F.xxhash64("line").alias("h"), "line")
-    found = long_lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").distinct()
-    chars = persist_table(found.select("h", F.unhex(F.md5("line")).alias("content"), F.split("line", "").alias("chars"), parity_mask(F.col("line")).alias("mask")), "line-chars")
-    masks = lambda x: chars.select(F.col("h").alias(x), F.col("mask").alias(f"mask_{x}"))
-    index, probe = (persist_table(rows.join(masks(x), x), "line-masks") for rows, x in ((index, "a"), (probe, "b")))
-    near = F.bit_count(F.col("mask_a").bitwiseXOR(F.col("mask_b"))) <= 2 * tau
-    pairs = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & near)
-    pairs = persist_table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    side = lambda x: chars.select(F.col("h").alias(x), F.col("content").alias(f"content_{x}"), F.col("chars").alias(f"chars_{x}"))
-    close = F.abs(F.size("chars_a") - F.size("chars_b")) <= tau
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").filter(close).withColumn("distance", banded_distance("chars_a", "chars_b", tau))
-    links = checked.filter(F.col("distance") <= tau).select(F.col("content_a").alias("x"), F.col("content_b").alias("y"))
-    links = links.union(links.select("y", "x")).toDF("content", "other")
-
-    # For each distinct line its links: how many, and the earliest place.
-    firsts = texts.select("content", "first")
-    linked = (links.join(firsts.toDF("other", "first"), "other").groupBy("content")
-              .agg(F.count("*").alias("n_links"), F.min("first").alias("earlier")))
-    classes = persist_table(firsts.join(linked, "content", "left").select(
-        "content", "first", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
-        F.least("first", "earlier").alias("class")), "line-classes")
+    place = F.struct("doc_id", "line_no", "row")
+    local = wide.select(place.alias("place"), "content", F.when(fuzzy, own).otherwise(F.array().cast("array<bigint>")).alias("keys"))
+    texts = persist_table(local.groupBy("content").agg(F.min("place").alias("first"), F.first("keys").alias("keys")), "line-texts")
+    linked = near_lines(texts.filter(F.size("keys") > 0), lines.filter(fuzzy), tau)
+
+    # For each distinct line its class: lines with links are few beside the others.
+    linked = persist_table(linked, "line-linked")
+    firsts = texts.select("content", "first", F.get("keys", 0).alias("h"))
+    classes = firsts.join(_small(linked, linked.count(), 128), "h", "left").select(
+        "content", "first", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.least("first", "earlier").alias("class"))
+    classes = persist_table(classes, "line-classes")
     kept = place.eqNullSafe(F.col("first")) & F.col("first").eqNullSafe(F.col("class"))
-    return places.join(classes, "content").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("class.doc_id").alias("first_doc_id"),
+    return places.join(classes, "content").select("doc_id", "row", F.col("line_no").cast("bigint").alias("line_no"), F.col("class.doc_id").alias("first_doc_id"),
                                                   F.col("class.line_no").cast("bigint").alias("first_line_no"), "n_links", kept.alias("kept"))
 
 
 def all_line_classes(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``line_classes`` of every line that isn't blank: linked from ``tau + 1``
-    characters on, below that only equal lines are duplicates."""
-    return line_classes(docs, tau, 1, tau + 1, id_col, text_col, blank=False)
+    """``line_classes`` of every line that isn't blank."""
+    return line_classes(docs, tau, id_col=id_col, text_col=text_col, blank=False)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, cut_chars: int = CUT_CHARS) -> DataFrame:
     """``docs`` with its columns: lines of at least ``cut_chars`` characters that
     stand, equal or within ``tau`` edits, in an earlier place are cut from the
     texts, and documents of which no word is left go; all others, null and empty
-    texts too, stay. See ``line_classes`` for ties and nulls."""
+    texts too, stay. See ``line_classes`` for ties and nulls.
+
+    Documents with cuts are found by id and text. While their cuts fit
+    ``BROADCAST_BYTES``, texts stay where they are; beyond, a Bloom filter of them
+    is broadcast, and only documents that pass it are shuffled to meet their cuts."""
     least = max(1, cut_chars - tau)  # all that a line of cut_chars can be linked to
-    gone = (line_classes(docs, tau, least, max(tau + 1, least), id_col, text_col).filter(~F.col("kept"))
-            .groupBy("doc_id").agg(F.collect_set("line_no").alias("cut")))
+    gone = (row_line_classes(docs, tau, least, least, id_col, text_col, True).filter(~F.col("kept"))
+            .groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("cut")))
     gone = persist_table(gone, "line-cuts")
+    n, n_cuts = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("cut")), F.lit(0))).first()
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    rows = docs.toDF(*names).join(gone, F.col(id_).eqNullSafe(F.col("doc_id")), "left")
+    rows = docs.toDF(*names).withColumn("of_text", F.xxhash64(text))
+    same = F.col(id_).eqNullSafe(F.col("doc_id")) & (F.col("of_text") == F.col("row"))
+    if 32 * n + 8 * n_cuts <= BROADCAST_BYTES:
+        return _cut(rows.join(F.broadcast(gone), same, "left"), text, cut_chars, names).toDF(*docs.columns)
+    bloom = persist_table(key_filter(gone.select(F.xxhash64("doc_id", "row").alias("_k")), n), "line-cut-filter")
+    rows = mark_possible(rows.withColumn("_k", F.xxhash64(id_, "of_text")), bloom, n)
+    cut = _cut(rows.filter("_possible").join(gone, same, "left"), text, cut_chars, names)
+    return rows.filter("not _possible").select(*names).union(cut).toDF(*docs.columns)
+
+
+def _cut(rows: DataFrame, text: str, cut_chars: int, names: list[str]) -> DataFrame:
+    """Rows without the lines ``cut`` that have ``cut_chars`` characters, and without rows of which no word is left."""
     rows = rows.withColumn("lines", F.split(F.col(text), "\n"))
-    long_cut = F.filter("cut", lambda i: F.char_length(F.get("lines", i.cast("int"))) >= cut_chars)
-    rows = rows.withColumn("cut", computed(F.when(F.exists("cut", lambda i: F.char_length(F.get("lines", i.cast("int"))) >= cut_chars), long_cut)))
+    is_long = lambda i: F.char_length(F.get("lines", i.cast("int"))) >= cut_chars
+    rows = rows.withColumn("cut", computed(F.when(F.exists("cut", is_long), F.filter("cut", is_long))))
     places = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size("lines").cast("bigint") - 1), "cut")
     left = F.array_join(F.transform(places, lambda i: F.get("lines", i.cast("int"))), "\n")
     rows = rows.withColumn(text, computed(F.when(F.col("cut").isNull(), F.col(text)).otherwise(left)))
-    return rows.filter(F.col("cut").isNull() | F.col(text).rlike("[^ \\t-\\r]")).select(*names).toDF(*docs.columns)
+    return rows.filter(F.col("cut").isNull() | F.col(text).rlike("[^ \\t-\\r]")).select(*names)

@@ -93,16 +93,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        base.alias("base_failed"), (~base & q.passes(q.PRODUCTION)).alias("kept"), "fail_bits")
 
 
-@query("""
+_ONE_BYTE = " || ".join(f"chr({i})" for i in (*range(1, 9), *range(14, 31)))
+
+
+@query(f"""
 WITH line AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, l[i] AS t
               FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text <> '') AS a
-              WHERE length(l[i]) >= 16),
+              WHERE regexp_matches(l[i], '[^\\x20\\x09-\\x0D]')),
 txt AS (SELECT t, length(t) AS n, min(doc_id * 1000000 + line_no) AS place FROM line GROUP BY t),
-big AS (SELECT t, n, place, n // 3 AS k FROM txt WHERE n >= 32),
-pair AS (SELECT a.t AS x, b.t AS y, a.place AS px, b.place AS py FROM big AS a JOIN big AS b
+-- levenshtein counts bytes: letters beyond ASCII become control characters, which no text has
+plain AS (SELECT t, n, place, n // 3 AS k, 2 * n // 3 AS m, translate(t, 'ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü', {_ONE_BYTE}) AS p FROM txt WHERE n > 2),
+pair AS (SELECT a.t AS x, b.t AS y, a.place AS px, b.place AS py FROM plain AS a JOIN plain AS b
            ON b.n BETWEEN a.n AND a.n + 2 AND a.t <> b.t
-          WHERE (contains(b.t, substr(a.t, 1, a.k)) OR contains(b.t, substr(a.t, a.k + 1, a.k)) OR contains(b.t, substr(a.t, 2 * a.k + 1, a.k)))
-            AND levenshtein(a.t, b.t) <= 2),
+          WHERE (contains(b.t, substr(a.t, 1, a.k)) OR contains(b.t, substr(a.t, a.k + 1, a.m - a.k)) OR contains(b.t, substr(a.t, a.m + 1)))
+            AND levenshtein(a.p, b.p) <= 2),
 link AS (SELECT x AS t, y AS o, py AS po FROM pair UNION SELECT y AS t, x AS o, px AS po FROM pair),
 agg AS (SELECT t, count(*) AS n_links, min(po) AS earlier FROM link GROUP BY t),
 cls AS (SELECT txt.t, txt.place, coalesce(agg.n_links, 0) AS n_links, least(txt.place, coalesce(agg.earlier, txt.place)) AS class FROM txt LEFT JOIN agg ON txt.t = agg.t)
@@ -111,17 +115,16 @@ SELECT line.doc_id, line.line_no, class // 1000000 AS first_doc_id, class % 1000
 FROM line JOIN cls ON line.t = cls.t
 """)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from entlink.llm.linededup import line_classes
+    """Every line that isn't blank."""
+    from entlink.llm.linededup import all_line_classes
 
-    return line_classes(table(spark, sf_dir, "documents"))
+    return all_line_classes(table(spark, sf_dir, "documents"))
 
 
 @query()
 def op5_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that isn't blank. DuckDB's levenshtein counts bytes, so a brute-force version holds it."""
-    from entlink.llm.linededup import all_line_classes
-
-    return all_line_classes(table(spark, sf_dir, "documents"))
+    """The same rows; the name dates from when ``op5_line_dedup`` had fewer."""
+    return op5_line_dedup(spark, sf_dir)
 
 
 @query("""

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from entlink.llm.common import prepare
 from entlink.llm.components import components
+from entlink.operators.linking import key_filter, mark_possible
 from entlink.session import persist_table
 
 SHINGLE = 3
@@ -27,6 +28,8 @@ RADIUS = 3
 #: Fingerprints of one bucket that a task compares at once; larger buckets are
 #: dealt out in blocks, and every two blocks meet in some task.
 BLOCK = 1024
+#: Ids are broadcast up to this size, 32 bytes each.
+BROADCAST_BYTES = 32 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -157,13 +160,36 @@ def hex_fingerprint(fp: str = "fp"):
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its columns, and of each component the row with the smallest
     id. Where several rows share that id, the smallest by text stays. Rows whose
-    id is null can't be named as a group's and all stay."""
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    stay = persist_table(found.filter(F.col("id") == F.col("component_id")).groupBy("id").count(), "simhash-kept")
+    id is null can't be named as a group's and all stay. An empty table gives an
+    empty result; other columns are carried along, whatever their names.
+
+    Ids that go are few beside the documents: while they fit ``BROADCAST_BYTES``
+    no text is shuffled; beyond, a Bloom filter of them is broadcast and only
+    documents that pass it are."""
+    found = near_duplicates(docs, shingle, radius, id_col, text_col).filter(F.col("id").isNotNull())
+    found = persist_table(found.groupBy("id").agg(F.count_if(F.col("id") == F.col("component_id")).alias("n_kept")), "simhash-kept")
+    gone, many = found.filter("n_kept = 0").select(F.col("id").alias("gone")), found.filter("n_kept > 1").select(F.col("id").alias("many"))
+    n_gone, n_many = found.agg(F.count_if(F.col("n_kept") == 0), F.count_if(F.col("n_kept") > 1)).first()
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    rows = docs.toDF(*names)
-    kept = rows.join(stay, F.col(id_) == F.col("id"), "left_semi")
-    if stay.filter("count > 1").limit(1).count():
-        kept = kept.groupBy(id_).agg(F.min(F.struct(text, *names)).alias("row")).select("row.*").toDF("_", *names).select(*names)
-    return kept.union(rows.filter(F.col(id_).isNull())).toDF(*docs.columns)
+    rows = _without(docs.toDF(*names), gone, "gone", id_, n_gone)
+    if n_many:
+        # rows that share a kept id: one of each stays
+        one = rows.join(_bounded(many, n_many), F.col(id_) == F.col("many"), "left_semi")
+        one = one.groupBy(id_).agg(F.min(F.struct(text, *names)).alias("row")).select("row.*").toDF("_", *names).select(*names)
+        rows = _without(rows, many, "many", id_, n_many).union(one)
+    return rows.toDF(*docs.columns)
+
+
+def _bounded(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if 32 * n <= BROADCAST_BYTES else ids
+
+
+def _without(rows: DataFrame, ids: DataFrame, name: str, id_: str, n: int) -> DataFrame:
+    """The rows whose id isn't among the ``n`` of ``ids``."""
+    same = F.col(id_) == F.col(name)
+    if 32 * n <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(ids), same, "left_anti")
+    bloom = persist_table(key_filter(ids.withColumnRenamed(name, "_k"), n), f"simhash-{name}-filter")
+    marked = mark_possible(rows.withColumn("_k", F.col(id_)), bloom, n)
+    return marked.filter("not _possible").select(*rows.columns).union(marked.filter("_possible").select(*rows.columns).join(ids, same, "left_anti"))

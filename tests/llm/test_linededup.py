@@ -114,3 +114,49 @@ def test_cleaning_of_short_variants(spark):
     got = {r["doc_id"]: r["text"] for r in ld.dedup_lines(docs).collect()}
     want = {r["doc_id"]: r["text"] for r in docs.collect()} | {2: "Les.\nanother kind of line", 4: "other words in their own place"}
     assert got == want
+
+
+def test_within_equals_the_distance(spark):
+    rnd = random.Random(8)
+    pairs = [("", "ab"), ("a", "abc"), ("same", "same"), ("x" * 200, "x" * 199 + "y"), ("é" * 70 + "abc", "é" * 70 + "bc"), ("q" * 40, "w" * 40)]
+    for _ in range(500):
+        a = "".join(rnd.choice("abé ") for _ in range(rnd.randint(0, 40)))
+        pairs.append((a, edit(rnd, a, rnd.randint(0, 4))))
+    for tau in (1, 2, 3):
+        df = spark.createDataFrame([p for p in pairs if abs(len(p[0]) - len(p[1])) <= tau], "a string, b string")
+        ok = ld.within(F.col("a"), F.col("b"), F.char_length("a"), F.char_length("b"), tau)
+        for r in df.select("a", "b", ok.alias("ok")).collect():
+            assert r["ok"] == (distance(r["a"], r["b"]) <= tau), (r, tau)
+
+
+def group_of_variants(n):
+    rnd = random.Random(6)
+    base = "one template of a line that stands in many documents with number 00000 in it and an end"
+    return [(i, base.replace("00000", f"{rnd.randrange(60):02d}{'x' * (i % 3)}") if i % 2 else f"own line {i * 7919 % 10007} of document {i} without a partner") for i in range(n)]
+
+
+@pytest.mark.parametrize("few,block", [(16, 256), (0, 7), (1, 64)])
+def test_crowded_keys_give_the_same_classes(spark, monkeypatch, few, block):
+    monkeypatch.setattr(ld, "FEW", few)
+    monkeypatch.setattr(ld, "BLOCK", block)
+    rows = group_of_variants(240)
+    got = ld.all_line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 2, 1, 3)
+
+
+def test_rows_with_one_id_lose_nothing(spark):
+    shared = "a line that stands in two of these documents"
+    rows = [(1, f"{shared}\nfirst own line of words"), (7, f"{shared}\nsecond own line of words"), (7, "a line that stands nowhere else at all\nthird own line of words"),
+            (None, f"{shared}\nfourth own line here"), (None, "fifth text with words of its own\nsixth line"), (None, None), (7, "a line that stands nowhere else at all\nthird own line of words")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row int")
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in ld.dedup_lines(docs).collect())
+    want = [(-1, ""), (-1, rows[4][1]), (-1, rows[3][1]), (1, "first own line of words"), (7, rows[2][1]), (7, rows[2][1]), (7, "second own line of words")]
+    assert got == sorted(want)
+
+
+def test_cuts_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, f"line number one that every document has\nwords of document {i * 7919} alone") for i in range(200)] + [(500, "no line of this one is cut")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in ld.dedup_lines(docs).collect())
+    monkeypatch.setattr(ld, "BROADCAST_BYTES", 100)
+    assert sorted(tuple(r) for r in ld.dedup_lines(docs).collect()) == want and 100 < len(want) <= 201

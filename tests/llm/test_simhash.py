@@ -92,3 +92,16 @@ def test_near_duplicates_edges_and_stage(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)) == sorted(set(first.values()))
     assert sh.near_duplicates(docs.limit(0)).count() == 0 and sh.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_drops_beyond_the_broadcast_bound(spark, monkeypatch):
+    from entlink.llm import simhash as sh
+
+    words = "some words that make a text of their own kind with number"
+    rows = [(i, f"{words} {i // 3} {i // 3 * 7919} {'abc'[i // 3 % 3] * 5} {i // 3 % 17}", i) for i in range(90)] + [(5, "two rows share this id", 1), (5, "two rows share this id too", 2), (None, "null id", 3), (None, "null id", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    want = sorted((tuple(r) for r in sh.drop_near_duplicates(docs).collect()), key=repr)
+    assert sh.drop_near_duplicates(docs).columns == docs.columns and sum(r[0] is None for r in want) == 2
+    monkeypatch.setattr(sh, "BROADCAST_BYTES", 10)
+    assert sorted((tuple(r) for r in sh.drop_near_duplicates(docs).collect()), key=repr) == want
+    assert sh.drop_near_duplicates(docs.limit(0)).count() == 0
