@@ -6,6 +6,7 @@ Every function maps Column -> Column with built-in Spark SQL expressions
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,25 +77,40 @@ def sentences(c) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
+def packed(parts: list[str], max_len: int) -> list[str]:
+    """Sentences packed into chunks, by jumps: the end of each chunk is found by
+    binary search in the running sum of lengths. The first chunk has a space after
+    each sentence, a later one after each but its first (the rule of C4)."""
+    import numpy as np
+    ends = np.cumsum([len(s) + 1 for s in parts])      # with a space each
+    out, at = [], 0
+    while at < len(parts):
+        before = int(ends[at - 1]) if at else 0
+        spare = 2 if at else 1                         # spaces that the sum has and the comparison hasn't
+        end = max(at + 1, int(np.searchsorted(ends, max_len + before + spare, "right")))
+        head = parts[at] + (" " if at == 0 else "")
+        out.append(head + "".join(s + " " for s in parts[at + 1:end]))
+        at = end
+    return out
+
+
 def chunk_text(c, max_len: int) -> Column:
     """C4: greedy packing of sentences into chunks of at most ``max_len`` chars.
 
-    Texts not longer than ``max_len`` stay whole. Otherwise a sentence joins the
-    buffer when ``len(buf + sent) <= max_len`` or the buffer is empty, then
-    ``buf = buf + sent + ' '``; else the buffer is emitted and ``buf = sent``.
+    Texts not longer than ``max_len`` stay whole; null stays one null chunk.
+    Otherwise a sentence joins the buffer when ``len(buf + sent) <= max_len`` or
+    the buffer is empty, then ``buf = buf + sent + ' '``; else the buffer is
+    emitted and ``buf = sent``. A long text is linear in its sentences
+    (``packed``, in Arrow batches); short ones never leave the JVM's columns.
     """
     text = _c(c)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
 
-    def step(acc, s):
-        fits = (F.length(F.concat(acc["buf"], s)) <= max_len) | (acc["buf"] == "")
-        return F.when(fits, F.struct(acc["out"].alias("out"), F.concat(acc["buf"], s, F.lit(" ")).alias("buf"))) \
-                .otherwise(F.struct(F.array_append(acc["out"], acc["buf"]).alias("out"), s.alias("buf")))
+    @F.pandas_udf("array<string>")
+    def pack(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda x: None if x is None else packed(list(x), max_len))
 
-    packed = F.aggregate(sentences(text), init, step,
-                         lambda acc: F.when(acc["buf"] != "", F.array_append(acc["out"], acc["buf"]))
-                         .otherwise(acc["out"]))
-    return F.when(F.length(text) > max_len, packed).otherwise(F.array(text))
+    long = F.length(text) > max_len
+    return F.when(long, pack(F.when(long, sentences(text)))).otherwise(F.array(text))
 
 
 def tokens(c) -> Column:

@@ -251,7 +251,25 @@ def q_mention_window(spark, sf):
     return c.select("conv_id", "turn", TX.mention_window(F.col("tk"), mt, 3).alias("window"))
 
 
-@query("chunk_literals")
+@query("chunk_literals", [], f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_sql_clean('text', _CLS_ENC)} AS lit FROM documents),
+sen AS (SELECT doc_id, lit, list_filter(list_transform(regexp_extract_all(lit, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS s
+        FROM d WHERE length(lit) > 384),
+-- P[k]: characters of the first k sentences, with a space each
+pre AS (SELECT doc_id, list(total ORDER BY k) AS P FROM (
+          SELECT doc_id, k, sum(length(s[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS total
+          FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM sen) AS a) AS b GROUP BY doc_id),
+walk AS (
+  SELECT doc_id, 0 AS chunk_no, CAST(1 AS BIGINT) AS i, 1 + len(list_filter(P[2:], lambda t: t - 1 <= 384)) AS j, len(P) AS n FROM pre
+  UNION ALL
+  SELECT w.doc_id, w.chunk_no + 1, w.j + 1, w.j + 1 + len(list_filter(P[w.j + 2:], lambda t: t - P[w.j] - 2 <= 384)), w.n
+  FROM walk AS w JOIN pre ON pre.doc_id = w.doc_id WHERE w.j < w.n),
+chunks AS (
+  SELECT w.doc_id, w.chunk_no, s[i] || CASE WHEN i = 1 THEN ' ' ELSE '' END || array_to_string(list_transform(s[i + 1:j], lambda x: x || ' '), '') AS chunk
+  FROM walk AS w JOIN sen ON sen.doc_id = w.doc_id
+  UNION ALL SELECT doc_id, 0, lit FROM d WHERE lit <> '' AND length(lit) <= 384)
+SELECT doc_id, chunk_no, CAST(length(chunk) AS INT) AS chunk_len, md5(chunk) AS md5 FROM chunks
+""")
 def q_chunk_literals(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", TX.clean_literal("text").alias("lit")) \
         .where(F.col("lit") != "")
@@ -728,6 +746,7 @@ def q_mean_literals(spark, sf):
 @query("literal_stats", ["literals", "preds"], """
 WITH c AS (SELECT s, count(*) AS n FROM literals GROUP BY s),
 g AS (SELECT 'all' AS grp, n FROM c
+      UNION ALL SELECT 'in_sample', n FROM c WHERE s IN (SELECT y_true FROM preds)
       UNION ALL SELECT 'errors', n FROM c WHERE s IN (SELECT y_true FROM preds WHERE lower(y_pred) <> lower(y_true)))
 SELECT grp, count(n) AS count, round(avg(n), 4) AS mean, round(stddev_samp(n), 4) AS stddev,
        min(n) AS min, max(n) AS max FROM g GROUP BY grp
@@ -736,8 +755,9 @@ def q_literal_stats(spark, sf):
     lits, preds = load(spark, sf, "literals", "preds")
     c = ST.literals_per_entity(lits)
     errs = preds.where(F.lower("y_pred") != F.lower("y_true")).select(F.col("y_true").alias("s"))
-    g = c.withColumn("grp", F.lit("all")).unionByName(
-        TR.restrict_to(c, errs).withColumn("grp", F.lit("errors")))
+    sample = preds.select(F.col("y_true").alias("s"))
+    g = c.withColumn("grp", F.lit("all")).unionByName(TR.restrict_to(c, errs).withColumn("grp", F.lit("errors"))) \
+        .unionByName(TR.restrict_to(c, sample).withColumn("grp", F.lit("in_sample")))
     d = ST.describe_literals(g, group="grp")
     return d.select("grp", "count", _r("mean").alias("mean"), _r("stddev").alias("stddev"), "min", "max")
 
@@ -1003,32 +1023,38 @@ def q_ingest_dump(spark, sf):
 
 # ----------------------------------------------------------------- encode --
 
-@query("encode_literals", ["literals"], f"""
+_HASHED = f"""
 WITH l AS (SELECT s, p, o, count(*) OVER (PARTITION BY lower(o)) AS count, {_sql_clean('o', _CLS_ENC)} AS c
            FROM literals WHERE o IS NOT NULL),
 l2 AS (SELECT * FROM l WHERE c <> ''),
 t AS (SELECT s, p, o, unnest(string_split_regex(lower(c), '[^a-z0-9]+')) AS tok FROM l2),
-b AS (SELECT s, p, o, ('0x' || substring(md5(tok), 1, 4))::INT % 64 AS bucket FROM t WHERE tok <> '' GROUP BY ALL)
-SELECT l2.s, l2.p, l2.c AS o, l2.count, 64 AS dims, coalesce(nb, 0) AS n_buckets,
-       round(CASE WHEN nb > 0 THEN 1.0 ELSE 0.0 END, 4) AS norm
-FROM l2 LEFT JOIN (SELECT s, p, o, count(*) AS nb FROM b GROUP BY ALL) v
-  ON v.s = l2.s AND v.p = l2.p AND v.o = l2.o
+b AS (SELECT s, p, o, ('0x' || substring(md5(tok), 1, 4))::INT % 64 AS i, count(*) AS n FROM t WHERE tok <> '' GROUP BY ALL),
+v AS (SELECT s, p, o, i, n / sqrt(sum(n * n) OVER (PARTITION BY s, p, o)) AS x FROM b)
+"""
+
+
+@query("encode_literals", ["literals"], _HASHED + """
+SELECT l2.s, l2.p, l2.c AS o, l2.count, v.i, round(v.x, 4) AS v FROM l2 JOIN v ON v.s = l2.s AND v.p = l2.p AND v.o = l2.o
 """)
 def q_encode_literals(spark, sf):
     from entlink.plans.encode import encode_literals
     e = encode_literals(load(spark, sf, "literals"))
-    return e.select("s", "p", "o", "count", F.size("embedding").alias("dims"),
-                    F.size(F.filter("embedding", lambda x: x != 0)).alias("n_buckets"),
-                    _r(V.norm("embedding")).alias("norm"))
+    return EM.explode_vector(e, ["s", "p", "o", "count"]).where("v <> 0")
 
 
-@query("encode_entities", ["literals"], f"""
-SELECT s, count(*) AS n_rows FROM literals WHERE {_sql_clean('o', _CLS_ENC)} <> '' GROUP BY s
+@query("encode_entities", ["literals"], _HASHED + """
+, e AS (SELECT s, count(*) AS n_rows FROM l2 GROUP BY s),
+lab AS (SELECT s, min(struct_pack(p := p, o := o)) AS f FROM l2
+        WHERE p IN ('http://www.w3.org/2000/01/rdf-schema#label', 'http://xmlns.com/foaf/0.1/name') GROUP BY s),
+x AS (SELECT e.s, e.n_rows, v.i, sum(v.x) / any_value(e.n_rows) AS mx,
+             coalesce(sum(v.x) FILTER (WHERE v.p = lab.f.p AND v.o = lab.f.o), 0) AS lx, any_value(lab.f) IS NOT NULL AS has
+      FROM e JOIN v ON v.s = e.s LEFT JOIN lab ON lab.s = e.s GROUP BY e.s, e.n_rows, v.i)
+SELECT s, n_rows, i, round(CASE WHEN has AND n_rows > 1 THEN (mx + lx) / 2 ELSE mx END, 4) AS v FROM x
 """)
 def q_encode_entities(spark, sf):
     from entlink.plans.encode import encode_entities, encode_literals
     ents = encode_entities(encode_literals(load(spark, sf, "literals")))
-    return ents.select("s", "n_rows")
+    return EM.explode_vector(ents, ["s", "n_rows"]).where("v <> 0")
 
 
 @query("vector_table", ["emb_literals"], """
@@ -1055,6 +1081,60 @@ def q_vector_table(spark, sf):
                      _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
+@query("setting_names", ["literals"], """
+SELECT s, n_literals, 'HASH_' || CASE WHEN n_literals % 2 = 0 THEN 'WGT' ELSE 'NotWGT' END || '_AVG_Top'
+       || CASE WHEN n_literals % 3 = 0 THEN 'None' ELSE n_literals || CASE WHEN n_literals % 3 = 1 THEN 'Grouped' ELSE 'Simple' END END
+       || '_Cont' || CASE WHEN n_literals % 4 = 0 THEN 'WithMention' ELSE 'WithoutMention' END || '_' || s AS setting
+FROM (SELECT s, count(*) AS n_literals FROM literals GROUP BY s) c
+""")
+def q_setting_names(spark, sf):
+    """C14 over settings that follow from the number of an entity's literals."""
+    c = ST.literals_per_entity(load(spark, sf, "literals"))
+    n = F.col("n_literals")
+    name = TX.setting_name(F.lit("HASH"), n % 2 == 0, F.lit("AVG"), F.when(n % 3 != 0, n), F.when(n % 3 == 1, "GROUPED").otherwise("SIMPLE"),
+                           n % 4 == 0, F.col("s"))
+    return c.select("s", "n_literals", name.alias("setting"))
+
+
+@query("vectors_published", ["vectors"], """
+SELECT sub, pred, obj, type_obj, vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 4) + 0.0 AS total FROM vectors
+""")
+def q_vectors_published(spark, sf):
+    """K6: the table is loaded in two runs, and each of them runs again."""
+    from entlink.sinks.stage import published, write_vectors
+    v = load(spark, sf, "vectors")
+    target = _scratch(spark, "vectors-published")
+    for run in ("even", "odd", "even", "odd"):
+        write_vectors(v.where((F.col("vec_id") % 2 == 0) == (run == "even")), target, run_id=run)
+    out = published(spark, target)
+    return out.select("sub", "pred", "obj", "type_obj", "vec_id", F.size("embedding").alias("dims"),
+                      _r(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+@query("eval_outputs", ["preds", "disambig"], _NBR_CTE + """
+, st AS (SELECT p.idx, p.y_true, p.y_pred, CASE WHEN lower(p.y_pred) = lower(p.y_true) THEN 'Correct'
+                WHEN n.y_true IS NOT NULL THEN 'Disambiguated' ELSE 'Error' END AS status
+         FROM preds p LEFT JOIN (SELECT DISTINCT y_true, lower(e) AS e FROM nbr) n ON n.y_true = p.y_true AND n.e = lower(p.y_pred))
+SELECT 'log' AS output, status, count(*) AS n, sum(idx)::BIGINT AS total FROM st GROUP BY status
+UNION ALL SELECT 'errors', status, count(*), sum(idx)::BIGINT FROM st WHERE status = 'Error' GROUP BY status
+UNION ALL SELECT 'disambiguations', status, count(*), sum(idx)::BIGINT FROM st WHERE status = 'Disambiguated' GROUP BY status
+UNION ALL SELECT 'results', 'accuracy', count(*), round(10000 * avg(CASE WHEN status = 'Correct' THEN 1.0 ELSE 0.0 END))::BIGINT FROM st
+""")
+def q_eval_outputs(spark, sf):
+    """K7: the outputs of an evaluation, written twice under one run id and read back."""
+    from entlink.sinks.stage import published, write_eval
+    preds, disambig = load(spark, sf, "preds", "disambig")
+    log = L.apply_disambiguation(preds, disambig)
+    path = _scratch(spark, "eval-outputs")
+    for _ in range(2):
+        write_eval(log, M.metrics(preds), path, "fixture")
+    parts = [published(spark, f"{path}/{name}").groupBy("status").agg(F.count("*").alias("n"), F.sum("idx").alias("total"))
+             .select(F.lit(name).alias("output"), "status", "n", "total") for name in ("log", "errors", "disambiguations")]
+    results = published(spark, f"{path}/results").select(F.lit("results").alias("output"), F.lit("accuracy").alias("status"), "n",
+                                                         F.round(F.col("accuracy") * 10000).cast("bigint").alias("total"))
+    return TR.union_tables([*parts, results])
+
+
 # --------------------------------------------------------- sample, ivf, ctx --
 
 @query("sample_mentions", ["preds", "literals"], f"""
@@ -1151,15 +1231,22 @@ def q_triples_by_count(spark, sf):
 
 
 @query("concat_embedding", ["literals"], """
-SELECT s, count(*) FILTER (WHERE p = 'http://www.w3.org/2000/01/rdf-schema#label') > 0 AS has_label, 64 AS dims
-FROM literals GROUP BY s
+WITH r AS (SELECT s, p, o, row_number() OVER (PARTITION BY s ORDER BY p, o) AS pos FROM literals),
+lab AS (SELECT s, min(pos) AS lpos FROM r
+        WHERE p IN ('http://www.w3.org/2000/01/rdf-schema#label', 'http://xmlns.com/foaf/0.1/name') GROUP BY s),
+txt AS (SELECT r.s, string_agg(CASE WHEN r.pos = lab.lpos THEN regexp_replace(o, '\r?@en .', '', 'g')
+                            ELSE regexp_replace(o, '\r?@en .', '', 'g') || '. ' END, '' ORDER BY r.pos) AS text,
+       max(CASE WHEN r.pos = lab.lpos THEN regexp_replace(o, '\r?@en .', '', 'g') END) AS label
+  FROM r LEFT JOIN lab ON lab.s = r.s GROUP BY r.s),
+tok AS (SELECT s, label IS NOT NULL AS has, false AS lab, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS t FROM txt
+        UNION ALL SELECT s, true, true, unnest(string_split_regex(lower(label), '[^a-z0-9]+')) FROM txt WHERE label IS NOT NULL),
+b AS (SELECT s, has, lab, ('0x' || substring(md5(t), 1, 4))::INT % 64 AS i, count(*) AS n FROM tok WHERE t <> '' GROUP BY ALL),
+x AS (SELECT s, has, lab, i, n / sqrt(sum(n * n) OVER (PARTITION BY s, lab)) AS v FROM b)
+SELECT s, i, round(sum(v) / CASE WHEN has THEN 2 ELSE 1 END, 4) AS v FROM x GROUP BY s, has, i
 """)
 def q_concat_embedding(spark, sf):
     from entlink.plans.encode import encode_concat
-    e = encode_concat(load(spark, sf, "literals"))
-    lab = load(spark, sf, "literals").groupBy("s").agg(
-        (F.count_if(F.col("p") == _LABEL) > 0).alias("has_label"))
-    return e.join(lab, "s").select("s", "has_label", F.size("embedding").alias("dims"))
+    return EM.explode_vector(encode_concat(load(spark, sf, "literals")), ["s"]).where("v <> 0")
 
 
 def _word_kg(spark, sf):
