@@ -603,6 +603,27 @@ def q_disambig_neighbourhood(spark, sf):
     return L.disambig_neighbourhood(preds, disambig)
 
 
+@query("disambig_sizes", ["preds", "disambig"], """
+WITH ed AS (SELECT s AS a, o AS b FROM disambig UNION SELECT o, s FROM disambig),
+direct AS (SELECT DISTINCT p.y_true, lower(ed.b) AS page FROM preds p JOIN ed ON ed.a = p.y_true),
+members AS (SELECT DISTINCT lower(a) AS page, lower(b) AS member FROM ed),
+degree AS (SELECT page, count(*) AS d FROM members GROUP BY page)
+SELECT y_true, count(*) AS n_direct, coalesce(sum(d), 0)::BIGINT AS n_paths FROM direct LEFT JOIN degree ON degree.page = direct.page GROUP BY y_true
+""")
+def q_disambig_sizes(spark, sf):
+    preds, disambig = load(spark, sf, "preds", "disambig")
+    return L.neighbourhood(preds, disambig).sizes()
+
+
+@query("disambig_contains", ["preds", "disambig"], _NBR_CTE + """
+SELECT p.idx, p.y_true, p.y_pred FROM preds p
+WHERE EXISTS (SELECT 1 FROM nbr n WHERE n.y_true = p.y_true AND lower(n.e) = lower(p.y_pred))
+""")
+def q_disambig_contains(spark, sf):
+    preds, disambig = load(spark, sf, "preds", "disambig")
+    return L.neighbourhood(preds, disambig).contains(preds).select("idx", "y_true", "y_pred")
+
+
 @query("disambig_forgive", ["preds", "disambig"], _NBR_CTE + """
 SELECT CASE WHEN lower(p.y_pred) = lower(p.y_true) THEN 'Correct'
             WHEN n.y_true IS NOT NULL THEN 'Disambiguated' ELSE 'Error' END AS status, count(*) AS n

@@ -197,3 +197,17 @@ def test_rank_vote_by_text(spark):
     assert by_text.y_pred == "b" and abs(by_text.score - 1.5) < 1e-9
     by_distance = L.rank_vote(c).first()            # ranks 0, 1, 1, 2
     assert by_distance.y_pred == "a" and abs(by_distance.score - (1 + 1 / 3)) < 1e-9
+
+
+def test_factorised_neighbourhood(spark):
+    rng = np.random.default_rng(3)
+    edges = [(f"Page{i}", f"X{j}") for i in range(6) for j in rng.choice(60, 25, replace=False)] + [("page1", "x3"), (None, "X1"), ("X7", "Page2")]
+    dis = spark.createDataFrame(edges, "s string, o string")
+    preds = spark.createDataFrame([(i, f"X{i % 50}", v) for i, v in enumerate([f"x{int(k)}" for k in rng.integers(0, 70, 300)] + ["PAGE1", None])], "idx int, y_true string, y_pred string")
+    n = L.neighbourhood(preds, dis)
+    want = {tuple(r) for r in L.disambig_neighbourhood(preds, dis.where("s is not null")).collect()}
+    assert {tuple(r) for r in n.flat().collect()} == want
+    assert {r.idx for r in n.contains(preds).collect()} == {r.idx for r in preds.collect() if r.y_pred and (r.y_true, r.y_pred.lower()) in want}
+    assert n.direct.count() + n.members.count() <= 4 * len(edges) < n.flat().count()
+    sizes = {r.y_true: (r.n_direct, r.n_paths) for r in n.sizes().collect()}
+    assert all(d >= 1 and d + p >= sum(y == t for y, _ in want) for t, (d, p) in sizes.items())
