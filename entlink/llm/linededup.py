@@ -8,8 +8,8 @@ substrings that may equal a segment there. The index key holds length, segment
 number and the segment's hash. Pairs that meet are verified by a banded
 bit-parallel edit distance.
 
-Only hashes are shuffled for the search, a key and a line's hash; keys that
-nothing meets go in semi joins. Lines that are left get their texts and a parity
+Only hashes are shuffled for the search, a key and a line's hash, once: an
+aggregate finds the keys that different lines share. Lines that are left get their texts and a parity
 mask of their characters, which most false pairs fail. A pair belongs to the
 first of the index keys it shares, so it is found and counted once. Where a key
 has few lines, its pairs are rows. Where it has many (a template with numbers in
@@ -181,6 +181,17 @@ def _small(rows: DataFrame, n: int, width: int) -> DataFrame:
     return F.broadcast(rows) if n * width <= BROADCAST_BYTES else rows
 
 
+def _among(rows: DataFrame, keys: DataFrame, n: int, name: str) -> DataFrame:
+    """The rows whose column ``name`` is among the ``n`` values of ``keys``: by
+    broadcast while those are small; beyond, a Bloom filter of them is broadcast
+    and only rows that pass it are shuffled."""
+    if n * 16 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keys), name, "left_semi")
+    bloom = persist_table(key_filter(keys.withColumnRenamed(name, "_k"), n), "line-filter")
+    passed = mark_possible(rows.withColumn("_k", F.col(name)), bloom, n).filter("_possible").drop("_k", "_possible")
+    return passed.join(keys, name, "left_semi")
+
+
 def _met_blocks(own: DataFrame, other: DataFrame, ok: Callable[[Column, Column], Column]) -> DataFrame:
     """``(h, n, first)``: for each entry of ``own`` its partners among the blocks
     of ``other``'s entries with the same key: how many, and the earliest place."""
@@ -196,23 +207,25 @@ def near_lines(texts: DataFrame, lines: DataFrame, tau: int) -> DataFrame:
     ``keys`` (the line's hash, ``tau + 1`` index keys, probe keys) and ``first``
     of each distinct line; ``lines`` has all lines, to read texts from."""
     h = F.get("keys", 0)
-    index = texts.select(F.explode(F.slice("keys", 2, tau + 1)).alias("key"), h.alias("a"))
-    probe = texts.select(F.explode(F.slice("keys", tau + 3, 10 ** 6)).alias("key"), h.alias("b"))
-    met = (index["key"] == probe["key"]) & (F.col("a") != F.col("b"))
-    index, probe = (persist_table(x, "line-met") for x in (index.join(probe, met, "left_semi"), probe.join(index, met, "left_semi")))
+    entries = texts.select(h.alias("h"), F.posexplode(F.slice("keys", 2, 10 ** 6)).alias("at", "key")).select("key", "h", (F.col("at") > tau).cast("int").alias("side"))
+    # keys under which different lines meet, one as index entry and one as probe: one shuffle of hashes
+    met = entries.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("side").alias("x"), F.max("side").alias("y"))
+    met = persist_table(met.filter("a <> b and x = 0 and y = 1").select("key"), "line-met")
+    entries = persist_table(_among(entries, met, met.count(), "key"), "line-entries")
 
     # what the comparison needs of the lines that met another
-    wanted = persist_table(index.select(F.col("a").alias("h")).union(probe.select("b")).distinct(), "line-wanted")
+    wanted = persist_table(entries.select("h").distinct(), "line-wanted")
     n_wanted = wanted.count()
-    found = lines.select(F.xxhash64("line").alias("h"), "line").join(_small(wanted, n_wanted, 16), "h", "left_semi").distinct()
-    known = texts.select(h.alias("h"), "first", "keys").join(_small(wanted, n_wanted, 16), "h", "left_semi")
+    found = _among(lines.select(F.xxhash64("line").alias("h"), "line"), wanted, n_wanted, "h").distinct()
+    known = _among(texts.select(h.alias("h"), "first", "keys"), wanted, n_wanted, "h")
     known = known.join(found, "h").select("h", "first", "keys", "line", F.char_length("line").alias("n"), parity_mask(F.col("line")).alias("mask"))
-    known = persist_table(known, "line-entries")
+    known = persist_table(known, "line-known")
+    index, probe = (entries.filter(F.col("side") == k).select("key", "h") for k in (0, 1))
     at = F.array_position(F.slice("keys", 2, tau + 1), F.col("key")).cast("int")
     none = F.array().cast("array<bigint>")
     entry = lambda before, probes: F.struct("h", "n", "mask", "line", "first", before.alias("before"), probes.alias("probes"))
-    index = index.withColumnRenamed("a", "h").join(known, "h").select("key", entry(F.slice("keys", 2, at - 1), none).alias("e"))
-    probe = probe.withColumnRenamed("b", "h").join(known, "h").select("key", entry(none, F.slice("keys", tau + 3, 10 ** 6)).alias("e"))
+    index = index.join(known, "h").select("key", entry(F.slice("keys", 2, at - 1), none).alias("e"))
+    probe = probe.join(known, "h").select("key", entry(none, F.slice("keys", tau + 3, 10 ** 6)).alias("e"))
     index, probe = persist_table(index, "line-index"), persist_table(probe, "line-probe")
 
     # keys with more pairs than a few for each line are compared in blocks

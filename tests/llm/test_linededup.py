@@ -160,3 +160,10 @@ def test_cuts_beyond_the_broadcast_bound(spark, monkeypatch):
     want = sorted(tuple(r) for r in ld.dedup_lines(docs).collect())
     monkeypatch.setattr(ld, "BROADCAST_BYTES", 100)
     assert sorted(tuple(r) for r in ld.dedup_lines(docs).collect()) == want and 100 < len(want) <= 201
+
+
+def test_search_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(ld, "BROADCAST_BYTES", 100)
+    rows = group_of_variants(120)
+    got = ld.all_line_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 2, 1, 3)
