@@ -1239,6 +1239,35 @@ def q_settings_grid(spark, sf):
     return g.select("setting", "series", "n", *[_r(c).alias(c) for c in ("accuracy", "macro_f1", "micro_f1")])
 
 
+_TREE = [("HASH64", "AVG", False, None, None, True, "names"), ("HASH64", "AVG", False, None, None, False, "names"),
+         ("HASH64", "AVG", False, None, None, True, "brands"), ("HASH64", "AVG", True, 2, "GROUPED", True, "names"),
+         ("HASH64", "CONCAT", False, None, None, True, "names"), ("HASH128", "AVG", False, None, None, True, "names")]
+_TREE_NAMES = [f"{e}_{'WGT' if w else 'NotWGT'}_{st}_Top{'None' if n is None else f'{n}{way.title()}'}_Cont{'With' if c else 'Without'}Mention_{d}"
+               for e, st, w, n, way, c, d in _TREE]
+
+
+@query("settings_tree", [], f"""
+SELECT setting, series, (SELECT count(*) FROM part) AS n
+FROM (SELECT unnest({_TREE_NAMES}) AS setting) AS a CROSS JOIN (SELECT unnest(['plain', 'disambiguated']) AS series) AS b
+UNION ALL SELECT * FROM (VALUES ('built', 'literals', 3), ('built', 'vectors', 4), ('built', 'mentions', 4), ('built', 'log', 6), ('built again', 'any', 0)) AS t(setting, series, n)
+""")
+def q_settings_tree(spark, sf):
+    """U5 over the part graph: two encoders, both strategies, two datasets. Each
+    shared stage is built once, and a second run of the grid builds none."""
+    from entlink.plans.stages import Encoder, TreeSetting, link_tree
+    lits, disambig = load(spark, sf, "literals", "disambig")
+    part = table(spark, sf, "part")
+    uri = F.concat(F.lit("http://kg.example/part/"), F.col("p_partkey").cast("string"))
+    text = {"names": ("p_name", "p_type"), "brands": ("p_brand", "p_name")}
+    datasets = {d: part.select(F.col("p_partkey").alias("idx"), F.col(m).alias("label"), uri.alias("uri"), F.col(q).alias("question")) for d, (m, q) in text.items()}
+    settings = [TreeSetting(e, d, st, w, n, way, c) for e, st, w, n, way, c, d in _TREE]
+    store = _scratch(spark, "settings-tree")
+    grid = lambda: link_tree(lits, datasets, disambig, settings, [Encoder("HASH64", 64), Encoder("HASH128", 128)], store, sf)
+    (_, built), (metrics, again) = grid(), grid()
+    counts = [("built", k, built.count(k)) for k in ("literals", "vectors", "mentions", "log")] + [("built again", "any", len(again))]
+    return metrics.select("setting", "series", "n").unionByName(spark.createDataFrame(counts, "setting string, series string, n long"))
+
+
 @query("triples_by_count", ["literals"], """
 SELECT s, count(*) AS n_literals FROM literals GROUP BY s
 UNION ALL
