@@ -44,6 +44,10 @@ promo promoted promotion recommended related replies respond search share sharin
 subscription teaser toolbar widget widgets""".split())
 #: Marks that count outside an article only: an article's own header has its title.
 HEADER_MARKS = frozenset("header masthead topbar".split())
+#: Words beside a mark in a compound name that leave its meaning: "site-footer", "comment-body".
+NEUTRAL_MARKS = frozenset("""area article bar block body bottom box btn button buttons col column container content desktop entry fixed form global group header
+icon icons inner item items left line link links list main mobile outer page panel post primary reader right row secondary section site slot sticky thread
+title top unit user wrap wrapper""".split())
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 STOP_WORDS = frozenset("""a about after all also an and any are as at be because been but by can could did do for from had has have he her his
 how i if in into is it its just like more most my no not now of on one only or other our out over she so some such than that the their them then
@@ -57,6 +61,7 @@ si sin sobre son su sus también te tiene todo un una uno y ya""".split())
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.;!?…。！？।؟]")
 
@@ -67,27 +72,38 @@ class Block:
     links: int  # characters inside links
     boiler: bool
     content: bool  # inside an article
+    wrapped: bool = False  # boilerplate only by names of elements around the article, or of its own
     label: str = ""
 
 
-def _where(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
-    """Whether an element makes what is in it boilerplate, or content."""
+def _marked(names: str, marks: frozenset[str]) -> bool:
+    """Whether one of the class names is a mark: as a whole, or made of marks and
+    words that leave their meaning. "has-sidebar" and "comments-open" are neither."""
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if any(x in marks for x in parts) and all(x in BOILER_MARKS or x in HEADER_MARKS or x in NEUTRAL_MARKS for x in parts):
+            return True
+    return False
+
+
+def _where(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, bool]:
+    """Whether an element makes what is in it boilerplate: by what it is, by its
+    names; and whether it makes it content."""
     boiler = tag in BOILER_TAGS or tag == "header" and not in_content
-    content = tag in CONTENT_TAGS
+    content, named = tag in CONTENT_TAGS, False
     if attributes and not boiler and tag not in ("html", "body"):
         for name, value in _MARKS.findall(attributes):
             value, name = value.strip("\"'").lower(), name.lower()
-            marks = set(re.split(r"[^a-z0-9]+", value))
             if name in ("class", "id"):
-                boiler = boiler or bool(marks & BOILER_MARKS) or not in_content and bool(marks & HEADER_MARKS)
+                named = named or _marked(value, BOILER_MARKS) or not in_content and _marked(value, HEADER_MARKS)
             elif name == "role":
-                boiler = boiler or bool(marks & BOILER_ROLES)
+                boiler = boiler or value in BOILER_ROLES
                 content = content or value in ("main", "article")
             elif name == "itemprop":
                 content = content or value == "articlebody"
             elif name == "hidden" or value == "true":
                 boiler = True
-    return boiler, content
+    return boiler, named, content
 
 
 def blocks(page: str) -> list[Block]:
@@ -95,16 +111,16 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     links = 0
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, content
-    in_link = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate by what it is or by a name inside content, content, named around content
+    in_link = -1  # how many elements were open where the link began
 
     def flush() -> None:
         nonlocal links
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                _, boiler, content = stack[-1] if stack else ("", False, False)
-                out.append(Block(joined, links, boiler, content))
+                _, boiler, content, named = stack[-1] if stack else ("", False, False, False)
+                out.append(Block(joined, links, boiler or named, content, content and named and not boiler))
             text.clear()
             links = 0
 
@@ -112,7 +128,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         if raw:
             text.append(html.unescape(raw))
-            if in_link:
+            if in_link >= 0:
                 links += len("".join(text[-1].split()))
 
     at = 0
@@ -124,7 +140,8 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = tag.lower(), m[1] or m[4]
         if tag == "a":
-            in_link = 0 if closing else 1
+            # without an address it is no link, and without an end it ends with the element around it
+            in_link = len(stack) if not closing and _HREF.search(m[3] or m[6] or "") else -1
             continue
         if tag == "br":
             text.append(" ")
@@ -141,6 +158,8 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
+            if len(stack) < in_link:
+                in_link = -1
             continue
         if tag in VOID_TAGS:
             continue
@@ -152,9 +171,12 @@ def blocks(page: str) -> list[Block]:
                         break
                     if stack[i][0] in CLOSES_ITSELF[open_tag]:
                         break
-        _, boiler, content = stack[-1] if stack else ("", False, False)
-        new_boiler, new_content = _where(tag, m[3] or m[6] or "", content)
-        stack.append((tag, boiler or new_boiler, content or new_content))
+        if len(stack) < in_link:
+            in_link = -1
+        _, boiler, content, named = stack[-1] if stack else ("", False, False, False)
+        new_boiler, new_named, new_content = _where(tag, m[3] or m[6] or "", content)
+        # inside content a name says what it says; around it, or on it, it may be about the page's layout
+        stack.append((tag, boiler or new_boiler or new_named and content and not new_content, content or new_content, named or new_named and (new_content or not content)))
     add(page[at:])
     flush()
     return out
@@ -183,7 +205,7 @@ def _first_pass(b: Block) -> str:
 def _first_pass_inside(b: Block, known: bool) -> str:
     """For blocks inside an article; ``known``: its language has known stop words."""
     density = _density(b)
-    if density > MAX_ARTICLE_LINKS or "©" in b.text:
+    if density > MAX_ARTICLE_LINKS or "©" in b.text and len(b.text) < SHORT:
         return "bad"
     stop = _stop_share(b.text)
     if density > MAX_LINKS:
@@ -195,13 +217,17 @@ def _first_pass_inside(b: Block, known: bool) -> str:
     return "list" if known and stop < STOP_ARTICLE and not _SENTENCE.search(b.text) else "near"
 
 
-def _nearest(labels: list[str], i: int, step: int, decided: tuple[str, ...], edge: str = "bad") -> str:
-    i += step
-    while 0 <= i < len(labels):
-        if labels[i] in decided:
-            return labels[i]
-        i += step
-    return edge
+def _sides(labels: list[str], decided: tuple[str, ...], left: str = "bad", right: str = "bad") -> tuple[list[str], list[str]]:
+    """For each block the nearest decided label before it and after it, by one
+    sweep each; beyond the edges stand ``left`` and ``right``."""
+    sides = []
+    for order, x in ((labels, left), (labels[::-1], right)):
+        side = []
+        for label in order:
+            side.append(x)
+            x = label if label in decided else x
+        sides.append(side)
+    return sides[0], sides[1][::-1]
 
 
 def _outside(found: list[Block], has_article: bool) -> list[str]:
@@ -214,19 +240,18 @@ def _outside(found: list[Block], has_article: bool) -> list[str]:
     first = [_first_pass(b) for b in found]
     if not has_article and "good" not in first and "near" not in first:
         first = ["good" if not b.boiler and len(b.text) >= SHORT and not b.links and "©" not in b.text else x for b, x in zip(found, first)]
-    labels = []
+    around = list(zip(*_sides(first, ("good", "bad"))))
+    beside = list(zip(*_sides(first, ("good", "bad", "near"))))
+    labels = list(first)
     for i, x in enumerate(first):
         if x == "short":
-            around = {_nearest(first, i, -1, ("good", "bad")), _nearest(first, i, 1, ("good", "bad"))}
-            if len(around) == 2:
-                beside = (_nearest(first, i, -1, ("good", "bad", "near")), _nearest(first, i, 1, ("good", "bad", "near")))
-                x = "good" if "near" in beside else "bad"
-            else:
-                x = around.pop()
-        labels.append(x)
-    for i, x in enumerate(first):
+            labels[i] = around[i][0] if around[i][0] == around[i][1] else "good" if "near" in beside[i] else "bad"
+    after = _sides(labels, ("good", "bad"))[1]
+    before = "bad"
+    for i, x in enumerate(labels):
         if x == "near":
-            labels[i] = "good" if "good" in (_nearest(labels, i, -1, ("good", "bad")), _nearest(labels, i, 1, ("good", "bad"))) else "bad"
+            labels[i] = "good" if "good" in (before, after[i]) else "bad"
+        before = labels[i]
     return labels
 
 
@@ -237,18 +262,24 @@ def _inside(found: list[Block]) -> list[str]:
     for these the end counts as bad. With nothing good, both are good."""
     known = any(len(b.text) >= SHORT and _stop_share(b.text) >= STOP_LOW for b in found)
     first = [_first_pass_inside(b, known) for b in found]
-    around = lambda labels, i, end: (_nearest(labels, i, -1, ("good", "bad"), "good"), _nearest(labels, i, 1, ("good", "bad"), end))
-    sure = [x if x != "near" else "good" if "good" in around(first, i, "good") else "bad" for i, x in enumerate(first)]
+    around = lambda labels, end: list(zip(*_sides(labels, ("good", "bad"), "good", end)))
+    sure = [x if x != "near" else "good" if "good" in near else "bad" for x, near in zip(first, around(first, "good"))]
     if "good" not in sure:
         return ["good" if x in ("short", "list") else x for x in sure]
-    sure = [x if x != "list" else "good" if around(sure, i, "bad") == ("good", "good") else "bad" for i, x in enumerate(sure)]
-    return [x if x != "short" else "good" if "good" in around(sure, i, "bad") else "bad" for i, x in enumerate(sure)]
+    sure = [x if x != "list" else "good" if near == ("good", "good") else "bad" for x, near in zip(sure, around(sure, "bad"))]
+    return [x if x != "short" else "good" if "good" in near else "bad" for x, near in zip(sure, around(sure, "bad"))]
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Labels each block good or bad, those inside an article among themselves and
     the others among themselves. What is marked as boilerplate inside an article,
-    an advert between two paragraphs, says nothing about its neighbours."""
+    an advert between two paragraphs, says nothing about its neighbours. Names of
+    elements around an article (a layout "with sidebar") count while there is
+    another article without such names; on a page whose only content has them,
+    they don't."""
+    if not any(b.content and not b.boiler for b in found):
+        for b in found:
+            b.boiler = b.boiler and not b.wrapped
     inside = [b for b in found if b.content and not b.boiler]
     outside = [b for b in found if not b.content]
     for b in found:

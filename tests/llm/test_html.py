@@ -66,3 +66,70 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<article>a</article>", "x")], "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in h.extract(df).collect()), key=repr) == sorted([(1, "u", ""), (1, "u", ""), (None, None, "a")], key=repr)
     assert h.extract(df.limit(0)).count() == 0
+
+
+BODY = ("This is the first paragraph of the article and it has all of the words that one would want to read in it, more than a few of them.",
+        "And then there is the second one, which was written so that it is about as long as the first and has the same kind of words in it.")
+
+
+def article(opening, closing="", inside=""):
+    return f"<html><body><nav><a href='/'>Home</a></nav>{opening}<p>{BODY[0]}</p>{inside}<p>{BODY[1]}</p>{closing}<footer>Imprint</footer></body></html>"
+
+
+def test_names_around_an_article_do_not_empty_it():
+    from entlink.llm.html_text import main_text
+
+    whole = "\n\n".join(BODY)
+    for opening in ("<div class='layout has-sidebar'><article>", "<article class='post category-social'>", "<article class='post comments-open'>", "<article id='search-engines-explained'>",
+                    "<div class='sidebar'><article>", "<article class='social'>", "<div id='widget'><main>", "<div class='share related'><article class='post'>"):
+        assert main_text(article(opening, "</article></div>")) == whole, opening
+    # beside an article without such names they count
+    two = article("<article>", "</article><div class='sidebar'><article><p>" + BODY[0].replace("first", "third") + "</p></article></div>")
+    assert main_text(two) == whole
+    for name in ("comment-body", "related", "site-footer", "cookie-banner", "newsletter form"):
+        assert main_text(article("<article>", "</article>", f"<div class='{name}'><p>{BODY[0].replace('first', 'other')}</p></div>")) == whole, name
+
+
+def test_anchors_and_marks_inside_paragraphs():
+    from entlink.llm.html_text import main_text
+
+    whole = "\n\n".join(BODY)
+    assert main_text(article("<article><a name='top'>", "</article>")) == whole
+    assert main_text(article("<article><p><a href='/x'>Link without an end</p>", "</article>")).endswith(whole)
+    right = "The rights to it, © 2020, are those of the people who wrote this, and it is here that one can read of them and what they have done."
+    assert main_text(article("<article>", "</article>", f"<p>{right}</p>")) == f"{BODY[0]}\n\n{right}\n\n{BODY[1]}"
+    assert "©" not in main_text(article("<article>", "<p>© 2020 Some Firm</p></article>"))
+
+
+def nearest(labels, i, step, decided, edge):
+    i += step
+    while 0 <= i < len(labels):
+        if labels[i] in decided:
+            return labels[i]
+        i += step
+    return edge
+
+
+def test_sweeps_find_the_nearest_neighbours():
+    import random
+
+    from entlink.llm import html_text as ht
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        labels = [rnd.choice(["good", "bad", "near", "short"]) for _ in range(rnd.randint(0, 12))]
+        for decided in (("good", "bad"), ("good", "bad", "near")):
+            before, after = ht._sides(labels, decided, "good", "bad")
+            assert before == [nearest(labels, i, -1, decided, "good") for i in range(len(labels))]
+            assert after == [nearest(labels, i, 1, decided, "bad") for i in range(len(labels))]
+
+
+def test_a_page_of_a_hundred_thousand_blocks():
+    import time
+
+    from entlink.llm.html_text import main_text
+
+    page = "<body>" + "<p>short words</p><p>an other</p>" * 50_000 + "</body>"
+    began = time.time()
+    assert main_text(page) == ""
+    assert time.time() - began < 20
