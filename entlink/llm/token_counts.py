@@ -106,6 +106,13 @@ def read_cache(spark: SparkSession, cache_dir: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(cache_dir)
 
 
+def counts_of(spark: SparkSession, cache_dir: str, version: bytes) -> DataFrame:
+    """``(content, n_tokens)`` of a tokenizer, one row a digest: two writers, or a
+    job that ran again, may have appended the same digests, with equal counts."""
+    rows = read_cache(spark, cache_dir).filter(F.col("tokenizer") == F.lit(version))
+    return rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+
+
 def token_counts(docs: DataFrame, tokenizer_file: str, cache_dir: str,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, n_tokens)`` of every row of ``docs``.
@@ -124,14 +131,20 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_dir: str,
     digest = F.unhex(F.sha2(normalised(F.col("text"), free), 256))
 
     keyed = persist_table(rows.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), digest.alias("content")), "token-keys")
-    known = read_cache(spark, cache_dir).filter(F.col("tokenizer") == F.lit(version))
-    misses = keyed.groupBy("content").agg(F.min("id").alias("rep")).join(known, "content", "left_anti")
-    misses = persist_table(misses, "token-misses")
-    texts = rows.withColumn("content", digest).join(
-        misses.withColumnRenamed("content", "missing"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("content") == F.col("missing")))
+    known = counts_of(spark, cache_dir, version)
+    first = F.min(F.struct("id", F.col("n_bytes"))).alias("first")
+    misses = keyed.groupBy("content").agg(first, F.count("*").alias("n_rows")).join(known, "content", "left_anti")
+    misses = persist_table(misses.select(F.col("content").alias("missing"), F.col("first.id").alias("rep"), "n_rows"), "token-misses")
+    texts = rows.withColumn("content", digest).join(misses, F.col("id").eqNullSafe(F.col("rep")) & (F.col("content") == F.col("missing")))
+    # rows that share id and content: one text of theirs is encoded (few, and the rest isn't shuffled)
+    same = keyed.join(misses.filter("n_rows > 1"), F.col("id").eqNullSafe(F.col("rep")) & (F.col("content") == F.col("missing")))
+    if same.groupBy("missing").count().filter("count > 1").limit(1).count():
+        several = persist_table(same.groupBy("missing").count().filter("count > 1").select(F.col("missing").alias("content")), "token-repeated")
+        once = texts.join(several, "content", "left_semi").groupBy("content").agg(F.min("text").alias("text"))
+        texts = texts.join(several, "content", "left_anti").select("content", "text").union(once)
     found = texts.select("content", "text").mapInArrow(count_batches(tokenizer_file), "content binary, n_tokens bigint")
     (found.dropDuplicates(["content"]).select("content", F.lit(version).alias("tokenizer"), "n_tokens")
      .write.mode("append").parquet(cache_dir))
 
-    counts = read_cache(spark, cache_dir).filter(F.col("tokenizer") == F.lit(version)).select("content", "n_tokens")
+    counts = persist_table(counts_of(spark, cache_dir, version), "token-counts")
     return keyed.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

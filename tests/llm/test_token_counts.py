@@ -56,3 +56,16 @@ def test_query_counts_like_the_library(spark):
 
 def test_empty_cache_folder(spark):
     assert read_cache(spark, scratch_path(spark, "none")).count() == 0
+
+
+def test_two_writers_and_repeated_rows(spark, tmp_path):
+    path = Q.tokenizer_file("word_bpe_49k.json")
+    rows = [(1, "some words here"), (1, "some words here"), (2, "other words"), (None, "null id"), (None, "null id"), (3, None), (4, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cache = str(tmp_path / "cache")
+    want = sorted((tuple(r) for r in token_counts(docs, path, cache).collect()), key=repr)
+    assert [(i, n) for i, _, n in want] == sorted(((i, n) for (i, t), n in zip(rows, library(path, [t or "" for _, t in rows]))), key=repr)
+    assert spark.read.parquet(cache).count() == 4                       # one row a distinct content
+    spark.read.parquet(cache).write.parquet(cache + "-copy")
+    spark.read.parquet(cache + "-copy").write.mode("append").parquet(cache)      # a second writer of the same digests
+    assert sorted((tuple(r) for r in token_counts(docs, path, cache).collect()), key=repr) == want
