@@ -7,14 +7,16 @@ from turning negative, which overfitting would do. Features are the words, and
 beginnings of words, whose document frequencies differ most between the two
 samples; beginnings also meet forms of a word that no sample has.
 
-The samples are bounded by parameters (``MAX_POSITIVE``, ``MAX_UNLABELLED``,
-chosen by a hash of the id); frequencies are counted in Spark, and only word
-numbers of sampled texts, for the chosen words, reach the driver. Every text of
-the table is scored, whole.
+Frequencies are counted over all rows that may be learned from. The classifier
+is fitted to samples that are bounded by parameters (``MAX_POSITIVE``,
+``MAX_UNLABELLED``, chosen by a hash of the id, one row each): of these only word
+numbers, for the chosen words, reach the driver. Every text of the table is
+scored, whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +28,15 @@ from pyspark.sql import types as T
 
 from entlink.llm.common import crc_mod, prepare
 from entlink.llm.decontam import words_of
+from entlink.operators.linking import key_filter, mark_possible
 from entlink.session import persist_table
 
 MAX_POSITIVE, MAX_UNLABELLED = 5_000, 20_000
 MAX_WORDS = 1_000
+#: Distinct words that a task counts before it passes them on.
+MEMO_WORDS = 500_000
+#: Toxic ids are broadcast up to this size, 16 bytes each.
+BROADCAST_BYTES = 32 << 20
 #: A word is a feature if its document frequencies differ by this many standard errors.
 MIN_Z = 4.0
 #: Bytes of the beginnings that count as features too.
@@ -56,43 +63,80 @@ class Classifier:
         return lambda text: 1 / (1 + np.exp(-np.clip(self.bias + sum(weight[w] for w in known & features_of(text)), -40, 40)))
 
 
-def samples(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, id_col: str, text_col: str) -> tuple[DataFrame, float]:
-    """``(text, positive)`` of the bounded samples, and the share of toxic ones
-    among labelled rows that may be learned from. An id with differing labels
-    counts as toxic; null labels are no labels."""
+@dataclass
+class Learnable:
+    """What may be learned from: ``rows`` ``(id, text)``, ``toxic`` the ids with a
+    toxic label, how many, and the share of toxic ones among labelled ids."""
+    rows: DataFrame
+    toxic: DataFrame
+    n_toxic: int
+    prior: float
+
+
+def learnable(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Learnable:
+    """An id with differing labels counts as toxic; null labels and null ids are no labels."""
     mine = lambda df, c: df.filter(crc_mod(F.col(c), MOD) != HELD_OUT)
     known = mine(labels.select(F.col(id_col).alias("label_id"), F.col("toxic").alias("toxic")).filter("label_id is not null and toxic is not null"), "label_id")
     known = persist_table(known.groupBy("label_id").agg((F.max("toxic") > 0).alias("toxic")), "toxic-labels")
     n, toxic = known.agg(F.count("*"), F.sum(F.col("toxic").cast("int"))).first()
-    prior = (toxic or 0) / n if n else 0.0
-    by_hash = F.xxhash64("id")
-    chosen = known.filter("toxic").select(F.col("label_id").alias("id")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_positive).withColumn("positive", F.lit(True))
     rows = mine(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
-    count = rows.count()
+    return Learnable(rows, known.filter("toxic").select(F.col("label_id").alias("id")), toxic or 0, (toxic or 0) / n if n else 0.0)
+
+
+def marked(data: Learnable) -> DataFrame:
+    """``(text, positive)`` of all learnable rows. The toxic ids are broadcast up to
+    ``BROADCAST_BYTES``; beyond, a Bloom filter of them is, and only rows that
+    pass it are shuffled."""
+    ids = data.toxic.withColumn("positive", F.lit(True))
+    flag = F.coalesce("positive", F.lit(False)).alias("positive")
+    if 16 * data.n_toxic <= BROADCAST_BYTES:
+        return data.rows.join(F.broadcast(ids), "id", "left").select("text", flag)
+    bloom = persist_table(key_filter(data.toxic.select(F.col("id").alias("_k")), data.n_toxic), "toxic-filter")
+    rows = mark_possible(data.rows.withColumn("_k", F.col("id")), bloom, data.n_toxic)
+    some = rows.filter("_possible").select("id", "text").join(ids, "id", "left").select("text", flag)
+    return rows.filter("not _possible").select("text", F.lit(False).alias("positive")).union(some)
+
+
+def samples(data: Learnable, max_positive: int, max_unlabelled: int) -> DataFrame:
+    """``(text, positive)``: one row for each id drawn, so the bounds are bounds on
+    rows; of rows that share an id the smallest text."""
+    by_hash = F.xxhash64("id")
+    chosen = data.toxic.orderBy(by_hash, "id").limit(max_positive).withColumn("positive", F.lit(True))
+    count = data.rows.count()
     share = min(1.0, 1.1 * max_unlabelled / max(1, count))
     # as many as wanted in the mean, from the ids' hashes; the limit holds them to the bound
-    drawn = rows.select("id").filter(F.pmod(by_hash, F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct().orderBy(by_hash, "id").limit(max_unlabelled)
+    drawn = data.rows.select("id").filter(F.pmod(by_hash, F.lit(1_000_000)) < int(share * 1_000_000) + 1).distinct().orderBy(by_hash, "id").limit(max_unlabelled)
     ids = persist_table(chosen.union(drawn.withColumn("positive", F.lit(False))), "toxic-sample")
     # at most max_positive + max_unlabelled ids: bounded, so broadcast
-    return persist_table(rows.join(F.broadcast(ids), "id").select("text", "positive"), "toxic-texts"), prior
+    rows = data.rows.join(F.broadcast(ids), "id").groupBy("id", "positive").agg(F.min("text").alias("text"))
+    return persist_table(rows.select("text", "positive"), "toxic-texts")
 
 
 def choose_words(texts: DataFrame, max_words: int, min_z: float) -> list[bytes]:
-    """Words whose document frequencies in the two samples differ most."""
+    """Words whose document frequencies in the positive and the other rows of
+    ``texts`` (``(text, positive)``) differ most. A task adds its documents up
+    before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            words = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array([c[w] for w in words], pa.int64()) for c in (counts[1], counts[0])]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *columns], names=["word", "p", "u"])
+
         for b in batches:
-            words, positive = [], []
             for t, p in zip(b.column("text").to_pylist(), b.column("positive").to_pylist()):
-                own = features_of(t)
-                words += own
-                positive += [p] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(positive, pa.bool_())], names=["word", "positive"])
+                counts[p].update(features_of(t))
+            if len(counts[0]) + len(counts[1]) > MEMO_WORDS:
+                yield told()
+        yield told()
 
     n = {r["positive"]: r["count"] for r in texts.groupBy("positive").count().collect()}
     p, u = max(1, n.get(True, 0)), max(1, n.get(False, 0))
-    counts = texts.mapInArrow(run, "word binary, positive boolean").groupBy("word").agg(
-        F.sum(F.when(F.col("positive"), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("positive"), 0).otherwise(1)).alias("u"))
+    counts = texts.mapInArrow(run, "word binary, p bigint, u bigint").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     rate = (F.col("p") + F.col("u") + 1) / (p + u + 2)
     z = F.abs(F.col("p") / p - F.col("u") / u) / F.sqrt(rate * (1 - rate) * (1 / p + 1 / u))
     return [bytes(r["word"]) for r in counts.withColumn("z", z).filter(F.col("z") >= min_z).orderBy(F.desc("z"), "word").limit(max_words).collect()]
@@ -127,10 +171,12 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
     """A classifier from rows of ``docs`` and ``labels`` that aren't held out.
     Without a toxic label, or nothing but, it gives every text the same score: the prior."""
     prepare(docs.sparkSession)
-    texts, prior = samples(docs, labels, max_positive, max_unlabelled, id_col, text_col)
+    data = learnable(docs, labels, id_col, text_col)
+    prior = data.prior
     if not 0 < prior < 1:
         return Classifier([], np.zeros(0), 40.0 if prior else -40.0)
-    words = choose_words(texts, max_words, min_z)
+    words = choose_words(marked(data), max_words, min_z)
+    texts = samples(data, max_positive, max_unlabelled)
     number = {w: i for i, w in enumerate(words)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

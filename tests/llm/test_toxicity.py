@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from entlink.llm import queries as Q
 from entlink.llm import toxicity as tox
@@ -58,3 +59,40 @@ def test_edges(spark):
     for few in (marks.limit(0), marks.filter("toxic = 0"), marks.filter("toxic = 1")):
         assert tox.score(docs, tox.train(docs, few)).count() == len(rows)
     assert tox.score(docs.limit(0), tox.train(docs.limit(0), marks)).count() == 0
+
+
+def test_samples_are_bounded_in_rows_and_frequencies_cover_all(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    rows = [(7 if i % 2 else i, f"words of number {i} here Toxicwordy" if i % 2 else f"clean text {i % 10} {'x' * (i % 9)}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = next(i for i in range(7, 99) if not held_out(i))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 7, hot).otherwise(F.col("doc_id")))
+    labels = spark.createDataFrame([(hot, 1)] + [(i, 0) for i in range(100, 140)], "doc_id long, toxic int")
+    data = tox.learnable(docs, labels, "doc_id", "text")
+    assert tox.samples(data, 10, 50).count() <= 60 and tox.samples(data, 10, 50).filter("positive").count() == 1
+
+    # frequencies and z values by plain loops over every learnable row
+    mine = [(r["doc_id"], r["text"]) for r in docs.collect() if not held_out(r["doc_id"])]
+    tally, n = (Counter(), Counter()), Counter()
+    for i, t in mine:
+        words = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()))
+        own = words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}
+        n[i == hot] += 1
+        tally[i == hot].update(own)
+
+    def z(w):
+        p, u, rate = tally[1][w], tally[0][w], (tally[1][w] + tally[0][w] + 1) / (n[True] + n[False] + 2)
+        return abs(p / n[True] - u / n[False]) / (rate * (1 - rate) * (1 / n[True] + 1 / n[False])) ** 0.5
+
+    want = sorted((w for w in tally[0].keys() | tally[1].keys() if z(w) >= 4), key=lambda w: (-z(w), w.encode()))[:30]
+    for bound in (tox.BROADCAST_BYTES, 8):
+        monkeypatch.setattr(tox, "BROADCAST_BYTES", bound)
+        assert [w.decode() for w in tox.choose_words(tox.marked(data), 30, 4.0)] == want and "toxicwordy" in want
+    classifier = tox.train(docs, labels)
+    weight = dict(zip(classifier.words, classifier.weights))
+    for r in tox.score(docs, classifier).limit(50).collect():
+        text = next(t for i, t in ((x["doc_id"], x["text"]) for x in docs.collect()) if i == r["id"]) if r["id"] != hot else None
+        if text is not None:
+            assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(classifier.bias + sum(weight.get(w, 0) for w in tox.features_of(text)), -40, 40)))) < 1e-9
