@@ -39,6 +39,8 @@ SPREAD = 8
 #: Tokens that a counting task counts at once.
 CHUNK_TOKENS = 3_000_000
 MEMO_WORDS = 500_000
+#: Arrays that a worker keeps mapped.
+MAX_MAPS = 8192
 #: Not words: words hold no white space.
 END, BEGIN = b"\n", b"\t"
 
@@ -83,7 +85,10 @@ def fold(columns: list[np.ndarray], n: int) -> np.ndarray:
 
 
 def shard_of(context: np.ndarray, key: np.ndarray, shards: int) -> np.ndarray:
-    at = (context >> np.uint64(20)) + (key >> np.uint64(40)) % np.uint64(SPREAD)
+    """A context's n-grams go to ``SPREAD`` neighbouring shards, so that a shard
+    sums them up before it passes them on. Single words have no context (0): they
+    are dealt over all shards."""
+    at = np.where(context == 0, key >> np.uint64(24), (context >> np.uint64(20)) + (key >> np.uint64(40)) % np.uint64(SPREAD))
     return (at % np.uint64(shards)).astype(np.int64)
 
 
@@ -271,6 +276,8 @@ class Scorer:
 
     def _map(self, name: str) -> np.ndarray | None:
         if name not in self.maps:
+            if len(self.maps) >= MAX_MAPS:  # the system has a limit; arrays in use stay mapped
+                self.maps.clear()
             path = f"{self.m.folder}/{name}.npy"
             self.maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.maps[name]

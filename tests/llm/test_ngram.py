@@ -99,3 +99,27 @@ def test_query_of_order_three(spark, tmp_path):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in trained, tokens, known, n)
         assert r["base_score"] == pytest.approx(base, abs=1e-8) and r["score"] == pytest.approx(score, abs=1e-8)
+
+
+def test_words_and_contexts_are_dealt_over_all_shards():
+    from entlink.llm import ngram
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    shards = ngram.shard_of(np.zeros(len(keys), np.uint64), keys, 64)
+    assert set(shards.tolist()) == set(range(64)) and np.bincount(shards).max() < 2 * len(keys) / 64
+    one = ngram.shard_of(np.full(len(keys), 12345 << 30, np.uint64), keys, 64)
+    assert len(set(one.tolist())) == ngram.SPREAD
+
+
+def test_few_maps_give_the_same_scores(spark, monkeypatch):
+    from entlink.llm import ngram
+
+    monkeypatch.setattr(ngram, "SHARD_BYTES", 200)
+    docs = spark.createDataFrame([(i, f"some words of {i % 7} and a few more words {i}") for i in range(60)], "doc_id long, text string")
+    model = ngram.train(docs, 2)
+    texts = [r["text"] for r in docs.collect()]
+    want = ngram.Scorer(model).score(texts)
+    monkeypatch.setattr(ngram, "MAX_MAPS", 2)
+    few = ngram.Scorer(model)
+    assert few.score(texts) == want and len(few.maps) <= 2 and model.shards > ngram.SPREAD
