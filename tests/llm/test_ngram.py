@@ -1,3 +1,4 @@
+import numpy as np
 import math
 import random
 from collections import Counter
