@@ -59,8 +59,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    return os.path.join(_scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "scratch", spark.sparkContext.applicationId)
+
+
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete the scratch tables of this application, when no result that is still
+    to be computed reads them: at the end of a job, after its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))
 
 
 def local_path(path: str) -> str:

@@ -18,6 +18,10 @@ DOC_MARKER = "-DOCSTART-"
 MENTION_MARKER = "en.wikipedia.org/wiki/"
 PREFIX_DECL = r"PREFIX\s+(\w+:)\s+<([^>]+)>"
 PREFIX_DECL_SPACE = r"PREFIX\s+\w+:\s+<[^>]+> "
+LOG_HEADER = "Index|y_true|y_pred|Status"
+LOG_INDEX = "Index:"
+LOG_EMPTY = "Empty"                          # no prediction
+LOG_NOT_PRESENT = "Not present at database"  # the status 'Not present'
 URL_PATTERN = r"((?:(?:https?|ftp):\/\/)?[\w/\-?=%.]+\.[\w/\-&?=%:#]+)"
 # ---------------------------------------------------------------------------
 
@@ -129,17 +133,17 @@ def read_eval_log(spark: SparkSession, path: str | list[str], header_lines: int
     status = F.element_at("_p", 4)
     return rows.select(
         "idx", F.element_at("_p", 2).alias("y_true"),
-        F.when(F.element_at("_p", 3) != "Empty", F.element_at("_p", 3)).alias("y_pred"),
-        F.when(status.startswith("Not present"), F.lit("Not present")).otherwise(status).alias("status"))
+        F.when(F.element_at("_p", 3) != LOG_EMPTY, F.element_at("_p", 3)).alias("y_pred"),
+        F.when(status == LOG_NOT_PRESENT, F.lit("Not present")).otherwise(status).alias("status"))
 
 
 def eval_log_lines(log: DataFrame, setting: str) -> DataFrame:
     """K7 text form: one ``value`` per log line (header rows first when sorted by ``_order``)."""
     body = log.select(F.lit(2).alias("_h"), F.col("idx").alias("_order"), F.concat(
-        F.lit("Index:"), F.col("idx").cast("string"), F.lit("|"), F.col("y_true"), F.lit("|"),
-        F.coalesce(F.col("y_pred"), F.lit("Empty")), F.lit("|"),
-        F.when(F.col("status") == "Not present", F.lit("Not present at database")).otherwise(F.col("status"))
+        F.lit(LOG_INDEX), F.col("idx").cast("string"), F.lit("|"), F.col("y_true"), F.lit("|"),
+        F.coalesce(F.col("y_pred"), F.lit(LOG_EMPTY)), F.lit("|"),
+        F.when(F.col("status") == "Not present", F.lit(LOG_NOT_PRESENT)).otherwise(F.col("status"))
     ).alias("value"))
     spark = log.sparkSession
-    head = spark.createDataFrame([(0, 0, setting), (1, 0, "Index|y_true|y_pred|Status")], "_h int, _order long, value string")
+    head = spark.createDataFrame([(0, 0, setting), (1, 0, LOG_HEADER)], "_h int, _order long, value string")
     return head.unionByName(body)

@@ -121,3 +121,13 @@ def test_a_hub_is_no_single_tasks_text(spark):
     assert len(counted) > 1 and max(r["count"] for r in counted) < 0.75 * 997
     got = {r.s: r.embedding for r in EC.concat_vectors(df).collect()}
     assert abs(np.linalg.norm(got["small"]) - 1) < 1e-9 and 0 < np.linalg.norm(got["hub"]) < 1
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from entlink.session import drop_scratch, local_path, persist_table, scratch_path
+
+    kept = persist_table(spark.range(5), "kept")
+    root = os.path.dirname(local_path(scratch_path(spark, "x")))
+    assert kept.count() == 5 and os.listdir(root)
+    assert drop_scratch(spark) and not os.path.exists(root)
+    assert persist_table(spark.range(3), "again").count() == 3
