@@ -871,7 +871,7 @@ FROM t GROUP BY conv_id
 """)
 def q_conll_documents(spark, sf):
     from entlink.sources.datasets import read_conll
-    return read_conll(spark, conll_from_conversations(spark, sf))[2].drop("file")
+    return read_conll(spark, conll_from_conversations(spark, sf))[2].drop("file", "record")
 
 
 @query("conll_sentences", [], _CONLL_SQL + """
@@ -881,7 +881,7 @@ SELECT ' (conv_' || conv_id, count(*), '' FROM t GROUP BY conv_id
 """)
 def q_conll_sentences(spark, sf):
     from entlink.sources.datasets import read_conll
-    return read_conll(spark, conll_from_conversations(spark, sf))[0].drop("file")
+    return read_conll(spark, conll_from_conversations(spark, sf))[0].drop("file", "record")
 
 
 @query("conll_mentions", [], _CONLL_SQL + """
@@ -892,7 +892,7 @@ GROUP BY 1, 2, 3, 4
 """)
 def q_conll_mentions(spark, sf):
     from entlink.sources.datasets import read_conll
-    return read_conll(spark, conll_from_conversations(spark, sf))[1].drop("file")
+    return read_conll(spark, conll_from_conversations(spark, sf))[1].drop("file", "record")
 
 
 FILE_ITEMS = 500   # items per generated JSON dataset file

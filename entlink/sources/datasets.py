@@ -27,18 +27,18 @@ URL_PATTERN = r"((?:(?:https?|ftp):\/\/)?[\w/\-?=%.]+\.[\w/\-&?=%:#]+)"
 
 
 def conll_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Document records -> ``(doc_key, pos, line, sid)``; ``pos`` is the line
-    number after the key line, ``sid`` the sentence of the line (a blank line
-    closes sentence ``sid``). ``file`` tells documents with equal keys apart;
-    text before a file's first marker is no document (key lines begin with a
-    parenthesis)."""
+    """Document records -> ``(file, record, doc_key, pos, line, sid)``; ``pos`` is
+    the line number after the key line, ``sid`` the sentence of the line (a blank
+    line closes sentence ``sid``). ``file`` and ``record``, the record's place in
+    the scan, tell documents with equal keys apart, in one file too; text before a
+    file's first marker is no document (key lines begin with a parenthesis)."""
     raw = spark.read.option("lineSep", DOC_MARKER).text(path)
-    docs = raw.select(F.split("value", "\n").alias("_l"), F.col("_metadata.file_path").alias("file")) \
+    docs = raw.select(F.split("value", "\n").alias("_l"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record")) \
         .where((F.size("_l") > 1) & F.get("_l", F.lit(0)).rlike("^\\s*\\("))
-    lines = docs.select("file", F.element_at("_l", 1).alias("doc_key"),
+    lines = docs.select("file", "record", F.element_at("_l", 1).alias("doc_key"),
                         F.posexplode(F.slice("_l", 2, F.size("_l"))).alias("pos", "line"))
     blank = (F.col("line") == "").cast("int")
-    w = Window.partitionBy("file", "doc_key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("file", "record").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("sid", F.coalesce(F.sum(blank).over(w), F.lit(0)))
 
 
@@ -52,33 +52,33 @@ def read_conll(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
     URL (``m_pos`` = token index in the sentence); label = column 3, uri = column 5 normalised; per sentence one mention
     per label, at the position of the first, with the value of the last.
     documents ``(doc_key, text)``: all tokens of the document (A18). All three
-    carry ``file``, which with ``doc_key`` names a document. Columns that a
+    carry ``file`` and ``record``, which name a document also where keys repeat. Columns that a
     mention line lacks are null.
     """
     lines = conll_lines(spark, path)
-    wt = Window.partitionBy("file", "doc_key", "sid").orderBy("pos")
+    wt = Window.partitionBy("file", "record", "doc_key", "sid").orderBy("pos")
     tok = lines.where(F.col("line") != "").select(
-        "file", "doc_key", "sid", "pos", F.element_at(F.split("line", "\t"), 1).alias("tok"), "line") \
+        "file", "record", "doc_key", "sid", "pos", F.element_at(F.split("line", "\t"), 1).alias("tok"), "line") \
         .withColumn("tpos", F.row_number().over(wt) - 1)
-    closed = lines.where(F.col("line") == "").select("file", "doc_key", "sid").distinct()
-    with_tokens = tok.select("file", "doc_key", "sid").distinct()
+    closed = lines.where(F.col("line") == "").select("file", "record", "doc_key", "sid").distinct()
+    with_tokens = tok.select("file", "record", "doc_key", "sid").distinct()
     ids = closed.unionByName(with_tokens).distinct()
-    txt = tok.groupBy("file", "doc_key", "sid").agg(
+    txt = tok.groupBy("file", "record", "doc_key", "sid").agg(
         F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
-    sentences = ids.join(txt, ["file", "doc_key", "sid"], "left").select(
-        "file", "doc_key", "sid",
+    sentences = ids.join(txt, ["file", "record", "doc_key", "sid"], "left").select(
+        "file", "record", "doc_key", "sid",
         F.coalesce(F.array_join(F.transform("_t", lambda x: F.concat(x["tok"], F.lit(" "))), ""),
                    F.lit("")).alias("text"))
     cols = F.split("line", "\t")
     m = tok.where(F.col("line").contains(MENTION_MARKER)).select(
-        "file", "doc_key", "sid", "pos", "tpos", F.get(cols, F.lit(2)).alias("label"),
+        "file", "record", "doc_key", "sid", "pos", "tpos", F.get(cols, F.lit(2)).alias("label"),
         normalise_uri(F.get(cols, F.lit(4))).alias("uri"))
-    mentions = m.groupBy("file", "doc_key", "sid", "label").agg(
+    mentions = m.groupBy("file", "record", "doc_key", "sid", "label").agg(
         F.min("tpos").alias("m_pos"), F.max_by("uri", "pos").alias("uri"))
-    documents = tok.groupBy("file", "doc_key").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t")) \
-        .select("file", "doc_key", F.array_join(F.transform("_t", lambda x: F.concat(x["tok"], F.lit(" "))), "")
+    documents = tok.groupBy("file", "record", "doc_key").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t")) \
+        .select("file", "record", "doc_key", F.array_join(F.transform("_t", lambda x: F.concat(x["tok"], F.lit(" "))), "")
                 .alias("text"))
-    return sentences, mentions.select("file", "doc_key", "sid", "m_pos", "label", "uri"), documents
+    return sentences, mentions.select("file", "record", "doc_key", "sid", "m_pos", "label", "uri"), documents
 
 
 def read_qa(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:

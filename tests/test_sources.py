@@ -103,3 +103,11 @@ def test_qald_question_without_the_language(spark):
     with open(p, "w") as f:
         json.dump({"questions": q}, f)
     assert {(r.id, r.question) for r in D.ingest_qald(spark, p).collect()} == {("1", None), ("2", "What?")}
+
+
+def test_conll_documents_with_equal_keys_in_one_file(spark, tmp_path):
+    from entlink.sources.datasets import read_conll
+    (tmp_path / "a.conll").write_text("-DOCSTART- (7 Same\nOne\nword\n\n-DOCSTART- (7 Same\nTwo\n\nthree\n\n-DOCSTART- (8 Other\nx\n\n")
+    sentences, _, docs = read_conll(spark, str(tmp_path))
+    assert sorted(r.text for r in docs.collect()) == ["One word ", "Two three ", "x "]
+    assert sorted((r.doc_key, r.sid, r.text) for r in sentences.collect() if r.text) == [(" (7 Same", 0, "One word "), (" (7 Same", 0, "Two "), (" (7 Same", 1, "three "), (" (8 Other", 0, "x ")]
