@@ -1,9 +1,16 @@
 """Figures that must not grow faster than the input: shuffled rows, workers' memory, tasks."""
 
+import re
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from entlink.operators import byquery as BQ
 from entlink.operators import linking as L
+from entlink.operators import search as S
+from entlink.plans import link as LK
+from entlink.session import persist_table
 
 
 def plan(df) -> str:
@@ -28,3 +35,65 @@ def test_neighbourhood_pairs_arise_after_the_last_shuffle(spark, monkeypatch):
     assert set(rows) == want and len(rows) == len(want) > 60 * 60
     assert "HashAggregate" not in plan(got) and plan(got).count(") Generate\n") == 2
     assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def searched(spark, n=700, m=60, dim=5):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, dim)).round(2)
+    x[100:300] = x[100]          # copies: ties everywhere
+    x[7] = 0.0
+    q = rng.normal(size=(m, dim)).round(2)
+    q[1], q[2], q[3] = x[100], 0.0, q[4]
+    rows = [(f"S{i % 23}", "p", f"o{i % 9}", "E" if i % 5 else "L", i if i % 50 else i + 1, [float(t) for t in r], f"g{i % 3}") for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "sub string, pred string, obj string, type_obj string, vec_id long, embedding array<float>, grp string")
+    ms = [(i, f"S{i % 23}" if i % 4 else "s3" if i % 8 else "none", [float(t) for t in r], [float(t) for t in r[::-1]], f"g{i % 4}") for i, r in enumerate(q)]
+    # stored: of rows in the driver's memory Spark doesn't know the size, which decides how a table is searched
+    return persist_table(v.repartition(6), "searched"), spark.createDataFrame(ms, "idx long, y_true string, mention_vec array<float>, ctx array<float>, grp string")
+
+
+def same_both_ways(monkeypatch, run):
+    """``run()`` gives equal rows searched by vector and searched by query, in small blocks and chunks."""
+    got = []
+    for least in (10 ** 9, 0):
+        monkeypatch.setattr(BQ, "LEAST_QUERIES", least)
+        got.append(sorted(tuple(round(x, 9) if isinstance(x, float) else repr(x) for x in r) for r in run().collect()))
+        for name, size in (("CHUNK_QUERIES", 7), ("MOST_PAIRS", 500), ("OUT_ROWS", 50), ("CHUNK_ROWS", 300), ("LEAST_TASKS", 5)):
+            monkeypatch.setattr(BQ, name, size)
+    assert got[0] and got[0] == got[1]
+
+
+@pytest.mark.parametrize("metric", S.METRICS)
+def test_search_by_query(spark, monkeypatch, metric):
+    v, m = searched(spark)
+    for kw in ({}, {"max_distance": 1.2}, {"group": "grp"}, {"also": {"d": "ctx"}}):
+        same_both_ways(monkeypatch, lambda kw=kw: S.knn_join(m, v, 40, metric, payload=["sub", "vec_id", "obj"], **kw))
+
+
+def test_candidates_by_query(spark, monkeypatch):
+    v, m = searched(spark)
+    v = v.drop("grp")
+    monkeypatch.setattr(S, "RANGE_LIMIT", 90)
+    same_both_ways(monkeypatch, lambda: S.candidates(m, v, 5, payload=["sub", "vec_id", "obj"]))
+    payload = ["sub", "pred", "obj", "type_obj", "vec_id"]
+    one = persist_table(v.dropDuplicates(["sub", "vec_id"]), "searched")
+    same_both_ways(monkeypatch, lambda: S.with_payload(LK.candidates_with_fallback(m, one, 5, payload=payload), one, payload)
+                   .select("idx", *payload, F.round("distance", 6)))
+    near = lambda: L.tied_candidates(LK.candidates_with_fallback(m, v, 5, contexts={"d_ctx": "ctx"}, nearest=1), v)
+    same_both_ways(monkeypatch, near)
+
+
+def test_predictions_by_query(spark, monkeypatch):
+    v, m = searched(spark)
+    for group in (None, "grp"):
+        vs = persist_table(v.withColumn("sub", F.concat("grp", F.lit("|"), "sub")), "searched") if group else v.drop("grp")
+        ms = m.withColumn("y_true", F.concat("grp", F.lit("|"), "y_true")) if group else m
+        same_both_ways(monkeypatch, lambda vs=vs, ms=ms, group=group: LK.predictions(ms, vs, 5, contexts={"a": "ctx", "b": "mention_vec"}, group=group))
+
+
+def test_range_search_by_query_shuffles_no_result(spark, monkeypatch):
+    v, m = searched(spark)
+    monkeypatch.setattr(BQ, "LEAST_QUERIES", 10)
+    top = S.range_search(m, v, payload=["sub", "vec_id"])
+    assert "Window" not in plan(top) and "distance" not in " ".join(re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\n]*)", plan(top)))
+    cands = LK.candidates_with_fallback(m, v.drop("grp"), payload=["sub", "pred", "obj", "type_obj", "vec_id"])
+    assert "distance" not in " ".join(re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\n]*)", plan(cands)))
