@@ -32,16 +32,25 @@ def conll_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     line closes sentence ``sid``). ``file`` and ``record``, the record's place in
     the scan, tell documents with equal keys apart, in one file too; text before a
     file's first marker is no document (key lines begin with a parenthesis)."""
-    raw = spark.read.option("lineSep", DOC_MARKER).text(path)
-    docs = raw.select(F.split("value", "\n").alias("_l"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record")) \
-        .where((F.size("_l") > 1) & F.get("_l", F.lit(0)).rlike("^\\s*\\("))
-    lines = docs.select("file", "record", F.element_at("_l", 1).alias("doc_key"),
-                        F.posexplode(F.slice("_l", 2, F.size("_l"))).alias("pos", "line"))
+    docs = conll_documents(spark, path)
+    lines = docs.select("file", "record", "doc_key", F.posexplode(F.slice(F.split(F.array_join("blocks", "\n"), "\n"), 2, 2 ** 31 - 1)).alias("pos", "line"))
     blank = (F.col("line") == "").cast("int")
     w = Window.partitionBy("file", "record").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("sid", F.coalesce(F.sum(blank).over(w), F.lit(0)))
 
 
+def conll_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, record, doc_key, blocks)``: a document's text cut at its blank lines,
+    so block ``i`` holds sentence ``i``, each line of it after a newline; the last
+    block is what no blank line closes."""
+    raw = spark.read.option("lineSep", DOC_MARKER).text(path)
+    at = F.instr("value", "\n")
+    key = F.substr("value", F.lit(1), at - 1)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record"), key.alias("doc_key"),
+                      F.split(F.substr("value", at), r"\n(?=\n|\z)", -1).alias("blocks"), at.alias("_at")) \
+        .where((F.col("_at") > 0) & F.col("doc_key").rlike("^\\s*\\(")).drop("_at")
+
+
 def read_conll(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(sentences, mentions, documents)``.
 
@@ -55,30 +64,21 @@ def read_conll(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, D
     carry ``file`` and ``record``, which name a document also where keys repeat. Columns that a
     mention line lacks are null.
     """
-    lines = conll_lines(spark, path)
-    wt = Window.partitionBy("file", "record", "doc_key", "sid").orderBy("pos")
-    tok = lines.where(F.col("line") != "").select(
-        "file", "record", "doc_key", "sid", "pos", F.element_at(F.split("line", "\t"), 1).alias("tok"), "line") \
-        .withColumn("tpos", F.row_number().over(wt) - 1)
-    closed = lines.where(F.col("line") == "").select("file", "record", "doc_key", "sid").distinct()
-    with_tokens = tok.select("file", "record", "doc_key", "sid").distinct()
-    ids = closed.unionByName(with_tokens).distinct()
-    txt = tok.groupBy("file", "record", "doc_key", "sid").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t"))
-    sentences = ids.join(txt, ["file", "record", "doc_key", "sid"], "left").select(
-        "file", "record", "doc_key", "sid",
-        F.coalesce(F.array_join(F.transform("_t", lambda x: F.concat(x["tok"], F.lit(" "))), ""),
-                   F.lit("")).alias("text"))
+    docs = conll_documents(spark, path)
+    name = ["file", "record", "doc_key"]
+    first_column = lambda line: F.concat(F.element_at(F.split(line, "\t"), 1), F.lit(" "))
+    text = lambda lines: F.array_join(F.transform(lines, first_column), "")
+    # a sentence is what stands between blank lines: its lines stay together, so nothing is shuffled to find them
+    blocks = docs.select(*name, F.size("blocks").alias("_n"), F.posexplode("blocks").alias("sid", "_b")) \
+        .select(*name, "_n", F.col("sid").cast("bigint").alias("sid"), F.filter(F.split("_b", "\n"), lambda line: line != "").alias("_lines"))
+    sentences = blocks.where((F.col("sid") < F.col("_n") - 1) | (F.size("_lines") > 0)).select(*name, "sid", text("_lines").alias("text"))
     cols = F.split("line", "\t")
-    m = tok.where(F.col("line").contains(MENTION_MARKER)).select(
-        "file", "record", "doc_key", "sid", "pos", "tpos", F.get(cols, F.lit(2)).alias("label"),
-        normalise_uri(F.get(cols, F.lit(4))).alias("uri"))
-    mentions = m.groupBy("file", "record", "doc_key", "sid", "label").agg(
-        F.min("tpos").alias("m_pos"), F.max_by("uri", "pos").alias("uri"))
-    documents = tok.groupBy("file", "record", "doc_key").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_t")) \
-        .select("file", "record", "doc_key", F.array_join(F.transform("_t", lambda x: F.concat(x["tok"], F.lit(" "))), "")
-                .alias("text"))
-    return sentences, mentions.select("file", "record", "doc_key", "sid", "m_pos", "label", "uri"), documents
+    m = blocks.select(*name, "sid", F.posexplode("_lines").alias("tpos", "line")).where(F.col("line").contains(MENTION_MARKER)) \
+        .select(*name, "sid", "tpos", F.get(cols, F.lit(2)).alias("label"), normalise_uri(F.get(cols, F.lit(4))).alias("uri"))
+    mentions = m.groupBy(*name, "sid", "label").agg(F.min("tpos").alias("m_pos"), F.max_by("uri", "tpos").alias("uri"))
+    documents = docs.select(*name, F.filter(F.split(F.array_join("blocks", "\n"), "\n"), lambda line: line != "").alias("_lines")) \
+        .where(F.size("_lines") > 0).select(*name, text("_lines").alias("text"))
+    return sentences, mentions.select(*name, "sid", "m_pos", "label", "uri"), documents
 
 
 def read_qa(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:

@@ -97,3 +97,16 @@ def test_range_search_by_query_shuffles_no_result(spark, monkeypatch):
     assert "Window" not in plan(top) and "distance" not in " ".join(re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\n]*)", plan(top)))
     cands = LK.candidates_with_fallback(m, v.drop("grp"), payload=["sub", "pred", "obj", "type_obj", "vec_id"])
     assert "distance" not in " ".join(re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[([^\n]*)", plan(cands)))
+
+
+def test_conll_sentences_stay_with_their_document(spark, tmp_path):
+    from entlink.sources.datasets import read_conll
+    text = "head\n-DOCSTART- (1 a\nJoe\tB\tJoe\tx\ten.wikipedia.org/wiki/Joe\t0\t0\nruns\n\n\nJoe\tB\tJoe\tx\ten.wikipedia.org/wiki/Joe_2\t0\t0\nJoe\tB\tJoe\tx\ten.wikipedia.org/wiki/Joe_3\t0\t0\nsits" \
+        "\n-DOCSTART- (1 a\n\n-DOCSTART- (2 b\nlast\n"
+    (tmp_path / "f.conll").write_text(text)
+    sentences, mentions, documents = read_conll(spark, str(tmp_path))
+    got = sorted((r.record, r.doc_key, r.sid, r.text) for r in sentences.collect())
+    assert [g[1:] for g in got] == [(" (1 a", 0, "Joe runs "), (" (1 a", 1, ""), (" (1 a", 2, "Joe Joe sits "), (" (1 a", 0, ""), (" (1 a", 1, ""), (" (2 b", 0, "last ")]
+    assert sorted((r.sid, r.m_pos, r.label, r.uri) for r in mentions.collect()) == [(0, 0, "Joe", "http://dbpedia.org/resource/Joe"), (2, 0, "Joe", "http://dbpedia.org/resource/Joe_3")]
+    assert sorted((r.doc_key, r.text) for r in documents.collect()) == [(" (1 a", "Joe runs Joe Joe sits "), (" (2 b", "last ")]
+    assert "Exchange" not in plan(sentences) and "Exchange" not in plan(documents) and "Window" not in plan(mentions)
