@@ -110,3 +110,14 @@ def test_conll_sentences_stay_with_their_document(spark, tmp_path):
     assert sorted((r.sid, r.m_pos, r.label, r.uri) for r in mentions.collect()) == [(0, 0, "Joe", "http://dbpedia.org/resource/Joe"), (2, 0, "Joe", "http://dbpedia.org/resource/Joe_3")]
     assert sorted((r.doc_key, r.text) for r in documents.collect()) == [(" (1 a", "Joe runs Joe Joe sits "), (" (2 b", "last ")]
     assert "Exchange" not in plan(sentences) and "Exchange" not in plan(documents) and "Window" not in plan(mentions)
+
+
+def test_cells_by_query(spark, monkeypatch):
+    v, m = searched(spark, n=300, m=20)
+    v = persist_table(v.drop("grp").unionByName(v.drop("grp")), "searched")      # every row twice
+    lists, cents = S.ivf_index(v, 6)
+    twice = m.unionByName(m.where("idx < 3"))
+    same_both_ways(monkeypatch, lambda: S.range_search(twice, v, limit=40, payload=["sub", "vec_id"]))
+    same_both_ways(monkeypatch, lambda: LK.predictions(twice, v, 5, contexts={"a": "ctx"}))
+    m = twice
+    same_both_ways(monkeypatch, lambda: S.ivf_search(m, lists, cents, 30, probes=4, payload=["sub", "pred", "obj", "vec_id"]))
