@@ -17,6 +17,9 @@ LINE_PATTERN = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(<[^>]*>|".*"(?:@[A-Za-z][A-Za-z0-9
 # object token: quoted literal with an optional language tag or datatype
 LITERAL_PATTERN = r'^"(.*)"(?:@([A-Za-z][A-Za-z0-9-]*)|\^\^<([^>]*)>)?$'
 
+# what follows the last quote of such a literal, if no datatype holds a quote
+END_PATTERN = r'^(?:|@[A-Za-z][A-Za-z0-9-]*|\^\^<[^>]*>)$'
+
 TRIPLE_SCHEMA = "s string, p string, o_iri string, o_lit string, lang string, dtype string"
 
 EMBEDDING_SCHEMA = T.StructType([
@@ -38,28 +41,34 @@ def parse_ntriples(lines: DataFrame, value: str = "value", keep: list[str] | Non
     """Parse N-Triples lines into ``(s, p, o_iri, o_lit, lang, dtype)``.
 
     One anchored line pattern yields subject, predicate and object token;
-    a literal object is split into text, language tag and datatype. Each
-    extracted column reads the raw line once, so the plan stays one codegen
-    stage. Comment lines, blank lines and lines that are not one triple are
+    a literal object is split into text, language tag and datatype. Comment lines, blank lines and lines that are not one triple are
     dropped. Literal text is unescaped for ``\\"`` only.
     """
     v = F.col(value)
     keep = keep or []
     # of a line that matches, subject and predicate are what the first two pairs of angle brackets
-    # hold, so the pattern is run once for the object (and once as a filter)
+    # hold, so the pattern is run for the object alone
     after = F.substr(v, F.instr(v, ">") + 1)
     inside = lambda x: F.substr(x, F.instr(x, "<") + 1, F.instr(x, ">") - F.instr(x, "<") - 1)
-    parsed = lines.select(*keep, inside(v).alias("s"), inside(after).alias("p"),
-                          F.regexp_extract(v, LINE_PATTERN, 3).alias("_obj")).where(F.col("_obj") != "")
-    o = F.col("_obj")
-    is_iri = o.startswith("<")
-    return parsed.select(
-        *keep, "s", "p",
-        F.when(is_iri, F.expr("substring(_obj, 2, length(_obj) - 2)")).alias("o_iri"),
-        F.when(~is_iri, F.replace(F.regexp_extract(o, LITERAL_PATTERN, 1), F.lit('\\"'), F.lit('"'))).alias("o_lit"),
-        F.when(~is_iri, _nullif_empty(F.regexp_extract(o, LITERAL_PATTERN, 2))).alias("lang"),
-        F.when(~is_iri, _nullif_empty(F.regexp_extract(o, LITERAL_PATTERN, 3))).alias("dtype"),
-    )
+    # exploded, a line is parsed once: later filters on the columns would otherwise repeat the expressions
+    token = F.filter(F.array(F.regexp_extract(v, LINE_PATTERN, 3)), lambda o: o != "")
+    parts = F.transform(F.transform(token, lambda o: F.struct(o.alias("o"), F.substring_index(o, '"', -1).alias("end"))), lambda t: _object(t["o"], t["end"]))
+    return lines.select(*keep, inside(v).alias("s"), inside(after).alias("p"), F.inline(parts))
+
+
+def _object(o: Column, end: Column) -> Column:
+    """The object's columns, of its token and what follows the token's last quote. Where
+    that is a tag, a datatype or nothing it is what the pattern finds; else the pattern is run."""
+    is_iri, plain = o.startswith("<"), end.rlike(END_PATTERN)
+    part = lambda n: F.regexp_extract(o, LITERAL_PATTERN, n)
+    text = F.when(plain, F.substr(o, F.lit(2), F.length(o) - F.length(end) - 2)).otherwise(part(1))
+    tag = F.when(end.startswith("@"), F.substr(end, F.lit(2)))
+    iri = F.when(end.startswith("^"), F.substr(end, F.lit(4), F.length(end) - 4))
+    return F.struct(
+        F.when(is_iri, F.substr(o, F.lit(2), F.length(o) - 2)).alias("o_iri"),
+        F.when(~is_iri, F.replace(text, F.lit('\\"'), F.lit('"'))).alias("o_lit"),
+        F.when(~is_iri, _nullif_empty(F.when(plain, tag).otherwise(part(2)))).alias("lang"),
+        F.when(~is_iri, _nullif_empty(F.when(plain, iri).otherwise(part(3)))).alias("dtype"))
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], latin1_fallback: bool = True) -> DataFrame:
