@@ -38,6 +38,46 @@ def test_commits_early_in_bounded_memory():
     assert max(seen) < 6 * model.longest  # the first piece is final long before the end
 
 
+def test_stretches_hold_the_text_and_join_no_kinds():
+    model = spiece.Model(FILE)
+    for t in odd_texts():
+        t = t.replace(" ", spiece.SPACE)
+        assert "".join(model.stretches.findall(t)) == t
+    assert model.stretches.findall("▁▁the.!!▁42\n▁") == ["▁▁the", ".!!", "▁42\n", "▁"]
+
+
+def test_pairs_are_judged_as_the_merges_judge():
+    model, rnd = spiece.Model(FILE), random.Random(2)
+    pieces = [p for p in list(model.ids)[:4000] if not p.startswith("▁")] + ["日", "🙂"]
+    for _ in range(20000):
+        a, b = rnd.choice(pieces), rnd.choice(pieces)
+        assert model._judge({}, a, b) == (model.merge(a + b) == [a, b])
+
+
+def test_a_worker_keeps_the_model_and_what_it_remembers(monkeypatch):
+    assert spiece.model_of(FILE) is spiece.model_of(FILE)
+    monkeypatch.setattr(spiece, "MEMO", 8)
+    model, words = spiece.Model(FILE), [f"{a}{b}" for a in "abcdefg" for b in "hijkl"]
+    library = sentencepiece.SentencePieceProcessor(model_file=FILE)
+    text = " ".join(words + words[::-1])
+    assert model.encode(text).tolist() == library.encode(text)
+    assert 0 < len(model.memo) <= 4 and len(model.older) <= 4
+
+
+def test_a_boundary_needs_few_steps():
+    """A search step looks back no further than to the piece that ends there."""
+    model, looked = spiece.Model(FILE), []
+
+    class Chars(str):
+        def __getitem__(self, i):
+            looked.append(i)
+            return str.__getitem__(self, i)
+
+    text = "▁themselvesunderstandinginternational" * 50
+    list(model.search(Chars(text)))
+    assert len(looked) < 4 * len(text)
+
+
 def test_rows_and_edges(spark):
     rows = [(i, t, 1) for i, t in enumerate(odd_texts()[:40])] + [(None, "null id", 1), (3, None, 1), (3, None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int")
