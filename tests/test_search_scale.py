@@ -211,3 +211,27 @@ def test_factorised_neighbourhood(spark):
     assert n.direct.count() + n.members.count() <= 4 * len(edges) < n.flat().count()
     sizes = {r.y_true: (r.n_direct, r.n_paths) for r in n.sizes().collect()}
     assert all(d >= 1 and d + p >= sum(y == t for y, _ in want) for t, (d, p) in sizes.items())
+
+
+def test_a_chunk_holds_few_more_pairs_than_its_answers(tmp_path, monkeypatch):
+    """Of a block's pairs only those are held that can be answers, ties and copies included."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from entlink.operators import byquery as BQ
+
+    rng, n, k = np.random.default_rng(3), 6000, 10
+    x = rng.normal(size=(n, 8)).astype(np.float32)
+    x[100:140], x[7] = x[50], 0.0
+    pq.write_table(pa.table({"_row": np.arange(n), "_x": pa.array(list(x), pa.list_(pa.float32()))}), str(tmp_path / "part-0.parquet"), row_group_size=1000)
+    q = np.concatenate([rng.normal(size=(127, 8)), x[50:51].astype(float)])
+    measured, plain = [], BQ.S._pair_l2
+    monkeypatch.setattr(BQ.S, "_pair_l2", lambda xs, qs, rows, cols: measured.append(len(rows)) or plain(xs, qs, rows, cols))
+    for metric in ("l2", "cosine"):
+        rows, cols, dist = BQ.top_of_store(str(tmp_path), q, None, k, metric)
+        d = np.linalg.norm(x.astype(float)[:, None] - q[None], axis=2) if metric == "l2" else BQ.S._block_distance(x.astype(float), q, metric)
+        for i in range(len(q)):
+            want = np.lexsort((np.arange(n), np.round(d[:, i], 9)))[:k]
+            own = rows[cols == i]
+            assert sorted(own) == sorted(want) and np.allclose(np.sort(dist[cols == i]), np.sort(d[want, i]))
+    assert measured and max(measured) <= len(q) * k + BQ.FEW_PAIRS
